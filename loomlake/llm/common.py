@@ -95,3 +95,13 @@ def text_buffer(array: pa.Array):
 def bounded_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Rows per Arrow batch, so that a batch of very long texts stays small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def with_fields(schema, **kinds: str):  # noqa: ANN001, ANN201
+    """``schema`` (left as it is) and more fields of the given types."""
+    from pyspark.sql import types as T
+
+    out = T.StructType(list(schema.fields))
+    for name, kind in kinds.items():
+        out = out.add(name, kind)
+    return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, packing, token_store
+from . import chat_format, decontaminate, exact_dedup, language_id, line_dedup, near_dedup, packing, substring_dedup, token_store
 
 PLANTED_CHAT = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -21,17 +21,40 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     turns = turns.unionByName(spark.createDataFrame(PLANTED_CHAT, "conv_id long, turn long, role string, text string"))
     return chat_format.conversation_digests(chat_format.chat_windows(turns))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    learned = language_id.learn(docs.filter(~language_id.held_out()))
+    return language_id.identify(docs.select("doc_id", "text"), learned).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = token_store.store_and_read(table(spark, sf_dir, "documents"))
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_lines", "n_dropped", "kept", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(substring_dedup.substring_dedup(table(spark, sf_dir, "documents")))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -50,8 +73,13 @@ SELECT doc_id, keep_id, group_size, at = 1 AS kept, sha256(norm) AS text_sha256
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
+        "op2_near_dedup": op2_near_dedup,
         "op3_chat_format": op3_chat_format,
+        "op5_language_id": op5_language_id,
         "op6_token_store": op6_token_store,
+        "op7_line_dedup": op7_line_dedup,
+        "op8_decontaminate": op8_decontaminate,
+        "op9_substring_dedup": op9_substring_dedup,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
