@@ -1,10 +1,46 @@
-"""The corpus pipeline: language ID, line dedup, near-dedup, decontamination, packing."""
+"""The corpus pipeline: language ID, line dedup, near-dedup, decontamination, packing.
+
+Each stage takes what the one before it kept; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomlake.llm import decontaminate, language_id, line_dedup, near_dedup, packing
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without letters or like none of the languages that the labelled rows teach."""
+    found = language_id.identify(docs, language_id.learn(docs))
+    kept = (F.col("lang_pred") != language_id.UNDECIDED) & (F.col("score") >= language_id.LEAST_SCORE)
+    return found.filter(kept).select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops recurring lines, and documents of which they leave little; ``n_chars`` follows the text."""
+    cut = line_dedup.line_dedup(docs).filter("kept")
+    return cut.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least id of each class of near-duplicates."""
+    least = near_dedup.near_dedup(docs).filter("doc_id = class_id").select("doc_id").distinct()
+    return docs.join(least, "doc_id", "left_semi").select(*docs.columns)
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a test item."""
+    return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences: one row per piece, with its ids."""
+    return packing.pack_documents(docs)
+
 
-STAGES: list = []
+STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("benchmark_free", benchmark_free), ("packed", packed)]
 
 #: SQL can't express the stages; tests hold each against a plain version.
 ORACLE_SQL = None

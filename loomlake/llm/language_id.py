@@ -68,12 +68,11 @@ def ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for k in range(n):
             key = key << _BITS | c[k : k + m]
         ok = t[:m] == t[n - 1 : n - 1 + m]
-        middle = range(1, n - 1) if n > 2 else ()
-        for k in middle:  # a blank inside parts two words
-            ok &= c[k : k + m] != 0
-        ok &= (c[:m] != 0) | ((c[n - 1 : n - 1 + m] != 0) if n > 1 else False)
-        if n == LONGEST:
-            ok &= (c[:m] != 0) | (c[1 : 1 + m] != 0)
+        if n > 2:  # a blank inside parts two words
+            for k in range(1, n - 1):
+                ok &= c[k : k + m] != 0
+        else:
+            ok &= (c[:m] != 0) | (c[n - 1 : n - 1 + m] != 0)
         keys.append(key[ok] * np.uint64(4) + np.uint64(n) if n < LONGEST else (key[ok] ^ np.uint64(1 << 63)))
         owner.append(t[:m][ok])
     if not keys:
