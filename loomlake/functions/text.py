@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 # Ranges of CJK code points, and identifiers made of ASCII signs.
 CJK_RANGE = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}"
@@ -47,16 +50,26 @@ def cjk_ratio(c: Column) -> Column:
 
 
 def ascii_terms(c: Column, most: int) -> Column:
-    """The first ``most`` identifiers, each once by its folded form, in the order they are seen first."""
-    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"({ASCII_TERM})"), 1)
-    empty = F.array().cast("array<string>")
-    zero = F.struct(empty.alias("seen"), empty.alias("kept"))
+    """The first ``most`` identifiers, each once by its folded form, in the order they are seen first.
 
-    def step(acc: Column, term: Column) -> Column:
-        new = ~F.array_contains(acc["seen"], F.lower(term)) & (F.size(acc["kept"]) < most)
-        return F.struct(F.when(new, F.array_append(acc["seen"], F.lower(term))).otherwise(acc["seen"]).alias("seen"), F.when(new, F.array_append(acc["kept"], term)).otherwise(acc["kept"]).alias("kept"))
+    An ordered distinct has no built-in form that is linear (a lambda would extract the terms anew for each one), so
+    this is an Arrow function.
+    """
 
-    return F.aggregate(found, zero, step, lambda acc: acc["kept"])
+    @F.pandas_udf(ArrayType(StringType()))
+    def terms(body: pd.Series) -> pd.Series:
+        def one(text: str | None) -> list[str]:
+            seen: dict[str, str] = {}
+            for m in re.finditer(ASCII_TERM, text or ""):
+                if m.group().lower() not in seen:
+                    seen[m.group().lower()] = m.group()
+                    if len(seen) == most:
+                        break
+            return list(seen.values())
+
+        return body.map(one)
+
+    return terms(c)
 
 
 def or_query(terms: Column) -> Column:
@@ -66,8 +79,6 @@ def or_query(terms: Column) -> Column:
 
 def cjk_grams(text: str, most: int = 24) -> list[str]:
     """Distinct 3- then 2-grams of the CJK runs of a query, at most ``most`` (a query is one short string)."""
-    import re
-
     runs = re.findall("[㐀-䶿一-鿿豈-﫿]+", text)
     grams = [run[i : i + n] for n in (3, 2) for run in runs for i in range(len(run) - n + 1)]
     return list(dict.fromkeys(grams))[:most]

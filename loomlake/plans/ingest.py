@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import ingest as I
 from ..operators import splitting
 from .registry import query
-from .tables import BLOCKS, CHUNKS, RENDERED, REVISIONS, TRIM, blocks, chunks, revisions, table
+from .tables import BLOCKS, CHUNKS, RENDERED, REVISIONS, TRIM, blocks, chunks, piece_end, revisions, table
 
 
 @query("t_workdir", f"WITH {BLOCKS} SELECT session_id, seq, regexp_replace(trim(cwd), '[^A-Za-z0-9]', '-', 'g') AS workdir FROM blocks")
@@ -17,9 +17,9 @@ def t_workdir(spark, sf_dir):
     return blocks(spark, sf_dir).select("session_id", "seq", T.workdir(F.col("cwd")).alias("workdir"))
 
 
-@query("t_repo_identity", "SELECT page_id, array_to_string(list_slice(string_split(regexp_replace(regexp_replace(url, '^[a-z+]+://', ''), '(\\.git)?/*$', ''), '/'), -2, -1), '/') AS repo FROM pages WHERE len(list_filter(string_split(regexp_replace(regexp_replace(url, '^[a-z+]+://', ''), '(\\.git)?/*$', ''), '/'), lambda x: x <> '')) >= 3 AND url NOT LIKE '%:%:%'")
+@query("t_repo_identity", "SELECT page_id, array_to_string(list_slice(string_split(regexp_replace(regexp_replace(url, '^[a-z+]+://', ''), '(\\.git)?/*$', ''), '/'), -2, -1), '/') AS repo FROM pages WHERE len(list_filter(string_split(regexp_replace(regexp_replace(url, '^[a-z+]+://', ''), '(\\.git)?/*$', ''), '/'), lambda x: x <> '')) >= 3")
 def t_repo_identity(spark, sf_dir):
-    return table(spark, sf_dir, "pages").filter("url not like '%:%:%'").select("page_id", T.repo_identity(F.col("url")).alias("repo")).filter("repo is not null")
+    return table(spark, sf_dir, "pages").select("page_id", T.repo_identity(F.col("url")).alias("repo")).filter("repo is not null")
 
 
 @query("t_repo_join", f"WITH {BLOCKS} SELECT session_id, string_agg(DISTINCT r, ' ' ORDER BY r) AS repos FROM (SELECT session_id, unnest(string_split(repo, ' ')) AS r FROM blocks) GROUP BY session_id")
@@ -71,10 +71,17 @@ def t_tier(spark, sf_dir):
     return blocks(spark, sf_dir).select("session_id", "seq", I.tier(F.col("block_type")).alias("tier"))
 
 
-@query("t_document_chunks", "SELECT substr(sha1('canonical' || chr(0) || source || '/' || doc_id || chr(0) || '0'), 1, 16) AS id, source || '/' || doc_id AS source_identity, source || '/' || doc_id AS session_id, '' AS workdir, 'document' AS role FROM documents WHERE n_chars <= 1200 AND trim(text) <> ''")
+_DOCUMENT_CUT = f"""WITH RECURSIVE d AS (SELECT source || '/' || doc_id AS ident, {TRIM('text')} AS body FROM documents), cut AS (
+  SELECT ident, body, 0 AS k, 0 AS st, {piece_end("0")} AS en FROM d WHERE length(body) > 0
+  UNION ALL SELECT ident, body, k + 1, greatest(en - 150, st + 1), {piece_end("greatest(en - 150, st + 1)")} FROM cut WHERE en < length(body)
+), kept AS (SELECT ident, row_number() OVER (PARTITION BY ident ORDER BY k) - 1 AS split_idx, text FROM (SELECT ident, k, {TRIM("substr(body, st + 1, en - st)")} AS text FROM cut) WHERE text <> '')"""
+
+
+@query("t_document_chunks", f"{_DOCUMENT_CUT} SELECT substr(sha1('canonical' || chr(0) || ident || chr(0) || split_idx), 1, 16) AS id, ident AS source_identity, ident AS session_id, '' AS workdir, 'document' AS role, split_idx, md5(text) AS m FROM kept")
 def t_document_chunks(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("n_chars <= 1200").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("source_identity"), F.lit(None).cast("string").alias("session_id"), F.lit(None).cast("string").alias("project"), F.lit(None).cast("string").alias("role"), F.col("text").alias("body"))
-    return I.document_rows(d, splitting.split_text(F.col("body"))).select("id", "source_identity", "session_id", "workdir", "role")
+    none = F.lit(None).cast("string")
+    d = table(spark, sf_dir, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("source_identity"), none.alias("session_id"), none.alias("project"), none.alias("role"), F.col("text").alias("body"))
+    return I.document_rows(d, splitting.split_text(F.col("body"))).select("id", "source_identity", "session_id", "workdir", "role", "split_idx", F.md5(F.col("text").cast("binary")).alias("m"))
 
 
 @query("t_normalize_doc", f"WITH d AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE text END AS raw, text AS retrieval, CASE WHEN doc_id % 7 = 0 THEN '' ELSE source END AS agent, lang FROM documents) SELECT doc_id, CASE WHEN {TRIM('raw')} <> '' THEN md5(raw) ELSE md5(retrieval) END AS m, coalesce(nullif({TRIM('agent')}, ''), lang) AS source_agent, CASE WHEN doc_id % 11 = 0 THEN 'source_version is required' END AS refused FROM d")
@@ -104,10 +111,9 @@ def t_identity(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", found.alias("identity"))
 
 
-@query("t_split_large", "SELECT doc_id, CASE WHEN n_chars <= 6000 THEN 1 ELSE CAST(ceil(length(text) / 6000.0) AS INTEGER) END AS parts FROM documents WHERE strpos(text, chr(10) || chr(10)) = 0 AND n_chars = length(text) AND text = regexp_replace(text, '^\\s+|\\s+$', '', 'g')")
+@query("t_split_large", "SELECT doc_id, CASE WHEN length(text) <= 6000 THEN 1 ELSE CAST(list_sum(list_transform(list_filter(list_transform(string_split_regex(text, '\\n\\s*\\n'), lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g')), lambda p: p <> ''), lambda p: ceil(length(p) / 6000.0))) AS INTEGER) END AS parts FROM documents")
 def t_split_large(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter((F.locate("\n\n", F.col("text")) == 0) & (F.col("n_chars") == F.char_length("text")) & (F.col("text") == T.trim_unicode(F.col("text"))) & ~F.col("text").rlike(r"\n[ \t\r\f\x0B\n]*\n"))
-    return d.select("doc_id", F.size(splitting.large_parts(F.col("text"))).alias("parts"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(splitting.large_parts(F.col("text"))).alias("parts"))
 
 
 @query("t_record_version", "SELECT doc_id, sha256(md5(text) || '{\"lang\":\"' || lang || '\",\"source\":\"' || source || '\"}') AS version FROM documents")
@@ -115,10 +121,10 @@ def t_record_version(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", ids.record_version(F.md5(F.col("text").cast("binary")), F.struct("lang", "source")).alias("version"))
 
 
-@query("t_ascii_terms", "WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_][A-Za-z0-9_.:/@+-]*')) AS term, generate_subscripts(regexp_extract_all(text, '[A-Za-z0-9_][A-Za-z0-9_.:/@+-]*'), 1) AS i FROM documents WHERE n_chars < 600), f AS (SELECT doc_id, lower(term) AS k, min(i) AS i, arg_min(term, i) AS term FROM t GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM f) SELECT doc_id, string_agg(term, ' ' ORDER BY i) AS terms FROM r WHERE n <= 256 GROUP BY doc_id")
+@query("t_ascii_terms", "WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_][A-Za-z0-9_.:/@+-]*')) AS term, generate_subscripts(regexp_extract_all(text, '[A-Za-z0-9_][A-Za-z0-9_.:/@+-]*'), 1) AS i FROM documents), f AS (SELECT doc_id, lower(term) AS k, min(i) AS i, arg_min(term, i) AS term FROM t GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM f) SELECT doc_id, string_agg(term, ' ' ORDER BY i) AS terms FROM r WHERE n <= 256 GROUP BY doc_id")
 def t_ascii_terms(spark, sf_dir):
     found = T.ascii_terms(F.col("text"), 256)
-    return table(spark, sf_dir, "documents").filter("n_chars < 600").select("doc_id", F.array_join(found, " ").alias("terms")).filter("terms <> ''")
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(found, " ").alias("terms")).filter("terms <> ''")
 
 
 @query("t_shadow_state", "SELECT doc_id, 'skipped_non_cjk' AS state FROM documents")
@@ -127,10 +133,13 @@ def t_shadow_state(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.when(ratio > 0.1, "pending_provider").otherwise("skipped_non_cjk").alias("state"))
 
 
-@query("t_redact", "SELECT doc_id, md5(regexp_replace(text, '\\bAKIA[0-9A-Z]{16}\\b', '[REDACTED:AWS]', 'g')) AS m FROM documents WHERE regexp_matches(text, '\\bAKIA[0-9A-Z]{16}\\b') AND NOT regexp_matches(text, '(?i)(password|token|secret|api_key)\\s*=') AND NOT contains(text, 'PRIVATE KEY')")
+_REDACTED = r"""regexp_replace(regexp_replace(regexp_replace(text, '\bAKIA[0-9A-Z]{16}\b', '[REDACTED:AWS]', 'g'),
+  '(?i)(\b(?:password|token|secret|api_key)\s*=\s*"?)[0-9a-f]{24,64}\b', '\1[REDACTED:Assignment]', 'g'), '-----BEGIN [A-Z ]*PRIVATE KEY-----', '[REDACTED:PrivateKey]', 'g')"""
+
+
+@query("t_redact", f"SELECT doc_id, md5({_REDACTED}) AS m FROM documents")
 def t_redact(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter(F.col("text").rlike(I.DETECTORS["AWS"]) & ~F.col("text").rlike(r"(?i)(password|token|secret|api_key)\s*=") & ~F.col("text").contains("PRIVATE KEY"))
-    return I.sanitized(d).select("doc_id", F.md5(F.col("text").cast("binary")).alias("m"))
+    return I.sanitized(table(spark, sf_dir, "documents")).select("doc_id", F.md5(F.col("text").cast("binary")).alias("m"))
 
 
 @query("src_canonical", f"WITH {REVISIONS} SELECT source_identity, source_version, updated_at, value FROM (SELECT *, row_number() OVER (PARTITION BY source_identity ORDER BY updated_at DESC, source_version DESC) AS r FROM revisions) WHERE r = 1")
@@ -138,11 +147,10 @@ def src_canonical(spark, sf_dir):
     return I.latest_documents(revisions(spark, sf_dir)).select("source_identity", "source_version", "updated_at", "value")
 
 
-@query("src_markdown", "SELECT doc_id, CAST(len(string_split(replace(text, chr(10), chr(10) || '# '), chr(10) || '# ')) AS BIGINT) AS parts FROM documents WHERE n_chars < 300 AND n_chars > 0 AND NOT contains(text, '#') AND NOT regexp_matches(text, '\\n\\s*\\n') AND NOT regexp_matches(text, '^\\s|\\s$')")
+@query("src_markdown", "SELECT doc_id, parts FROM (SELECT doc_id, CAST(len(string_split(text, chr(10))) - CASE WHEN regexp_full_match(split_part(text, chr(10), 1), '\\s*') THEN 1 ELSE 0 END AS BIGINT) AS parts FROM documents) WHERE parts > 0")
 def src_markdown(spark, sf_dir):
-    """Every line made a heading: as many sections as lines."""
-    d = table(spark, sf_dir, "documents").filter((F.col("n_chars") < 300) & (F.col("n_chars") > 0) & ~F.col("text").contains("#") & ~F.col("text").rlike(r"\n\s*\n") & ~F.col("text").rlike(r"^\s|\s$"))
-    marked = d.select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n# ")).alias("body"))
+    """Every line but the first made a heading: a section for each line, a blank first one left out."""
+    marked = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n# ")).alias("body"))
     return splitting.sections(marked, "doc_id", "body").groupBy("doc_id").agg(F.count(F.lit(1)).alias("parts"))
 
 

@@ -162,13 +162,13 @@ def a_tail_counts(spark, sf_dir):
     return _diff(spark, sf_dir).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
 
 
-_NEAR = "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.6 AND a.vec_id % 5 = 0 AND b.vec_id % 5 = 0"
+_NEAR = "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.35"
 
 
 def _pairs(spark, sf_dir):
     """Within a session (here: a label) the units are compared pair by pair, in blocks."""
-    e = table(spark, sf_dir, "embeddings").filter("vec_id % 5 = 0").select("label", "vec_id", "embedding")
-    return graph.similar_pairs(e, "label", "vec_id", "embedding", 0.6)
+    e = table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding")
+    return graph.similar_pairs(e, "label", "vec_id", "embedding", 0.35)
 
 
 @query("j_allpairs_dup", _NEAR)

@@ -51,7 +51,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.chunks(blocks(spark, sf_dir))
 
 
-def _end(start: str) -> str:
+def piece_end(start: str) -> str:
     """SQL of the end of the piece of ``body`` that begins at ``start``."""
     seg = f"substr(body, {start} + 1, 1200)"
     last = lambda c: f"CASE WHEN strpos(reverse({seg}), {c}) > 0 THEN 1200 - strpos(reverse({seg}), {c}) ELSE -1 END"
@@ -66,9 +66,9 @@ RENDERED = f"""rendered AS (
 
 #: After WITH RECURSIVE.
 CHUNKS = f"""{BLOCKS}, {RENDERED}, cut AS (
-  SELECT session_id, seq, block_idx, body, 0 AS k, 0 AS st, {_end("0")} AS en FROM rendered WHERE length(body) > 0
+  SELECT session_id, seq, block_idx, body, 0 AS k, 0 AS st, {piece_end("0")} AS en FROM rendered WHERE length(body) > 0
   UNION ALL
-  SELECT session_id, seq, block_idx, body, k + 1, greatest(en - 150, st + 1), {_end("greatest(en - 150, st + 1)")} FROM cut WHERE en < length(body)
+  SELECT session_id, seq, block_idx, body, k + 1, greatest(en - 150, st + 1), {piece_end("greatest(en - 150, st + 1)")} FROM cut WHERE en < length(body)
 ), kept AS (
   SELECT *, row_number() OVER (PARTITION BY session_id, seq, block_idx ORDER BY k) - 1 AS split_idx
   FROM (SELECT session_id, seq, block_idx, k, {TRIM("substr(body, st + 1, en - st)")} AS text FROM cut) WHERE text <> ''
