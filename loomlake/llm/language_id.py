@@ -22,6 +22,8 @@ from .common import bounded_batches, sliced, with_fields
 #: n-grams of a language's profile and of a document's.
 PROFILE, OWN, LONGEST = 400, 300, 3
 UNDECIDED = "und"
+#: Labelled documents of a language that its profile is learned from.
+LEARN_DOCS = 5_000
 #: A text whose score is lower is like none of the languages learned.
 LEAST_SCORE = 0.1
 SLICE = 1 << 20
@@ -29,21 +31,23 @@ SLICE = 1 << 20
 _BITS = np.uint64(21)
 
 
+#: No letter has a greater code point.
+_LAST = 0x3FFFF
+
+
 def _letters() -> np.ndarray:
     """Whether each code point is a letter."""
-    import sys
-
-    return np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+    return np.fromiter((chr(c).isalpha() for c in range(_LAST + 1)), bool, _LAST + 1)
 
 
 _LETTERS: list[np.ndarray] = []
 
 
 def ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, key, count) of the distinct n-grams of lower-cased letters, by text and key.
+    """(text, key, count) of the distinct n-grams of lower-cased letters, by text.
 
-    A word is a run of letters with a blank before and after it; a key is up to three code points, the blank being 0,
-    and the n-gram's length above them.
+    A word is a run of letters with a blank before and after it. A key is three code points, the blank being 0; of a
+    shorter n-gram the last one is its length, and the highest bit is set.
     """
     if not _LETTERS:
         _LETTERS.append(_letters())
@@ -51,44 +55,62 @@ def ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     size = pc.utf8_length(lower).to_numpy(zero_copy_only=False).astype(np.int64)
     code = np.frombuffer("".join(lower.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
     # every text gets a blank before and after it: no word reaches into the next text
-    begins = np.cumsum(size + 2) - (size + 2)
-    spaced = np.zeros(len(code) + 2 * len(size), np.uint64)
     text = np.repeat(np.arange(len(size)), size + 2)
-    place = np.repeat(begins + 1, size) + np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
-    spaced[place] = np.where(_LETTERS[0][code], code, 0)
+    spaced = np.zeros(len(text), np.uint32)
+    inner = np.ones(len(text), bool)
+    ends = np.cumsum(size + 2)
+    inner[ends - 1] = inner[ends - size - 2] = False
+    spaced[inner] = np.where(_LETTERS[0][np.minimum(code, _LAST)], code, 0)
     # of a run of other characters one blank is left (of two texts: their own)
-    keep = (spaced != 0) | np.concatenate([[True], (spaced[:-1] != 0) | (text[1:] != text[:-1])])[: len(spaced)]
-    c, t = spaced[keep], text[keep]
-    keys, owner = [], []
+    keep = spaced != 0
+    keep[1:] |= (spaced[:-1] != 0) | (text[1:] != text[:-1])
+    keep[:1] = True
+    c, t = spaced[keep], text[keep].astype(np.uint64)
+    # letters as numbers of few bits, so that text, length and letters are one number to sort
+    used = np.flatnonzero(np.bincount(c, minlength=1))
+    number = np.zeros(len(used) and int(used[-1]) + 1, np.uint64)
+    number[used] = np.arange(len(used), dtype=np.uint64)
+    bits = max(1, int(len(used) - 1).bit_length()) if len(used) else 1
+    if 3 * bits + 2 + len(size).bit_length() > 64:  # more letters than that: by halves
+        half = len(texts) // 2
+        if not half:
+            raise ValueError("more than 2 ** 20 different letters")
+        left, right = ngrams(texts[:half]), ngrams(texts[half:])
+        return np.concatenate([left[0], right[0] + half]), np.concatenate([left[1], right[1]]), np.concatenate([left[2], right[2]])
+    x = number[c] if len(c) else np.zeros(0, np.uint64)
+    bits, parts = np.uint64(bits), []
+    blank = c == 0
     for n in range(1, LONGEST + 1):
-        m = len(c) - n + 1
+        m = len(x) - n + 1
         if m <= 0:
             continue
-        key = np.zeros(m, np.uint64)
-        for k in range(n):
-            key = key << _BITS | c[k : k + m]
-        ok = t[:m] == t[n - 1 : n - 1 + m]
+        code_ = t[:m] << np.uint64(2) | np.uint64(n)
+        for k in range(LONGEST):
+            code_ = code_ << bits | (x[k : k + m] if k < n else np.uint64(0))
+        ok = t[:m] == t[n - 1 :]
         if n > 2:  # a blank inside parts two words
             for k in range(1, n - 1):
-                ok &= c[k : k + m] != 0
+                ok &= ~blank[k : k + m]
         else:
-            ok &= (c[:m] != 0) | (c[n - 1 : n - 1 + m] != 0)
-        keys.append(key[ok] * np.uint64(4) + np.uint64(n) if n < LONGEST else (key[ok] ^ np.uint64(1 << 63)))
-        owner.append(t[:m][ok])
-    if not keys:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    key, own = np.concatenate(keys), np.concatenate(owner)
-    order = np.lexsort((key, own))
-    key, own = key[order], own[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
-    at = np.flatnonzero(new)
-    return own[at], key[at], np.diff(np.append(at, len(key)))
+            ok &= ~(blank[:m] & blank[n - 1 :])
+        parts.append(code_[ok])
+    whole = np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+    at = np.flatnonzero(np.diff(whole, prepend=~whole[:1])) if len(whole) else np.zeros(0, np.int64)
+    found = whole[at]
+    mask = (np.uint64(1) << bits) - np.uint64(1)
+    n = found >> (bits * np.uint64(LONGEST)) & np.uint64(3)
+    own = (found >> (bits * np.uint64(LONGEST) + np.uint64(2))).astype(np.int64)
+    key = (n < LONGEST).astype(np.uint64)
+    for k in range(LONGEST):
+        letter = used.astype(np.uint64)[(found >> (bits * np.uint64(LONGEST - 1 - k)) & mask).astype(np.int64)]
+        key = key << _BITS | (letter if k < LONGEST - 1 else np.where(n < LONGEST, n, letter))
+    return own, key, np.diff(np.append(at, len(whole)))
 
 
 def _ranked(own: np.ndarray, key: np.ndarray, count: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, key, rank) of each text's most frequent n-grams; of equally frequent ones the lesser key comes first."""
-    order = np.lexsort((key, -count, own))
+    """(text, key, rank) of each text's most frequent n-grams; of equally frequent ones the one that ``ngrams`` gives
+    first comes first."""
+    order = np.argsort(own * (1 << 32) + ((1 << 32) - 1 - np.minimum(count, (1 << 32) - 1)), kind="stable")
     own, key = own[order], key[order]
     first = np.flatnonzero(np.diff(own, prepend=-1))
     rank = np.arange(len(own)) - np.repeat(first, np.diff(np.append(first, len(own))))
@@ -96,11 +118,15 @@ def _ranked(own: np.ndarray, key: np.ndarray, count: np.ndarray, most: int) -> t
     return own[top], key[top], rank[top]
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = PROFILE) -> pd.DataFrame:
-    """Profiles (``lang, key, rank``) from all rows with a language and letters. Counts are summed in each slice and
-    again before the shuffle; what comes to the driver is ``size`` n-grams a language."""
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", size: int = PROFILE, most: int = LEARN_DOCS) -> pd.DataFrame:
+    """Profiles (``lang, key, rank``) from about ``most`` rows of each language (all, where it has fewer), chosen by a
+    hash of their ids. Counts are summed in each slice and again before the shuffle; what comes to the driver is
+    ``size`` n-grams a language."""
     bounded_batches(docs.sparkSession)
-    rows = docs.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    labelled = docs.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(doc_id), F.lit(1 << 20)).alias("h"))
+    each = labelled.groupBy("lang").count().collect()  # one row a language
+    share = F.create_map(*[F.lit(v) for r in each for v in (r["lang"], max(1, round((1 << 20) * min(1.0, most / r["count"]))))]) if each else F.create_map().cast("map<string,int>")
+    rows = labelled.filter(F.col("h") < F.element_at(share, F.col("lang"))).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,7 +136,9 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = P
                 name = names.indices.to_numpy()[own].astype(np.int64)
                 order = np.lexsort((key, name))
                 name, key, n = name[order], key[order], n[order]
-                at = np.flatnonzero((np.diff(name, prepend=-1) != 0) | (np.diff(key.view(np.int64), prepend=0) != 0) | (np.arange(len(key)) == 0))
+                new = np.ones(len(key), bool)
+                new[1:] = (name[1:] != name[:-1]) | (key[1:] != key[:-1])
+                at = np.flatnonzero(new)
                 if len(at):
                     yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(name[at])), pa.array(key[at].view(np.int64)), pa.array(np.add.reduceat(n, at))], ["lang", "key", "n"])
 

@@ -59,10 +59,9 @@ def test_ngrams_match_counting():
     own, key, n = language_id.ngrams(pa.array(texts))
 
     def name(k):
-        k = int(k)
-        size = 3 if k >> 63 else k & 3
-        k = k ^ (1 << 63) if size == 3 else k >> 2
-        return "".join(chr(k >> 21 * (size - 1 - i) & 0x1FFFFF) or " " for i in range(size)).replace("\0", " ")
+        letters = [int(k) >> 21 * i & 0x1FFFFF for i in (2, 1, 0)]
+        letters = letters[: letters[2]] if int(k) >> 63 else letters
+        return "".join(chr(x) if x else " " for x in letters)
 
     for i, t in enumerate(texts):
         assert {name(k): c for o, k, c in zip(own, key, n, strict=True) if o == i} == dict(plain_profile(t or "")), t
