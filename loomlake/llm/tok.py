@@ -8,6 +8,8 @@ pattern spans such a place, and it makes far fewer words distinct.
 from __future__ import annotations
 
 import os
+import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +20,30 @@ from .common import text_buffer
 #: Words that a worker remembers; beyond it starts anew.
 CACHED_WORDS = 300_000
 
+#: White space is a blank, and capitals are small: the normaliser makes them so anyway.
+_BLANK = np.arange(256, dtype=np.uint8)
+_BLANK[9:14] = 32
+_SMALL = _BLANK.copy()
+_SMALL[ord("A") : ord("Z") + 1] += 32
 _LETTER = np.zeros(256, bool)
 _LETTER[ord("a") : ord("z") + 1] = _LETTER[ord("A") : ord("Z") + 1] = True
 _POINT = np.zeros(256, bool)
 _POINT[[ord(c) for c in ".,;:!?"]] = True
 
+#: What the short way does not take: capitals whose lower case is longer, and all beyond Latin letters.
+_OTHER = re.compile("[^\x00-\u024f]|\u0130")
+
+
+def _byte_names() -> dict[int, int]:
+    """The character that stands for each byte in byte-level vocabularies: printable Latin-1 characters for
+    themselves, the other bytes in order from U+0100."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in own]
+    return {b: b for b in own} | {b: 0x100 + i for i, b in enumerate(others)}
+
+
+_BYTE_NAMES = _byte_names()
+
 
 class WordEncoder:
     """Ids of texts under one tokenizer file."""
@@ -39,10 +60,24 @@ class WordEncoder:
     def _words(self, words: list[str]) -> list[bytes]:
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        known, new = self.known, [w for w in words if w not in self.known]
-        if new:
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, self.kind).tobytes()
+        known, rest, kind = self.known, [], "I" if self.wide else "H"
+        tokenize = self.tokenizer.model.tokenize
+        for w in words:
+            if w in known:
+                continue
+            # a run of Latin letters: the normaliser lower-cases it and the splitting pattern keeps it whole, so it
+            # goes to the model as its bytes, each named by a character
+            if not w.isalpha():
+                rest.append(w)
+            elif w.isascii():
+                known[w] = array(kind, [t.id for t in tokenize(w.lower())]).tobytes()
+            elif _OTHER.search(w):
+                rest.append(w)
+            else:
+                known[w] = array(kind, [t.id for t in tokenize(w.lower().encode().decode("latin-1").translate(_BYTE_NAMES))]).tobytes()
+        if rest:
+            for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+                known[w] = array(kind, e.ids).tobytes()
         return [known[w] for w in words]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +87,8 @@ class WordEncoder:
             return np.zeros(0, self.kind), np.zeros(len(off), np.int64)
         at = np.flatnonzero(_POINT[data[1:]] & _LETTER[data[:-1]]) + 1
         at = at[~np.isin(at, off)] if len(at) else at
-        spaced = np.insert(data, at, 32)
+        special = ((data[:-1] == ord("<")) & (data[1:] == ord("|"))).any()  # a special token is found before that
+        spaced = np.insert((_BLANK if special else _SMALL)[data], at, 32)
         off = off + np.searchsorted(at, off, "left")
         text = pa.LargeStringArray.from_buffers(len(off) - 1, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(spaced))
         words = pc.split_pattern(text, " ")
@@ -65,7 +101,11 @@ class WordEncoder:
         codes = coded.indices.to_numpy()
         each = length[codes]
         total = np.cumsum(each)
-        return flat[np.repeat(first[codes] - (total - each), each) + np.arange(total[-1] if len(total) else 0)], np.concatenate([[0], total])[ends - ends[0]]
+        n = int(total[-1]) if len(total) else 0
+        number = np.int32 if n < 1 << 31 else np.int64
+        place = np.repeat((first[codes] - (total - each)).astype(number), each)
+        place += np.arange(n, dtype=number)
+        return flat[place], np.concatenate([[0], total])[ends - ends[0]]
 
 
 _encoders: dict[str, WordEncoder] = {}

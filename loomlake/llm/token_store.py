@@ -7,7 +7,7 @@ documents and one over all. Reading checks every chunk against its address, ever
 recipes against the manifest.
 
 Layout under one folder (Parquet containers, so that any store Spark writes to will do):
-  pool/kind=chunk   address binary, ids binary (little-endian, ``width`` bytes an id)
+  pool/kind=chunk   address binary, ids binary (little-endian, ``width`` bytes an id, as a zstd frame)
   pool/kind=use     address binary, doc_id long, at long (the chunk's place in its document), n long (its ids)
   recipes           part int, doc_id long, start long, n_tokens long, chunks array<binary>, root binary
   manifest          part int, first_start long, n_docs long, n_ids long, width int, root binary (part -1: over all)
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,30 +35,37 @@ SEEN, MEAN, MIN, MAX = 16, 512, 64, 4096
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def cut_points(ids: np.ndarray) -> np.ndarray:
-    """Ends of the chunks of one id stream (the last is its length)."""
-    n = len(ids)
-    if n <= MIN:
-        return np.array([n])
-    x = ids.astype(np.uint64) + np.uint64(1)
+def _hits(ids: np.ndarray) -> np.ndarray:
+    """Places before which the ids' rolling hash has its low bits 0."""
+    if len(ids) < SEEN:
+        return np.zeros(0, np.int64)
     with np.errstate(over="ignore"):
-        h, k, power = x * _ODD, 1, _ODD
+        h, k, power = (ids.astype(np.uint64) + np.uint64(1)) * _ODD, 1, _ODD
         while k < SEEN:  # the hash of 2k ids from those of k: h[i] is of ids[i : i + k]
             h = h[:-k] * power + h[k:]
             power, k = power * power, 2 * k
         h ^= h >> np.uint64(29)
-    hits = np.flatnonzero((h & np.uint64(MEAN - 1)) == 0) + SEEN
-    ends, last, i = [], 0, 0
-    while n - last > MAX or i < len(hits):
-        i = int(np.searchsorted(hits, last + MIN))
-        end = int(hits[i]) if i < len(hits) else n + MAX
-        if end - last > MAX:
-            end = last + MAX
-        if end >= n:
-            break
-        ends.append(end)
-        last = end
-    return np.array([*ends, n])
+    return np.flatnonzero((h & np.uint64(MEAN - 1)) == 0) + SEEN
+
+
+def cut_points(ids: np.ndarray, hits: np.ndarray | None = None) -> list[int]:
+    """Ends of the chunks of one id stream (the last is its length). ``hits``: its places, where they are known."""
+    n = len(ids)
+    if n <= MIN:
+        return [n]
+    places = (_hits(ids) if hits is None else hits).tolist()
+    ends, last = [], 0
+    for at in places:
+        while at - last > MAX:
+            last += MAX
+            ends.append(last)
+        if at - last >= MIN and at < n:
+            ends.append(at)
+            last = at
+    while n - last > MAX:
+        last += MAX
+        ends.append(last)
+    return [*ends, n] if not ends or ends[-1] < n else ends
 
 
 def merkle_root(leaves: list[bytes]) -> bytes:
@@ -82,24 +90,29 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
     bounded_batches(spark)
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=1)
         stored: set[bytes] = set()  # addresses this task has sent, to send a copy's bytes once; bounded below
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids, at = encoder(file).encode(batch.column(1))
+            # every document with its end id, one after the other; places that see two documents are left out
+            whole, first = np.insert(ids, at[1:], end_id), at + np.arange(len(at))
+            hits = _hits(whole)
+            lo, hi = np.searchsorted(hits, first[:-1] + SEEN), np.searchsorted(hits, first[1:], "right")
             names, doc, place, count, blob = [], [], [], [], []
             for k, d in enumerate(batch.column(0).to_pylist()):
-                own = np.append(ids[at[k] : at[k + 1]], ids.dtype.type(end_id))
+                own = whole[first[k] : first[k + 1]]
                 last = 0
-                for i, end in enumerate(cut_points(own)):
+                for i, end in enumerate(cut_points(own, hits[lo[k] : hi[k]] - first[k])):
                     raw = own[last:end].tobytes()
                     address = hashlib.sha256(raw).digest()
                     names.append(address)
                     doc.append(d)
                     place.append(i)
-                    count.append(int(end) - last)
-                    blob.append(None if address in stored else raw)
+                    count.append(end - last)
+                    blob.append(None if address in stored else packer.compress(raw))
                     stored.add(address)
-                    last = int(end)
+                    last = end
             if len(stored) > 200_000:
                 stored.clear()
             return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(doc, pa.int64()), pa.array(place, pa.int64()), pa.array(count, pa.int64()), pa.array(blob, pa.binary())], ["address", "doc_id", "at", "n", "ids"])
@@ -192,16 +205,25 @@ def read_store(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
     width = verify_manifest(spark, path) if check else spark.read.schema(_MANIFEST).parquet(f"{path}/manifest").first()["width"]
     recipes = spark.read.schema(_RECIPES).parquet(f"{path}/recipes")
     chunks = spark.read.schema(_POOL).parquet(f"{path}/pool").filter("kind = 'chunk'").select("address", "ids")
-    if check:
-        chunks = chunks.filter(F.when(F.sha2("ids", 256) == F.lower(F.hex("address")), True).otherwise(F.raise_error(F.lit("CorruptStore: a chunk differs from its address")).cast("boolean")))
     needed = recipes.select("doc_id", "start", "n_tokens", F.posexplode("chunks").alias("at", "address"))
-    found = needed.join(chunks, "address", "left").groupBy("doc_id", "start", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("got"), F.count(F.lit(1)).alias("n"))
+    found = needed.join(chunks, "address", "left").groupBy("doc_id", "start", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("at", "address", "ids"))).alias("got"), F.count(F.lit(1)).alias("n"))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdDecompressor()
+
+        def chunk(x: dict) -> bytes:
+            try:
+                raw = packer.decompress(x["ids"]) if x["ids"] is not None else b""
+            except zstandard.ZstdError as e:
+                raise CorruptStore("a chunk is no zstd frame") from e
+            if check and hashlib.sha256(raw).digest() != x["address"]:
+                raise CorruptStore("a chunk differs from its address")
+            return raw
+
         for b in batches:
             out = []
             for got, n, n_tokens in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(2).to_pylist(), strict=True):
-                raw = b"".join(x["ids"] for x in got if x["ids"] is not None)
+                raw = b"".join(map(chunk, got))
                 if len(got) != n or len(raw) != n_tokens * width:
                     raise CorruptStore("a document's chunks are missing or of another length")
                 out.append(raw if width == 4 else np.frombuffer(raw, "<u2").astype("<u4").tobytes())
