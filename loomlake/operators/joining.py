@@ -108,3 +108,11 @@ def top_per(rows: DataFrame, group: str, order: list, k: int) -> DataFrame:
     w = Window.partitionBy(group).orderBy(*order)
     return rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
 
+
+#: Columns that never leave the store (fixed values).
+PRIVATE = ("raw_text", "retrieval_text", "vector")
+
+
+def public_columns(rows: DataFrame) -> DataFrame:
+    """Without private columns and those that begin with an underscore."""
+    return rows.select(*[c for c in rows.columns if c not in PRIVATE and not c.startswith("_")])

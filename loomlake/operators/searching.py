@@ -166,10 +166,60 @@ def bounded_prefix(rows: DataFrame, group: str, order: list[str], size: Column,
 
 
 def estimated_tokens(body: Column) -> Column:
-    """0.9 for each ASCII character, 2 for each other, and 32."""
+    """Nine tenths of the ASCII characters, 2 for each other, and 32."""
     n = F.char_length(body)
     other = F.char_length(F.regexp_replace(body, r"[\x00-\x7F]", ""))
-    return 0.9 * (n - other) + 2 * other + 32
+    return (F.floor((n - other) * 9 / 10) + 2 * other + 32).cast("long")
+
+
+def greedy_batches(rows: DataFrame, group: str, key: str, size: str, most_rows: int, most_size: int) -> DataFrame:
+    """``batch`` number of each row within its group: a batch ends before the row that would break a bound.
+
+    A fold in key order within a group (a producer's outbox); larger inputs are dealt into more groups.
+    """
+    import pandas as pd
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key, kind="stable")
+        batch, n, s, out = 0, 0, 0, []
+        for x in pdf[size].tolist():
+            if n and (n >= most_rows or s + x > most_size):
+                batch, n, s = batch + 1, 0, 0
+            n, s = n + 1, s + x
+            out.append(batch)
+        return pdf.assign(batch=out)
+
+    schema = rows.schema.simpleString()[7:-1] + ",batch:int"
+    return rows.groupBy(group).applyInPandas(fold, ", ".join(f.replace(":", " ", 1) for f in schema.split(",")))
+
+
+def matched_length(body: Column, terms: list[str]) -> Column:
+    return sum((F.when(body.contains(t), len(t)).otherwise(0) for t in terms), F.lit(0))
+
+
+def any_char(body: Column, characters: str) -> Column:
+    out = F.lit(False)
+    for c in dict.fromkeys(characters):
+        out |= body.contains(c)
+    return out
+
+
+def query_entities(text_: str) -> list[str]:
+    """Identifiers of a query that stand out: with a digit, ``_``, ``/`` or ``:``."""
+    import re
+
+    found = [m.lower().rstrip("*:-/") for m in re.findall(r"[A-Za-z][A-Za-z0-9_.*:/-]+", text_)]
+    return list(dict.fromkeys(x for x in found if x and re.search(r"[0-9_/:]", x)))
+
+
+def has_entities(body: Column, entities: list[str]) -> Column:
+    """Whether all stand in the text as whole words, whatever their case."""
+    import re
+
+    out = F.lit(bool(entities))
+    for e in entities:
+        out &= body.rlike(rf"(?i)(?<![A-Za-z0-9_]){re.escape(e)}(?![A-Za-z0-9_])")
+    return out
 
 
 def keyset_page(rows: DataFrame, key: str, after: object, limit: int) -> DataFrame:

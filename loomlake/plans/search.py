@@ -147,9 +147,9 @@ def k_bounded_batch(spark, sf_dir):
     return S.bounded_prefix(table(spark, sf_dir, "documents"), "source", ["doc_id"], F.col("n_chars"), 8, 20000).select("doc_id")
 
 
-@query("k_token_estimate", "SELECT doc_id, round(0.9 * (length(text) - length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g'))) + 2 * length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) + 32, 3) AS tokens FROM documents")
+@query("k_token_estimate", "SELECT doc_id, CAST(floor((length(text) - length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g'))) * 9 / 10) + 2 * length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) + 32 AS BIGINT) AS tokens FROM documents")
 def k_token_estimate(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(S.estimated_tokens(F.col("text")), 3).alias("tokens"))
+    return table(spark, sf_dir, "documents").select("doc_id", S.estimated_tokens(F.col("text")).alias("tokens"))
 
 
 @query("k_reconcile_pick", "SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('O', 'P') ORDER BY CASE o_orderstatus WHEN 'P' THEN 1 ELSE 0 END, o_orderdate, o_orderkey LIMIT 64")
