@@ -69,10 +69,10 @@ _OP10_SQL = r"""
 WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents
 ), r AS (
-  SELECT *, row_number() OVER w AS at, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size
+  SELECT *, row_number() OVER w AS place, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size
   FROM t WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id)
 )
-SELECT doc_id, keep_id, group_size, at = 1 AS kept, sha256(norm) AS text_sha256 FROM r
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(norm) AS text_sha256 FROM r
 """
 
 
