@@ -135,7 +135,7 @@ class NearDedup:
         self.documents = size["n"]
         self.blocks = max(1, round((size["b"] or 0) / BLOCK_BYTES), size["n"] >> 17)
         self.shares = max(4, round((size["b"] or 0) / SHARE_BYTES))
-        self.docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.pmod(F.xxhash64(doc_id), F.lit(self.blocks)).cast("int").alias("block"))
+        self.docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(doc_id).cast("long")), F.lit(self.blocks)).cast("int").alias("block"))
 
     def frequencies(self) -> DataFrame:
         """``block, share, at, level``: of a block's distinct shingles (ascending, within a share) those that occur in
@@ -212,17 +212,28 @@ class NearDedup:
         return self.docs.groupBy("block").cogroup(levels.groupBy("block")).applyInArrow(sign, "doc_id long, text_key string, bands array<long>")
 
     def sets(self, chosen: DataFrame, levels: DataFrame) -> DataFrame:
-        """``cluster, doc_id, shingles, weights`` of the documents in ``chosen`` (``doc_id, cluster``)."""
+        """``cluster, k, doc_id, shingles, weights`` of the documents in ``chosen`` (``doc_id, cluster, k``): what is
+        chosen goes to the blocks, as the levels do, so that a text travels once."""
         shares, documents = self.shares, self.documents
 
         def give(texts: pa.Table, own: pa.Table) -> pa.Table:
-            mine = np.flatnonzero(texts.column("cluster").is_valid().to_numpy())
-            h, w, first = _weighted(texts, own, shares, documents)
-            taken = texts.take(pa.array(mine))
-            return pa.table({"cluster": taken.column("cluster"), "doc_id": taken.column("doc_id"), "shingles": _binary([h[first[i] : first[i + 1]] for i in mine]), "weights": _binary([w[first[i] : first[i + 1]] for i in mine])})
-
-        marked = self.docs.join(chosen, "doc_id", "left").select("doc_id", "text", "block", "cluster")
-        return marked.groupBy("block").cogroup(levels.groupBy("block")).applyInArrow(give, "cluster long, doc_id long, shingles binary, weights binary")
+            kind = own.column("kind").to_numpy()
+            wanted = own.filter(pa.array(kind == 1))
+            place = {d: i for i, d in enumerate(wanted.column("doc_id").to_pylist())}
+            at = np.array([place.get(d, -1) for d in texts.column("doc_id").to_pylist()], np.int64)
+            mine = np.flatnonzero(at >= 0)
+            if not len(mine):
+                return pa.table({"cluster": pa.array([], pa.int64()), "k": pa.array([], pa.int32()), "doc_id": pa.array([], pa.int64()), "shingles": _binary([]), "weights": _binary([])})
+            h, w, first = _weighted(texts, own.filter(pa.array(kind == 0)), shares, documents)
+            rows = wanted.take(pa.array(at[mine]))
+            return pa.table({"cluster": rows.column("cluster"), "k": rows.column("k").cast(pa.int32()), "doc_id": rows.column("doc_id"), "shingles": _binary([h[first[i] : first[i + 1]] for i in mine]), "weights": _binary([w[first[i] : first[i + 1]] for i in mine])})
+
+        none = lambda kind: F.lit(None).cast(kind)
+        block = F.pmod(F.xxhash64("doc_id"), F.lit(self.blocks)).cast("int")
+        both = levels.select("block", F.lit(0).alias("kind"), "share", "at", "level", none("long").alias("doc_id"), none("long").alias("cluster"), none("int").alias("k")).unionByName(
+            chosen.select(block.alias("block"), F.lit(1).alias("kind"), none("int").alias("share"), none("binary").alias("at"), none("binary").alias("level"), "doc_id", "cluster", "k")
+        )
+        return self.docs.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(give, "cluster long, k int, doc_id long, shingles binary, weights binary")
 
     def classes(self) -> DataFrame:
         """``doc_id, class_id, n_links``: see ``near_dedup``."""
@@ -249,8 +260,8 @@ class NearDedup:
         similarity."""
         size = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
         blocks = F.ceil(F.col("n") / MEMBERS).cast("int")
-        chosen = clusters.select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"))
-        sets = self.sets(chosen, levels).join(size.select(F.col("root").alias("cluster"), blocks.alias("k")), "cluster")
+        chosen = clusters.join(size.select("root", blocks.alias("k")), "root").select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"), "k")
+        sets = self.sets(chosen, levels)
         own = F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int")
         pair = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j")))
         tasks = sets.withColumn("own", own).withColumn("pair", F.explode(pair)).select("cluster", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "own", "doc_id", "shingles", "weights")
