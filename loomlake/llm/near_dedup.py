@@ -249,15 +249,15 @@ class NearDedup:
         clusters = components(written(edges, "near-candidates"))
         found = written(self.links(clusters, levels), "near-links")
         release(self.spark)
-        merged = components(found.select("a", "b"))
-        ends = found.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+        merged = components(found.filter("doc_id <> root").select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
+        ends = found.groupBy(F.col("doc_id").alias("rep")).agg(F.sum("links").alias("links"))
         table = keys.select("text_key", "rep").join(merged.withColumnsRenamed({"node": "rep", "root": "class_id"}), "rep", "left").join(ends, "rep", "left")
         table = table.select("text_key", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
         return signed.select("doc_id", "text_key").join(table, "text_key").select("doc_id", "class_id", "n_links")
 
     def links(self, clusters: DataFrame, levels: DataFrame) -> DataFrame:
-        """``a, b, similarity`` (a < b): all pairs of distinct texts of one candidate component that reach the
-        similarity."""
+        """``doc_id, root, links``: for each document of a candidate component, and each pair of blocks it is in, the
+        least document it is connected to there and the number of distinct texts it is linked with there."""
         size = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
         blocks = F.ceil(F.col("n") / MEMBERS).cast("int")
         chosen = clusters.join(size.select("root", blocks.alias("k")), "root").select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"), "k")
@@ -271,11 +271,10 @@ class NearDedup:
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for group in _groups(batches, 3):
-                a, b, s = _verified(group, least)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], ["a", "b", "similarity"])
+                doc, root, links = _verified(group, least)
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(root), pa.array(links)], ["doc_id", "root", "links"])
 
-        return dealt.mapInArrow(verify, "a long, b long, similarity double")
+        return dealt.mapInArrow(verify, "doc_id long, root long, links long")
 
 
 def _sequence_key(words: np.ndarray) -> str:
@@ -310,48 +309,51 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
 
 
 def _verified(group: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All pairs of the group (of two blocks: one of each) whose weighted Jaccard similarity is ``least`` or more."""
+    """(document, least document that it is connected to here, links) of the group: a pair is linked where its weighted
+    Jaccard similarity is ``least`` or more, and where two blocks meet, only if it has one of each.
+
+    Every pair is compared, one document against all others at a time; what is given is a row a document, however
+    many pairs there are.
+    """
     ids, own = group.column("doc_id").to_numpy(), group.column("own").to_numpy()
     two = group.column("i")[0].as_py() != group.column("j")[0].as_py()
     sh = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("shingles")]
     w = [np.frombuffer(x.as_buffer(), np.float32) for x in group.column("weights")]
-    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    links = np.zeros(len(ids), np.int64)
     if len(ids) < 2:
-        return none
-    order = np.argsort(ids)
-    total = np.array([x.sum(dtype=np.float64) for x in w])
-    values, local = np.unique(np.concatenate(sh), return_inverse=True)
-    size = np.array([len(x) for x in sh])
-    first = np.cumsum(size) - size
-    weight = np.concatenate(w).astype(np.float64)
-    local = [local[f : f + n] for f, n in zip(first, size, strict=True)]
+        return ids, ids, links
     # by total weight: a pair reaches the similarity only if the lighter one has that share of the heavier one
+    total = np.array([x.sum(dtype=np.float64) for x in w])
     order = np.argsort(total, kind="stable")
-    flat = np.concatenate([local[i] for i in order])
-    flat_w = np.concatenate([weight[first[i] : first[i] + size[i]] for i in order])
-    begins = np.cumsum(size[order]) - size[order]
-    ends = begins + size[order]
+    ids, own, total = ids[order], own[order], total[order]
+    size = np.array([len(sh[i]) for i in order])
+    values, local = np.unique(np.concatenate([sh[i] for i in order]), return_inverse=True)
+    weight = np.concatenate([w[i] for i in order]).astype(np.float64)
+    end = np.cumsum(size)
+    begin = end - size
+    root = ids.copy()
     dense = np.zeros(len(values))
-    a, b, s = [], [], []
-    sorted_total = total[order]
-    for at, i in enumerate(order):
-        to = int(np.searchsorted(sorted_total, total[i] / least * (1 + 1e-9), "right"))
-        if to <= at + 1:
+    for i in range(len(ids) - 1):
+        to = int(np.searchsorted(total, total[i] / least * (1 + 1e-9), "right"))
+        if to <= i + 1:
             continue
-        dense[local[i]] = weight[first[i] : first[i] + size[i]]
-        lo, hi = begins[at + 1], ends[to - 1]
-        common = np.add.reduceat(np.minimum(dense[flat[lo:hi]], flat_w[lo:hi]), begins[at + 1 : to] - lo)
-        dense[local[i]] = 0
-        sim = common / (total[i] + sorted_total[at + 1 : to] - common)
-        hit = np.flatnonzero(sim >= least - 1e-9)
-        others = order[at + 1 + hit]
+        mine = slice(begin[i], end[i])
+        dense[local[mine]] = weight[mine]
+        rest = slice(begin[i + 1], end[to - 1])
+        common = np.add.reduceat(np.minimum(dense[local[rest]], weight[rest]), begin[i + 1 : to] - begin[i + 1])
+        dense[local[mine]] = 0
+        near = common / (total[i] + total[i + 1 : to] - common) >= least - 1e-9
         if two:
-            keep = own[others] != own[i]
-            hit, others = hit[keep], others[keep]
-        a.append(np.minimum(ids[i], ids[others]))
-        b.append(np.maximum(ids[i], ids[others]))
-        s.append(sim[hit])
-    return (np.concatenate(a), np.concatenate(b), np.concatenate(s)) if a else none
+            near &= own[i + 1 : to] != own[i]
+        near = np.flatnonzero(near) + i + 1
+        if not len(near):
+            continue
+        links[i] += len(near)
+        links[near] += 1
+        joined = np.unique(np.append(root[near], root[i]))
+        if len(joined) > 1:
+            root[np.isin(root, joined)] = joined[0]
+    return ids, root, links
 
 
 def components(edges: DataFrame) -> DataFrame:

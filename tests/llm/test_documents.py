@@ -159,6 +159,7 @@ def plain_classes(texts, least=0.8):
     idf = {s: 1 + 0.5 * min(1, max(0, np.log((n + 1) / (2 ** (level(d) / near_dedup.STEPS) + 1)) / np.log(n + 1))) for s, d in df.items()}
     w = [{s: k * idf[s] for s, k in c.items()} for _, c in sets]
     parent = list(range(n))
+    links = collections.defaultdict(set)
 
     def find(x):
         while parent[x] != x:
@@ -170,10 +171,13 @@ def plain_classes(texts, least=0.8):
         if not same and w[a] and w[b]:
             m = sum(min(x, w[b].get(s, 0)) for s, x in w[a].items())
             same = m / (sum(w[a].values()) + sum(w[b].values()) - m) >= least
+            if same:  # another text
+                links[sets[a][0]].add(sets[b][0])
+                links[sets[b][0]].add(sets[a][0])
         if same:
             x, y = find(a), find(b)
             parent[max(x, y)] = min(x, y)
-    return [find(i) for i in range(n)]
+    return [find(i) for i in range(n)], [len(links[s]) for s, _ in sets]
 
 
 def near_texts():
@@ -192,8 +196,10 @@ def test_near_classes_match_brute_force(spark, monkeypatch, members):
     monkeypatch.setattr(near_dedup, "MEMBERS", members)
     monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 10_000)
     texts = near_texts()
-    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_dedup(frame(spark, texts, more="cluster block").repartition(3)).collect()}
-    assert [got[i] for i in range(len(texts))] == plain_classes(texts)
+    got = {r["doc_id"]: r for r in near_dedup.near_dedup(frame(spark, texts, more="cluster block").repartition(3)).collect()}
+    classes, links = plain_classes(texts)
+    assert [got[i]["class_id"] for i in range(len(texts))] == classes
+    assert [got[i]["n_links"] for i in range(len(texts))] == links
 
 
 def test_near_of_nothing(spark):
