@@ -111,9 +111,9 @@ def a_agent_counts(spark, sf_dir):
     return blocks(spark, sf_dir).groupBy(agent.alias("agent")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("a_stats", "SELECT (SELECT count(*) FROM customer) AS sources, (SELECT count(*) FROM orders) AS records, (SELECT count(*) FROM orders WHERE o_orderstatus = 'O') AS queued, (SELECT max(o_orderdate) FROM orders) AS last_date")
+@query("a_stats", "SELECT (SELECT count(*) FROM customer) AS sources, (SELECT count(*) FROM orders) AS records, (SELECT count(*) FROM orders WHERE o_orderstatus = 'O') AS queued, (SELECT CAST(CAST(max(o_orderdate) AS DATE) AS VARCHAR) FROM orders) AS last_date")
 def a_stats(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("o_orderstatus") == "O").alias("queued"), F.max("o_orderdate").alias("last_date"))
+    o = table(spark, sf_dir, "orders").agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("o_orderstatus") == "O").alias("queued"), F.max(F.col("o_orderdate").cast("date")).cast("string").alias("last_date"))
     c = table(spark, sf_dir, "customer").agg(F.count(F.lit(1)).alias("sources"))
     return c.crossJoin(F.broadcast(o)).select("sources", "records", "queued", "last_date")
 

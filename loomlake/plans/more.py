@@ -128,9 +128,9 @@ def a_block_vector(spark, sf_dir):
     return v.select("label", F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)), 6).alias("norm"), F.round(F.array_max("vector"), 6).alias("most"))
 
 
-@query("a_cumulative_metrics", "WITH c AS (SELECT CAST(date_trunc('day', ts) AS DATE) AS day, count(*) AS n FROM events GROUP BY 1) SELECT day, CAST(sum(n) OVER (ORDER BY day) AS BIGINT) AS total FROM c")
+@query("a_cumulative_metrics", "WITH c AS (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1) SELECT day, CAST(sum(n) OVER (ORDER BY day) AS BIGINT) AS total FROM c")
 def a_cumulative_metrics(spark, sf_dir):
-    cycles = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    cycles = table(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
     return cycles.select("day", F.sum("n").over(Window.orderBy("day")).alias("total"))  # one row a day
 
 
