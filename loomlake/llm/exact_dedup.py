@@ -46,6 +46,6 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", par
         .repartitionByRange(n, "_head", "text_sha256")
         .select(F.col("doc_id").alias("_lead_id"), F.col("text_sha256").alias("_lead_sha"), F.first("doc_id").over(whole.orderBy(*order)).alias("keep_id"), F.sum("_n").over(whole).alias("group_size"), F.row_number().over(whole.orderBy(*order)).alias("_first"))
     )
-    found = ranked.select("doc_id", "_leader", "text_sha256", "_at").join(leaders, F.col("_leader").eqNullSafe(F.col("_lead_id")) & (F.col("text_sha256") == F.col("_lead_sha")))
+    found = ranked.select("doc_id", "_leader", "text_sha256", "_at").join(leaders, F.col("_leader").eqNullSafe(F.col("_lead_id")) & (F.col("text_sha256").eqNullSafe(F.col("_lead_sha"))))
     kept = (F.col("_first") == 1) & (F.col("_at") == 1)
     return found.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), kept.alias("kept"), "text_sha256")
