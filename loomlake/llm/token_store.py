@@ -7,7 +7,8 @@ documents and one over all. Reading checks every chunk against its address, ever
 recipes against the manifest.
 
 Layout under one folder (Parquet containers, so that any store Spark writes to will do):
-  pool/kind=chunk   address binary, ids binary (little-endian, ``width`` bytes an id, as a zstd frame)
+  pool/kind=chunk   address binary, doc_id long, at long, n long, ids binary (little-endian, ``width`` bytes an id, as
+                    a zstd frame), shared boolean (whether it has uses besides this one)
   pool/kind=use     address binary, doc_id long, at long (the chunk's place in its document), n long (its ids)
   recipes           part int, doc_id long, start long, n_tokens long, chunks array<binary>, root binary
   manifest          part int, first_start long, n_docs long, n_ids long, width int, root binary (part -1: over all)
@@ -92,6 +93,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
         stored: set[bytes] = set()  # addresses this task has sent, to send a copy's bytes once; bounded below
+        told: set[bytes] = set()  # those it has sent word of that they come again
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids, at = encoder(file).encode(batch.column(1))
@@ -99,7 +101,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
             whole, first = np.insert(ids, at[1:], end_id), at + np.arange(len(at))
             hits = _hits(whole)
             lo, hi = np.searchsorted(hits, first[:-1] + SEEN), np.searchsorted(hits, first[1:], "right")
-            names, doc, place, count, blob = [], [], [], [], []
+            names, doc, place, count, blob, tell = [], [], [], [], [], []
             for k, d in enumerate(batch.column(0).to_pylist()):
                 own = whole[first[k] : first[k + 1]]
                 last = 0
@@ -111,33 +113,48 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
                     place.append(i)
                     count.append(end - last)
                     blob.append(None if address in stored else packer.compress(raw))
+                    tell.append(address not in told)
+                    if address in stored:
+                        told.add(address)
                     stored.add(address)
                     last = end
             if len(stored) > 200_000:
                 stored.clear()
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(doc, pa.int64()), pa.array(place, pa.int64()), pa.array(count, pa.int64()), pa.array(blob, pa.binary())], ["address", "doc_id", "at", "n", "ids"])
+                told.clear()
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(doc, pa.int64()), pa.array(place, pa.int64()), pa.array(count, pa.int64()), pa.array(blob, pa.binary()), pa.array(tell, pa.bool_())], ["address", "doc_id", "at", "n", "ids", "tell"])
 
         yield from by_slices(one, "text")(batches)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    uses = rows.mapInArrow(chunked, "address binary, doc_id long, at long, n long, ids binary")
-    # each use is a row; of a chunk's bytes a task sends one copy, and the copies of an address meet in one partition
-    tagged = uses.withColumn("sent", F.when(F.col("ids").isNull(), F.array(F.lit("use"))).otherwise(F.array(F.lit("use"), F.lit("chunk")))).select("*", F.explode("sent").alias("kind"))
+    uses = rows.mapInArrow(chunked, "address binary, doc_id long, at long, n long, ids binary, tell boolean")
+    # each use is a row; of a chunk, a task sends one row with its bytes and at most one more that tells it comes again,
+    # and the rows of an address meet in one partition
+    tagged = uses.select("*", F.explode(F.when(F.col("tell"), F.array(F.lit("use"), F.lit("chunk"))).otherwise(F.array(F.lit("use")))).alias("kind"))
     n = shuffle_partitions(spark)
-    dealt = tagged.select("kind", "address", F.when(F.col("kind") == "use", F.col("doc_id")).alias("doc_id"), F.when(F.col("kind") == "use", F.col("at")).alias("at"), F.when(F.col("kind") == "use", F.col("n")).alias("n"), F.when(F.col("kind") == "chunk", F.col("ids")).alias("ids"), F.when(F.col("kind") == "use", F.pmod(F.xxhash64("doc_id", "at"), F.lit(1 << 20))).otherwise(F.lit(-1)).alias("_salt"))
+    is_use = F.col("kind") == "use"
+    dealt = tagged.select("kind", "address", "doc_id", "at", "n", F.when(~is_use, F.col("ids")).alias("ids"), F.when(is_use, F.pmod(F.xxhash64("doc_id", "at"), F.lit(1 << 20))).otherwise(F.lit(-1)).alias("_salt"))
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        kinds = [pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
+        names = ["kind", "address", "doc_id", "at", "n", "ids", "shared"]
+        held = None
         for b in batches:
-            take = []
-            for i, (kind, address) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
-                if kind == "use" or address != last:
-                    take.append(i)
-                if kind == "chunk":
-                    last = address
-            yield b.take(pa.array(take, pa.int64()))
-
-    pool = dealt.repartition(n, "kind", "address", "_salt").sortWithinPartitions("kind", "address").select("kind", "address", "doc_id", "at", "n", "ids").mapInArrow(once, "kind string, address binary, doc_id long, at long, n long, ids binary")
+            out = []
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[0] == "use":
+                    out.append((*row, None))
+                elif held and held[1] == row[1]:
+                    held = (*held[:6], True)
+                else:
+                    if held:
+                        out.append(held)
+                    held = (*row, False)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(held, kinds, strict=True)], names)
+
+    pool = dealt.repartition(n, "kind", "address", "_salt").sortWithinPartitions("kind", "address", F.col("ids").isNull(), "doc_id", "at").select("kind", "address", "doc_id", "at", "n", "ids").mapInArrow(once, "kind string, address binary, doc_id long, at long, n long, ids binary, shared boolean")
     pool.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/pool")
     release(spark)
 
@@ -181,7 +198,7 @@ def _manifest(spark: SparkSession, path: str, width: int) -> DataFrame:
     return spark.createDataFrame([top, *((r["part"], r["first_start"], r["n_docs"], r["n_ids"], width, bytes(r["root"])) for r in rows)], _MANIFEST).coalesce(1)
 
 
-_POOL = "address binary, doc_id long, at long, n long, ids binary, kind string"
+_POOL = "address binary, doc_id long, at long, n long, ids binary, shared boolean, kind string"
 _RECIPES = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("chunks", T.ArrayType(T.BinaryType())), T.StructField("root", T.BinaryType())])
 
 
@@ -204,28 +221,34 @@ def read_store(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
     """
     width = verify_manifest(spark, path) if check else spark.read.schema(_MANIFEST).parquet(f"{path}/manifest").first()["width"]
     recipes = spark.read.schema(_RECIPES).parquet(f"{path}/recipes")
-    chunks = spark.read.schema(_POOL).parquet(f"{path}/pool").filter("kind = 'chunk'").select("address", "ids")
-    needed = recipes.select("doc_id", "start", "n_tokens", F.posexplode("chunks").alias("at", "address"))
-    found = needed.join(chunks, "address", "left").groupBy("doc_id", "start", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("at", "address", "ids"))).alias("got"), F.count(F.lit(1)).alias("n"))
+    pool = spark.read.schema(_POOL).parquet(f"{path}/pool")
+    chunks = pool.filter("kind = 'chunk'")
+    # a chunk with one use goes to its document as it is; of the few with more, every use fetches the bytes
+    uses = pool.filter("kind = 'use'").select("address", "doc_id", "at")
+    pieces = chunks.filter("not shared").select("doc_id", "at", "ids").unionByName(uses.join(chunks.filter("shared").select("address", "ids"), "address").select("doc_id", "at", "ids"))
+    got = pieces.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("got"))
+    found = recipes.select("doc_id", "start", "n_tokens", "chunks").join(got, "doc_id", "left").select("doc_id", "start", "n_tokens", "got", "chunks")
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdDecompressor()
 
-        def chunk(x: dict) -> bytes:
+        def chunk(ids: bytes, address: bytes) -> bytes:
             try:
-                raw = packer.decompress(x["ids"]) if x["ids"] is not None else b""
+                raw = packer.decompress(ids)
             except zstandard.ZstdError as e:
                 raise CorruptStore("a chunk is no zstd frame") from e
-            if check and hashlib.sha256(raw).digest() != x["address"]:
+            if check and hashlib.sha256(raw).digest() != address:
                 raise CorruptStore("a chunk differs from its address")
             return raw
 
         for b in batches:
             out = []
-            for got, n, n_tokens in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(2).to_pylist(), strict=True):
-                raw = b"".join(map(chunk, got))
-                if len(got) != n or len(raw) != n_tokens * width:
-                    raise CorruptStore("a document's chunks are missing or of another length")
+            for got, names, n_tokens in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if [x["at"] for x in got or ()] != list(range(len(names))):
+                    raise CorruptStore("chunks of a document are missing")
+                raw = b"".join(chunk(x["ids"], name) for x, name in zip(got or (), names, strict=True))
+                if len(raw) != n_tokens * width:
+                    raise CorruptStore("a document's chunks are of another length")
                 out.append(raw if width == 4 else np.frombuffer(raw, "<u2").astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
