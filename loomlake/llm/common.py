@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -44,9 +45,12 @@ def remove(spark: SparkSession, *paths: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Shuffle files of finished jobs go when the driver collects its garbage; between two large phases that is now."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Shuffle files of finished jobs go when the driver collects its garbage; between two large phases that is now.
+    The second time frees what only the first one's finalizers let go of."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
