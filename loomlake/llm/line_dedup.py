@@ -1,9 +1,9 @@
 """Line dedup by a log-template tree.
 
 A line's tokens are its runs between white space; one with a digit is a variable field from the start. The tree has a
-fixed depth: the token count, then the leading tokens; a leaf that still holds more than LEAF different lines is
-parted further by its next token. Within a leaf, lines that agree in a share of their places are one template, and the
-places in which they differ become variable fields. A template that recurs in MIN_TEXTS different texts is dropped
+fixed depth: the token count, then the leading tokens. Within a leaf, lines that agree in a share of their places are
+one template, and the places in which they differ become variable fields; in a leaf of more than LEAF different lines
+those to compare are looked up by bands of places, with the same result. A template that recurs in MIN_TEXTS different texts is dropped
 from all documents but the first that has it; a document of which little is left after that goes whole.
 """
 
@@ -22,7 +22,7 @@ from .common import bounded_batches, by_slices, release, shuffle_partitions, wit
 #: Leading tokens that the tree looks at, share of places in which lines of a template agree with its first line,
 #: different texts in which a template recurs, and the share of its tokens that a document must keep.
 DEPTH, AGREE, MIN_TEXTS, MIN_KEPT = 4, 0.8, 10, 0.2
-#: Different lines that a leaf holds before it is parted by its next token.
+#: Different lines of a leaf that are compared without bands.
 LEAF = 4096
 
 FIELD = b"<*>"
@@ -64,20 +64,53 @@ def line_hashes(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(by_slices(f, "text"), "doc_id long, text_hash long, line long, leaf long, line_hash long, n long")
 
 
-def _template_groups(tokens: np.ndarray, order: np.ndarray, depth: int, agree: float) -> np.ndarray:
-    """A group number for each line of one leaf (a matrix of token hashes); ``order`` ranks the lines."""
+def _template_groups(tokens: np.ndarray, order: np.ndarray, depth: int, agree: float) -> np.ndarray:  # noqa: ARG001
+    """A group number for each line of one leaf (a matrix of token hashes): the first line left, by ``order``, and all
+    lines left that agree with it are a group, at whatever ``depth`` the leaf lies and however large it is."""
     group, made = np.full(len(tokens), -1), 0
-    todo = [(np.argsort(order), depth)]
-    while todo:
-        rows, at = todo.pop()
-        if len(rows) > LEAF and at < tokens.shape[1]:
-            by = tokens[rows, at]
-            todo += [(rows[by == t], at + 1) for t in np.unique(by)]
-            continue
+    rows = np.argsort(order)
+    if len(rows) <= LEAF:
         while len(rows):
             same = (tokens[rows] == tokens[rows[0]]).mean(axis=1) >= agree
             group[rows[same]] = made
             made, rows = made + 1, rows[~same]
+        return group
+    width = tokens.shape[1]
+    least = int(np.flatnonzero(np.arange(width + 1) / max(1, width) >= agree)[0])
+    # lines that agree differ in fewer places than there are bands of places, so they share a band
+    values = np.array([len(np.unique(tokens[:, k])) for k in range(width)])
+    places = np.argsort(-values, kind="stable")[: int((values > 1).sum())]
+    bands = width - least + 1
+    if len(places) < bands:
+        group[:] = 0
+        return group
+    of, members, starts, ends = [], [], [], []
+    for b in range(bands):
+        key = np.zeros(len(tokens), np.uint64)
+        for k in places[b::bands]:
+            key = key * np.uint64(0x9E3779B97F4A7C15) + tokens[:, k].astype(np.uint64)
+        _, own, n = np.unique(key, return_inverse=True, return_counts=True)
+        of.append(own)
+        members.append(np.argsort(own, kind="stable"))
+        ends.append(np.cumsum(n))
+        starts.append(ends[b] - n)
+    alone = np.all([(e - s)[own] == 1 for own, s, e in zip(of, starts, ends, strict=True)], axis=0)
+    group[alone] = np.arange(alone.sum())
+    made = int(alone.sum())
+    for r in rows[~alone[rows]].tolist():
+        if group[r] >= 0:
+            continue
+        near = []
+        for own, m, s, e in zip(of, members, starts, ends, strict=True):
+            i = own[r]
+            left = m[s[i] : e[i]]
+            left = left[group[left] < 0]
+            m[s[i] : s[i] + len(left)] = left  # lines that have a group aren't looked at again
+            e[i] = s[i] + len(left)
+            near.append(left)
+        near = np.concatenate(near)
+        group[near[(tokens[near] == tokens[r]).mean(axis=1) >= agree]] = made
+        made += 1
     return group
 
 

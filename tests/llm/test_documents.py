@@ -143,6 +143,27 @@ def test_large_leaves_are_parted(monkeypatch):
         assert ((own == own[0]).mean(axis=1) >= 0.8).all()
 
 
+def test_large_leaves_give_the_same_templates(monkeypatch):
+    """With bands as without: of lines like a few patterns, of unlike ones, and of one template with any name in it."""
+    r = np.random.default_rng(2)
+
+    def parts(tokens, agree, leaf):
+        monkeypatch.setattr(line_dedup, "LEAF", leaf)
+        group = line_dedup._template_groups(tokens, np.arange(len(tokens)), 4, agree)
+        return sorted(np.flatnonzero(group == g).tolist() for g in set(group.tolist()))
+
+    for width in (5, 6, 9, 10, 23):
+        like = r.integers(0, 9, (6, width))[r.integers(0, 6, 400)]
+        like = np.where(r.random(like.shape) < 0.15, r.integers(0, 50, like.shape), like)
+        tokens = np.unique(np.concatenate([like, r.integers(0, 3, (200, width))]), axis=0).astype("<u4")
+        tokens[:, :4] = 7
+        for agree in (0.6, 0.8, 1.0):
+            assert parts(tokens, agree, 4) == parts(tokens, agree, 1 << 20)
+    names = np.full((5000, 11), 3, "<u4")
+    names[:, 4] = np.arange(5000)
+    assert parts(names, 0.8, 4096) == [list(range(5000))]
+
+
 # ---- near-duplicates
 
 
