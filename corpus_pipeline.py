@@ -20,8 +20,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops recurring lines, and documents of which they leave little; ``n_chars`` follows the text."""
-    cut = line_dedup.line_dedup(docs).filter("kept")
+    """Drops recurring lines, and documents of which they leave little; ``n_chars`` follows the text. A document that is
+    nothing but passages of a few others is left to the near-duplicates."""
+    cut = line_dedup.line_dedup(docs, spare=True).filter("kept")
     return cut.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

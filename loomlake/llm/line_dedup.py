@@ -3,8 +3,9 @@
 A line's tokens are its runs between white space; one with a digit is a variable field from the start. The tree has a
 fixed depth: the token count, then the leading tokens. Within a leaf, lines that agree in a share of their places are
 one template, and the places in which they differ become variable fields; in a leaf of more than LEAF different lines
-those to compare are looked up by bands of places, with the same result. A template that recurs in MIN_TEXTS different texts is dropped
-from all documents but the first that has it; a document of which little is left after that goes whole.
+those to compare are looked up by bands of places, with the same result. A template that recurs in MIN_TEXTS different texts, or in
+LONG_TEXTS if it has LONG_LINE tokens, which don't recur by chance, is dropped from all documents but the first that
+has it; a document of which little is left after that goes whole.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .common import bounded_batches, by_slices, release, shuffle_partitions, wit
 #: Leading tokens that the tree looks at, share of places in which lines of a template agree with its first line,
 #: different texts in which a template recurs, and the share of its tokens that a document must keep.
 DEPTH, AGREE, MIN_TEXTS, MIN_KEPT = 4, 0.8, 10, 0.2
+#: Tokens of a line that is a passage, and different texts in which such a one recurs.
+LONG_LINE, LONG_TEXTS = 20, 2
 #: Different lines of a leaf that are compared without bands.
 LEAF = 4096
 
@@ -118,11 +121,12 @@ def recurring(docs: DataFrame, depth: int = DEPTH, agree: float = AGREE, min_tex
     """(lines, templates): the hashed lines of ``line_hashes``, and ``line_hash, first_doc, n_texts`` of each line
     whose template recurs."""
     spark = docs.sparkSession
+    needed = F.when(F.col("n") >= LONG_LINE, F.lit(min(min_texts, LONG_TEXTS))).otherwise(F.lit(min_texts))
     lines = written(line_hashes(docs, depth), "line-hashes")
     # counted over different texts, so that copies of a document don't make its lines boilerplate
-    leaves = lines.select("leaf", "text_hash").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= min_texts).select("leaf")
+    leaves = lines.select("leaf", "n", "text_hash").distinct().groupBy("leaf", "n").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= needed).select("leaf", "n")
     distinct = lines.groupBy("leaf", "line_hash", "n").agg(F.min(F.struct("doc_id", "line")).alias("at"))
-    wanted = distinct.join(leaves, "leaf").select("leaf", "line_hash", "n", F.col("at.doc_id").alias("doc_id"), F.col("at.line").alias("line"))
+    wanted = distinct.join(leaves, ["leaf", "n"]).select("leaf", "line_hash", "n", F.col("at.doc_id").alias("doc_id"), F.col("at.line").alias("line"))
     wanted = written(wanted, "line-wanted")
     # short lines are their own leaf: no tokens are needed where a leaf holds one line
     several = wanted.groupBy("leaf").agg(F.count(F.lit(1)).alias("k"))
@@ -163,9 +167,9 @@ def recurring(docs: DataFrame, depth: int = DEPTH, agree: float = AGREE, min_tex
     single = wanted.filter("k = 1").select("leaf", "line_hash", F.col("line_hash").alias("template"))
     templates = written(parsed.unionByName(single), "line-templates")
     release(spark)
-    seen = lines.select("leaf", "line_hash", "text_hash", "doc_id").join(templates, ["leaf", "line_hash"])
-    per_text = seen.groupBy("leaf", "template", "text_hash").agg(F.min("doc_id").alias("doc_id"))
-    often = per_text.groupBy("leaf", "template").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n_texts")).filter(F.col("n_texts") >= min_texts)
+    seen = lines.select("leaf", "line_hash", "text_hash", "doc_id", "n").join(templates, ["leaf", "line_hash"])
+    per_text = seen.groupBy("leaf", "template", "text_hash").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+    often = per_text.groupBy("leaf", "template").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n_texts"), F.max("n").alias("n")).filter(F.col("n_texts") >= needed)
     found = templates.join(often, ["leaf", "template"]).select("line_hash", "first_doc", "n_texts")
     return lines, found
 
@@ -174,29 +178,35 @@ def hash_token(token: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(token, digest_size=4).digest(), "little")
 
 
-def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", depth: int = DEPTH, agree: float = AGREE, min_texts: int = MIN_TEXTS, min_kept: float = MIN_KEPT) -> DataFrame:
+def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", depth: int = DEPTH, agree: float = AGREE, min_texts: int = MIN_TEXTS, min_kept: float = MIN_KEPT, spare: bool = False) -> DataFrame:
     """``docs`` (all its columns, ``text`` without the dropped lines) plus ``n_lines, n_dropped, kept``.
 
     ``kept`` is false where lines were dropped and less than ``min_kept`` of the document's tokens is left. Lines part
     at ``\\n``; lines without tokens are never dropped. Null and empty texts stay as they are (no lines dropped); rows
     that repeat an id share what is dropped by line number; a null id is treated as any other and loses no lines;
     columns of ``docs`` named like the new ones are replaced. An empty table gives no rows.
+
+    With ``spare``, a document that would have nothing left, such as a copy, keeps the lines that recur in fewer than
+    ``min_texts`` texts: what comes later decides over whole documents.
     """
     new = ("n_lines", "n_dropped", "kept")
     base = docs.drop(*new)
     bounded_batches(docs.sparkSession)
     lines, often = recurring(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), depth, agree, min_texts)
-    gone = lines.join(often.select("line_hash", "first_doc"), "line_hash").filter("doc_id <> first_doc").groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("line").alias("_gone"))
+    often = often.select("line_hash", "first_doc", (F.col("n_texts") >= min_texts).alias("common"))
+    gone = lines.join(often, "line_hash").filter("doc_id <> first_doc").groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("line").alias("_gone"), F.collect_set(F.when(F.col("common"), F.col("line"))).alias("_common"))
     joined = base.join(gone, base[doc_id] == gone["_gone_id"], "left").drop("_gone_id")
     names = [*base.columns, *new]
     at = names.index(text)
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         out, n_lines, n_dropped, kept = [], [], [], []
-        for body, gone_ in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+        for body, gone_, common in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
             parts = body.split("\n") if body else []
             n_lines.append(len(parts))
             drop = {k for k in gone_ or () if k < len(parts)}
+            if spare and drop and not any(x.strip() for k, x in enumerate(parts) if k not in drop):
+                drop = {k for k in common if k < len(parts)}
             n_dropped.append(len(drop))
             if drop:
                 left = [x for k, x in enumerate(parts) if k not in drop]
@@ -206,7 +216,7 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", dept
             else:
                 kept.append(True)
             out.append(body)
-        columns = [pa.array(out, pa.string()) if k == at else batch.column(k) for k in range(batch.num_columns - 1)]
+        columns = [pa.array(out, pa.string()) if k == at else batch.column(k) for k in range(batch.num_columns - 2)]
         return pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.bool_())], names)
 
     return joined.mapInArrow(by_slices(cut, text), with_fields(base.schema, n_lines="long", n_dropped="long", kept="boolean"))

@@ -164,6 +164,21 @@ def test_large_leaves_give_the_same_templates(monkeypatch):
     assert parts(names, 0.8, 4096) == [list(range(5000))]
 
 
+def test_long_lines_go_from_the_second_text_on(spark):
+    """Twenty words in two texts go from the second one; nineteen stay, as do those that only copies of one text have."""
+    r = random.Random(6)
+    long, short, alone = prose(r, EN, 20), prose(r, EN, 19), prose(r, EN, 60)
+    almost = " ".join([*long.split()[:-1], "else"])
+    own = [prose(r, FR, 30) for _ in range(7)]
+    texts = [f"{long}\n{own[0]}", f"{own[1]}\n{long}", f"{own[2]}\n{almost}", f"{short}\n{own[3]}", f"{own[4]}\n{short}", f"{own[5]}\n{alone}", own[6], own[6], alone]
+    df = frame(spark, texts)
+    got = {x["doc_id"]: x for x in line_dedup.line_dedup(df).collect()}
+    assert [got[i]["n_dropped"] for i in range(9)] == [0, 1, 1, 0, 0, 0, 0, 0, 1]
+    assert (got[1]["text"], got[2]["text"], got[8]["text"], got[8]["kept"]) == (own[1], own[2], "", False)
+    spared = {x["doc_id"]: x for x in line_dedup.line_dedup(df, spare=True).collect()}
+    assert (spared[8]["text"], spared[8]["n_dropped"], spared[8]["kept"], spared[1]["text"]) == (alone, 0, True, own[1])
+
+
 # ---- near-duplicates
 
 
