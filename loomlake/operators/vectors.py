@@ -85,7 +85,9 @@ def simhash_bands(vector: Column, bands: int = 8, bits: int = 10, seed: int = 7)
 
 
 def banded_pairs(rows: DataFrame, group: str, key: str, vector: str, least: float) -> DataFrame:
-    """``a, b`` of pairs that share a band and reach ``least``: approximate where ``graph.similar_pairs`` is exact."""
+    """``a, b`` of pairs that share a band and reach ``least``: approximate where ``graph.similar_pairs`` is exact.
+
+    A pair of cosine 0.97 shares one of the 8 bands of 10 bits with a probability of 0.99, one of 0.35 with 0.06."""
     from ..functions import vectors as V
 
     banded = rows.select(group, key, vector, F.explode(simhash_bands(F.col(vector))).alias("_band"))
