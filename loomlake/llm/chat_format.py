@@ -2,8 +2,8 @@
 
 Prefix sums of turn tokens choose the spans: a turn of more than half the room of a window stands alone, the others go
 where the sum before them falls on a grid of half that room, so a window never exceeds its budget unless one turn does
-by itself. Every window starts with the conversation's system turn and a limited history of turns before it; both are
-context, outside the loss mask, so that each assistant text is a target exactly once.
+by itself. Every window starts with the conversation's system turn, however long, and a limited history of turns
+before it; a system turn of more than its share takes the rest from the window's room. Both are context, outside the loss mask, so that each assistant text is a target exactly once.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Tokens of a window; of these for the system turn and for repeated history at most; and those of a turn's markers.
+#: Tokens of a window; of these for the system turn (a longer one takes more) and for repeated history at most; and those of a turn's markers.
 BUDGET, SYSTEM_BUDGET, HISTORY_BUDGET, HISTORY_TURNS, TURN_TOKENS = 2048, 256, 256, 2, 4
 #: Turns of a conversation that are laid out together; a longer one goes on in the next block.
 BLOCK_TURNS = 256
@@ -47,33 +47,46 @@ def chat_windows(turns: DataFrame, budget: int = BUDGET, history_turns: int = HI
     conversation id is a conversation of its own; equal turn numbers are ordered by role and text, repeated rows are
     turns of their own. ``block`` and ``window`` order a conversation's windows. An empty table gives no rows.
     """
-    room = budget - SYSTEM_BUDGET - HISTORY_BUDGET
-    half = max(1, room // 2)
     base = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("_role"), F.coalesce("text", F.lit("")).alias("_text"))
-    rows = base.select("*", F.coalesce(F.floor(F.col("turn") / BLOCK_TURNS), F.lit(1 << 40)).alias("block"), tokens(F.col("_text")).alias("_t"), escaped(F.col("_role")).alias("_r"), escaped(F.col("_text")).alias("_x"))
+    base = base.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK_TURNS), F.lit(1 << 40)))
+    system = base.filter("_role = 'system'").groupBy("conv_id").agg(F.min(F.struct(F.coalesce("turn", F.lit((1 << 63) - 1)).alias("turn"), F.col("_text").alias("x"))).alias("_first_system"))
+    system = system.select(F.col("conv_id").alias("_c"), escaped(F.col("_first_system.x")).alias("_sys"), tokens(F.col("_first_system.x")).alias("_sys_t"))
+    left = F.lit(budget) - F.greatest(F.lit(SYSTEM_BUDGET), F.coalesce("_sys_t", F.lit(0)))
+    most = F.greatest(F.lit(0), F.least(F.lit(HISTORY_BUDGET), F.floor(left / 2)))
+    laid = base.select("*", tokens(F.col("_text")).alias("_t"), escaped(F.col("_role")).alias("_r"), escaped(F.col("_text")).alias("_x"))
+    long = system.filter(F.col("_sys_t") > SYSTEM_BUDGET).select("_c", "_sys_t")
+    rows = laid.join(long, F.col("conv_id").eqNullSafe(F.col("_c")), "left").withColumn("_half", F.greatest(F.lit(1), F.floor((left - most) / 2))).drop("_c", "_sys_t")
     order = [F.col("turn").asc_nulls_last(), "_role", "_text"]
     w = Window.partitionBy("conv_id", "block").orderBy(*order)
     rows = rows.withColumn("_before", F.coalesce(F.sum("_t").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_at", F.row_number().over(w))
-    rows = rows.withColumn("_large", F.col("_t") > half).withColumn("_grid", F.floor(F.col("_before") / half))
+    rows = rows.withColumn("_large", F.col("_t") > F.col("_half")).withColumn("_grid", F.floor(F.col("_before") / F.col("_half")))
     starts = F.col("_large") | F.coalesce(F.lag("_large").over(w), F.lit(True)) | (F.lag("_grid").over(w) != F.col("_grid"))
     rows = rows.withColumn("_starts", starts)
-    past = [F.when(F.col("_starts"), F.lag(F.struct("_at", "_r", "_x", "_t", "_role"), k).over(w)).alias(f"_p{k}") for k in range(1, history_turns + 1)]
-    rows = rows.select("*", F.sum(F.col("_starts").cast("int")).over(w).alias("window"), *past)
-    # history: from the nearest turn back while the sum fits, system turns left out (they come first anyway)
-    fits, total = [], F.lit(0)
-    for k in range(1, history_turns + 1):
-        total = total + F.coalesce(F.col(f"_p{k}._t"), F.lit(0))
-        fits.append(F.when(F.col(f"_p{k}").isNotNull() & (total <= HISTORY_BUDGET) & (F.col(f"_p{k}._role") != "system"), F.struct(_segment(CONTEXT, F.col(f"_p{k}._r"), F.col(f"_p{k}._x")).alias("s"), F.col(f"_p{k}._t").alias("t"))))
-    history = F.filter(F.array(*reversed(fits)), lambda x: x.isNotNull()) if fits else F.expr("array()").cast("array<struct<s:string,t:int>>")
+    turn = F.struct("_r", "_x", "_t", "_role")
+    past = F.filter(F.array(*[F.lag(turn, k).over(w) for k in range(history_turns, 0, -1)]), lambda x: x.isNotNull()) if history_turns else F.array().cast("array<struct<_r:string,_x:string,_t:int,_role:string>>")
+    rows = rows.select("*", F.sum(F.col("_starts").cast("int")).over(w).alias("window"), F.when(F.col("_starts"), past).alias("_past"))
+    # the last turns of the blocks before, where a conversation has several
+    spans = base.groupBy("conv_id").agg(F.min("block").alias("_least"), F.max("block").alias("_most")).filter("_least < _most").select(F.col("conv_id").alias("_c"))
+    back = Window.partitionBy("conv_id", "block").orderBy(F.col("turn").desc_nulls_first(), F.desc("_role"), F.desc("_text"))
+    tails = laid.join(spans, F.col("conv_id").eqNullSafe(F.col("_c")), "left_semi").withColumn("_back", F.row_number().over(back)).filter(F.col("_back") <= max(1, history_turns))
+    tails = tails.groupBy("conv_id", "block").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("_back")).alias("at"), turn.alias("turn")))), lambda x: x["turn"]).alias("_tail"))
+    blocks = Window.partitionBy("conv_id").orderBy("block")  # one row for BLOCK_TURNS turns
+    before = F.flatten(F.filter(F.array(*[F.lag("_tail", k).over(blocks) for k in range(max(1, history_turns), 0, -1)]), lambda x: x.isNotNull()))
+    before = tails.select(F.col("conv_id").alias("_pc"), F.col("block").alias("_pb"), before.alias("_prior")).filter(F.size("_prior") > 0)
     windows = rows.groupBy("conv_id", "block", "window").agg(
         F.sort_array(F.collect_list(F.struct("_at", F.col("_role").eqNullSafe("assistant").alias("target"), F.col("_role").eqNullSafe("system").alias("system"), _segment(NEW, F.col("_r"), F.col("_x")).alias("s"), (F.char_length("_r") + len(NEW) + len(TEXT)).alias("lead"), F.char_length("_x").alias("n")))).alias("_new"),
-        F.first(F.when(F.col("_starts"), history), ignorenulls=True).alias("_history"),
+        F.first("_past", ignorenulls=True).alias("_past"),
         F.min(F.when(F.col("_role") == "system", F.col("_at"))).alias("_system_at"),
         F.sum("_t").alias("_new_t"),
     )
-    system = base.filter("_role = 'system'").groupBy("conv_id").agg(F.min(F.struct(F.coalesce("turn", F.lit((1 << 63) - 1)).alias("turn"), F.col("_text").alias("x"))).alias("_first_system"))
-    system = system.select(F.col("conv_id").alias("_c"), escaped(F.col("_first_system.x")).alias("_sys"), tokens(F.col("_first_system.x")).alias("_sys_t"))
-    joined = windows.join(system.filter(F.col("_sys_t") <= SYSTEM_BUDGET), F.col("conv_id").eqNullSafe(F.col("_c")), "left")
+    joined = windows.join(system, F.col("conv_id").eqNullSafe(F.col("_c")), "left")
+    joined = joined.join(before, F.col("conv_id").eqNullSafe(F.col("_pc")) & (F.col("block") == F.col("_pb")), "left")
+    recent = F.when(F.col("_prior").isNull(), F.col("_past")).otherwise(F.concat("_prior", "_past"))
+    joined = joined.withColumn("_recent", F.slice(F.reverse(recent), 1, history_turns)).withColumn("_most", most)
+    # history: from the nearest turn back while the sum fits, system turns left out (they come first anyway)
+    total = lambda k: F.aggregate(F.slice("_recent", 1, k + 1), F.lit(0), lambda a, x: a + x["_t"])
+    fits = F.filter("_recent", lambda x, k: (total(k) <= F.col("_most")) & (x["_role"] != "system"))
+    joined = joined.withColumn("_history", F.transform(F.reverse(fits), lambda x: F.struct(_segment(CONTEXT, x["_r"], x["_x"]).alias("s"), x["_t"].alias("t"))))
     with_system = F.col("_sys").isNotNull() & F.col("_system_at").isNull()
     head = F.concat(F.when(with_system, _segment(CONTEXT, F.lit("system"), F.col("_sys"))).otherwise(F.lit("")), F.array_join(F.transform("_history", lambda h: h["s"]), ""))
     joined = joined.withColumn("_head", head)

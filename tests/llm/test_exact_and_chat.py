@@ -73,5 +73,23 @@ def test_chat_windows_keep_the_budget_and_the_system_turn(spark):
             assert r["formatted"].rfind(C.NEW, 0, s["start"]) > r["formatted"].rfind(C.CONTEXT, 0, s["start"])
 
 
+def test_chat_keeps_long_system_turns_and_history_over_blocks(spark):
+    """A system turn of 300 tokens starts every window, and the first window of a block repeats the turns before it."""
+    say = "rule " * 300
+    rows = [(1, i, "system" if i == 0 else "assistant" if i % 2 else "user", say if i == 0 else f"t{i} " + "one two " * 40) for i in range(60)]
+    rows += [(2, i, "assistant" if i % 2 else "user", f"no{i}e") for i in range(600)]
+    rows += [(3, i, "system" if i == 0 else "user", "rule " * 1900 if i == 0 else f"short {i}") for i in range(9)]
+    got = C.chat_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("conv_id", "block", "window").collect()
+    mine = [r for r in got if r["conv_id"] == 1]
+    assert len(mine) > 2 and all(say in r["formatted"] and r["n_tokens"] <= C.BUDGET for r in mine) and sum(r["n_new"] for r in mine) == 60
+    assert all("rule " * 1900 in r["formatted"] and r["n_tokens"] <= C.BUDGET for r in got if r["conv_id"] == 3)
+    first = {r["block"]: r["formatted"] for r in got if r["conv_id"] == 2 and r["window"] == 1}
+    for block, turn in ((1, 256), (2, 512)):
+        parts = first[block].split(C.END)[:3]
+        assert [p.split(C.TEXT)[1] for p in parts] == [f"no{turn - 2}e", f"no{turn - 1}e", f"no{turn}e"]
+        assert parts[0].startswith(C.CONTEXT) and parts[1].startswith(C.CONTEXT) and parts[2].startswith(C.NEW)
+    assert first[0].startswith(C.NEW)
+
+
 def test_chat_of_nothing(spark):
     assert C.conversation_digests(C.chat_windows(spark.createDataFrame([], TURNS))).count() == 0
