@@ -13,8 +13,12 @@ from loomlake.llm.common import written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters or like none of the languages that the labelled rows teach."""
-    found = language_id.identify(docs, language_id.learn(docs))
+    """Drops documents without letters or like none of the languages that the labelled rows teach; where they teach
+    none, only those without letters."""
+    learned = language_id.learn(docs)
+    if learned.empty:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    found = language_id.identify(docs, learned)
     kept = (F.col("lang_pred") != language_id.UNDECIDED) & (F.col("score") >= language_id.LEAST_SCORE)
     return found.filter(kept).select(*docs.columns)
 

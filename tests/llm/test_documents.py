@@ -82,6 +82,23 @@ def test_language_is_found(spark):
     assert {x["lang_pred"] for x in language_id.identify(df, language_id.learn(empty)).collect()} == {"und"}
 
 
+@pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_the_pipeline_drops_what_is_no_language(spark):
+    import base64
+
+    import corpus_pipeline
+
+    r = random.Random(4)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("text rlike '\\\\p{L}'")
+    junk = [base64.b64encode(r.randbytes(3000)).decode(), r.randbytes(3000).hex(), " ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(2, 9))) for _ in range(400))]
+    more = frame(spark, junk).selectExpr("-1 - doc_id doc_id", "text", "cast(null as string) lang", "source", "n_chars")
+    both = docs.select(*more.columns).unionByName(more)
+    kept = {x["doc_id"] for x in corpus_pipeline.language(spark, both, "").select("doc_id").collect()}
+    assert kept == {x["doc_id"] for x in docs.select("doc_id").collect()}
+    unlabelled = frame(spark, ["some words", "12 34", None]).selectExpr("doc_id", "text", "cast(null as string) lang", "source", "n_chars")
+    assert [x["doc_id"] for x in corpus_pipeline.language(spark, unlabelled, "").collect()] == [0]
+
+
 # ---- lines
 
 
