@@ -287,7 +287,8 @@ def test_masks_leave_a_hit_for_every_fifth_word():
             assert any(not f & bits for f in fits)
 
 
-def plain_overlaps(texts, items, least=0.8):
+def plain_overlaps(texts, items, least=0.8, run=13):
+    """Every interval of every item at every placing."""
     blank = str.maketrans({chr(c): " " for c in range(128) if not chr(c).isalnum()})
     words = lambda t: [w for w in (t or "").lower().translate(blank).split(" ") if w]
     out = []
@@ -295,13 +296,18 @@ def plain_overlaps(texts, items, least=0.8):
         w = words(t)
         for j, item in enumerate(items):
             v = words(item)
-            best = None
+            found = []
             for d in range(-len(v) + 1, len(w)):
-                m = sum(w[d + k] == x for k, x in enumerate(v) if 0 <= d + k < len(w))
-                if v and m >= least * len(v) - 1e-9 and (best is None or m > best[1]):
-                    best = (d, m)
-            if best:
-                out.append((i, j, *best, len(v)))
+                own = [0 <= d + k < len(w) and w[d + k] == x for k, x in enumerate(v)]
+                if sum(own) < least * min(run, len(v)) - 1e-9:
+                    continue
+                runs = [(b - a, -a) for a in range(len(v)) for b in range(a + min(run, len(v)), len(v) + 1) if sum(own[a:b]) >= least * (b - a) - 1e-6]
+                if runs:
+                    n, a = max(runs)
+                    found.append((sum(own[-a : -a + n]), n, -d, -a))
+            if found:
+                m, n, d, a = max(found)
+                out.append((i, j, -d, m, len(v), a, n))
     return out
 
 
@@ -314,8 +320,11 @@ def test_overlaps_match_brute_force(spark, monkeypatch):
             v = [r.choice(FR) if r.random() < share else x for x in item.split()]
             texts.append(prose(r, FR, r.randint(0, 30)) + "\n" + ", ".join(v).upper() + ". " + prose(r, FR, r.randint(0, 30)))
         texts.append(" ".join(item.split()[len(item.split()) // 8 :]))
+    v = items[8].split()
+    texts += [" ".join(v[:14]), " ".join(v[20:32]), " ".join([*v[:19], "put", "in", *v[19:]]), " ".join([*v[:15], *v[16:]]), " ".join(v[:13]) + " " + " ".join(v[25:])]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     df = frame(spark, texts, more="place item_id").repartition(3)
+    assert len(decontaminate.longest_run(np.array([True] * 3 + [False] + [True] * 8), 0.8)) == 2
     want = plain_overlaps(texts, items)
     assert sorted(map(tuple, decontaminate.overlaps(df, bench).collect())) == want
     clean = decontaminate.decontaminated(df, bench)
@@ -325,6 +334,9 @@ def test_overlaps_match_brute_force(spark, monkeypatch):
     assert sorted(x["doc_id"] for x in decontaminate.decontaminated(df, bench).collect()) == sorted(x["doc_id"] for x in clean.collect())
     assert decontaminate.overlaps(df.filter("doc_id < 0"), bench).count() == 0
     assert decontaminate.overlaps(df, bench.filter("item_id < 0")).count() == 0
+    same = spark.createDataFrame([(None, items[6]), (-1, items[6]), (None, None)], "item_id long, text string")
+    twice = spark.createDataFrame([(None, items[6]), (1, items[6]), (1, items[6])], "doc_id long, text string")
+    assert sorted(map(str, (x[:2] for x in decontaminate.overlaps(twice, same).collect()))) == sorted(map(str, [(d, i) for d in (None, 1, 1) for i in (None, -1)]))
 
 
 # ---- the pipeline
