@@ -1,9 +1,11 @@
 """Exact dedup by a content sort, in DataFrame operations only.
 
-Sampled splitters (``repartitionByRange``) deal the normalised texts out in the order of their bytes, each partition
-is sorted externally, and equal neighbours are found by comparing the full normalised texts. A copy group of any size
-is first split by a salt of as many values as there are partitions; each part sends one leader to a second sort, so no
-task holds a whole hot group, and a text travels at most twice.
+Sampled splitters (``repartitionByRange``) deal the normalised texts out by their beginnings; each partition is sorted
+externally by the bytes of the whole normalised text, so that equal texts are neighbours, and neighbours are compared
+in full. Splitters are short, as a sample of them goes to the driver: a beginning, and a number that parts the texts
+that share it, however many. A copy group of any size is first split by a salt of as many values as there are
+partitions; each part sends one leader to a second sort, so no task holds a whole hot group, and a text travels at
+most twice.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_partitions
 
-#: Code points of the normalised text that order it; equal beginnings are ordered by the digest of the whole text.
+#: Code points of the normalised text that a splitter holds.
 PREFIX = 48
 _BLANKS = " \t\n\x0b\x0c\r"
 
@@ -33,17 +35,18 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", par
     n = partitions or shuffle_partitions(docs.sparkSession)
     norm = normalised(F.col(text))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), norm.alias("_norm"), (-F.coalesce(F.char_length(F.col(text)), F.lit(0))).alias("_short")).select(
-        "*", F.substring("_norm", 1, PREFIX).alias("_head"), F.sha2(F.col("_norm"), 256).alias("text_sha256"), F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("_salt")
+        "*", F.substring("_norm", 1, PREFIX).alias("_head"), F.xxhash64("_norm").alias("_mix"), F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("_salt")
     )
     order = [F.col("_short"), F.col("doc_id").asc_nulls_last()]
-    part = Window.partitionBy("_head", "text_sha256", "_salt", "_norm")
-    ranked = rows.repartitionByRange(n, "_head", "text_sha256", "_salt").select(
-        "doc_id", "_short", "_head", "text_sha256", "_norm", F.first("doc_id").over(part.orderBy(*order)).alias("_leader"), F.row_number().over(part.orderBy(*order)).alias("_at"), F.count(F.lit(1)).over(part).alias("_n")
-    )
-    whole = Window.partitionBy("_head", "text_sha256", "_norm")
+    # the sort goes by the whole text first; what the splitters hold follows from it
+    part = Window.partitionBy("_norm", "_head", "_mix", "_salt")
+    ranked = rows.repartitionByRange(n, "_head", "_mix", "_salt").select(
+        "doc_id", "_short", "_head", "_mix", "_norm", F.first("doc_id").over(part.orderBy(*order)).alias("_leader"), F.row_number().over(part.orderBy(*order)).alias("_at"), F.count(F.lit(1)).over(part).alias("_n")
+    ).withColumn("text_sha256", F.sha2("_norm", 256))
+    whole = Window.partitionBy("_norm", "_head", "_mix")
     leaders = (
         ranked.filter("_at = 1")
-        .repartitionByRange(n, "_head", "text_sha256")
+        .repartitionByRange(n, "_head", "_mix")
         .select(F.col("doc_id").alias("_lead_id"), F.col("text_sha256").alias("_lead_sha"), F.first("doc_id").over(whole.orderBy(*order)).alias("keep_id"), F.sum("_n").over(whole).alias("group_size"), F.row_number().over(whole.orderBy(*order)).alias("_first"))
     )
     found = ranked.select("doc_id", "_leader", "text_sha256", "_at").join(leaders, F.col("_leader").eqNullSafe(F.col("_lead_id")) & (F.col("text_sha256").eqNullSafe(F.col("_lead_sha"))))
