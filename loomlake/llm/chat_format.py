@@ -31,8 +31,9 @@ def unescaped(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Pieces of letters, single digits and runs of signs: the estimate of a turn's tokens."""
-    return F.regexp_count(text, F.lit(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")) + F.lit(TURN_TOKENS)
+    """Pieces of up to eight letters, single digits and up to four signs: the estimate of a turn's tokens. A long run
+    counts by its length."""
+    return F.regexp_count(text, F.lit(r"\p{L}{1,8}|\p{N}|[^\s\p{L}\p{N}]{1,4}")) + F.lit(TURN_TOKENS)
 
 
 def _segment(marker: str, role: Column, text: Column) -> Column:
