@@ -9,7 +9,8 @@ How it scales. Shingles never become rows: a block of documents sends its distin
 share of the hash space, and gets back the frequency of those that other documents have too. Texts that are equal
 word for word are one class from the start. Documents of one band are linked to the band's least document only, the
 connected components of these links are gathered, and within a component every pair is compared exactly; a component
-of more than MEMBERS documents is compared block by block, so that a task never holds more than two blocks.
+of more than MEMBERS documents or MEMBER_SHINGLES shingles is compared block by block, so that a task never holds more
+than two blocks. Rows are told apart by their block and their place in its order, not by their ids.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, R = 12, 3
 #: Bytes of text that are one block, and of text whose shingle hashes go to one share.
 BLOCK_BYTES, SHARE_BYTES = 6 << 20, 12 << 20
-#: Documents of a component that one block holds.
-MEMBERS = 4096
+#: Documents of a component that one block holds, and their shingles, about (a longer text is a block of its own).
+MEMBERS, MEMBER_SHINGLES = 4096, 1 << 21
 #: Steps in which document frequencies are kept, for each doubling.
 STEPS = 8
 
@@ -114,9 +115,20 @@ def _text_column(t: pa.Table) -> pa.Array:
     return pa.concat_arrays([x.cast(pa.large_string()) for x in c.chunks]) if c.num_chunks else pa.array([], pa.large_string())
 
 
-def _weighted(texts: pa.Table, levels: pa.Table, shares: int, documents: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _ordered(t: pa.Table) -> pa.Table:
+    """A block in the order that tells its rows apart: by id (nulls last), then text; rows equal in both may change
+    places."""
+    return t.combine_chunks().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+
+
+def _nodes(t: pa.Table) -> np.ndarray:
+    """A number for each row of an ordered block, different in all blocks."""
+    return (t.column("block")[0].as_py() << 32) + np.arange(t.num_rows) if t.num_rows else np.zeros(0, np.int64)
+
+
+def _weighted(words: Words, levels: pa.Table, shares: int, documents: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Shingles, weights and bounds of each text of a block."""
-    h, tf, first = _sets(Words(_text_column(texts)))
+    h, tf, first = _sets(words)
     all_ = _distinct(h)
     bounds = np.searchsorted(_share_of(all_, shares), np.arange(shares + 1))
     level = np.zeros(len(all_), np.uint8)
@@ -135,7 +147,14 @@ class NearDedup:
         self.documents = size["n"]
         self.blocks = max(1, round((size["b"] or 0) / BLOCK_BYTES), size["n"] >> 17)
         self.shares = max(4, round((size["b"] or 0) / SHARE_BYTES))
-        self.docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(doc_id).cast("long")), F.lit(self.blocks)).cast("int").alias("block"))
+        # by id and text, so that rows without ids or under one id spread
+        block = F.pmod(F.xxhash64(F.col(doc_id).cast("long"), F.col(text)), F.lit(self.blocks)).cast("int")
+        self.docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), block.alias("block"))
+        self.key = "_block"
+        while self.key in docs.columns:
+            self.key += "_"
+        self.whole = docs.withColumn(self.key, block)
+        self.text, self.doc_id = text, doc_id
 
     def frequencies(self) -> DataFrame:
         """``block, share, at, level``: of a block's distinct shingles (ascending, within a share) those that occur in
@@ -187,12 +206,14 @@ class NearDedup:
         return sent.groupBy("share").applyInArrow(count, "block int, share int, at binary, level binary")
 
     def signatures(self, levels: DataFrame) -> DataFrame:
-        """``doc_id, text_key, bands``: texts equal word for word have equal keys; no words: a key and no bands."""
+        """``doc_id, node, text_key, size, bands``: texts equal word for word have equal keys; no words: a key and no
+        bands. ``size`` is the number of shingles."""
         shares, documents = self.shares, self.documents
 
         def sign(texts: pa.Table, own: pa.Table) -> pa.Table:
-            h, w, first = _weighted(texts, own, shares, documents)
+            texts = _ordered(texts)
             words = Words(_text_column(texts))
+            h, w, first = _weighted(words, own, shares, documents)
             size = np.diff(first)
             some = np.flatnonzero(size)
             bands = np.zeros((len(size), BANDS), np.uint64)
@@ -207,64 +228,85 @@ class NearDedup:
                 seq = words.hash[words.first[i] : words.first[i + 1]]
                 keys.append(_sequence_key(seq))
             lists = [bands[i].view(np.int64).tolist() if size[i] else [] for i in range(len(size))]
-            return pa.table({"doc_id": texts.column("doc_id"), "text_key": pa.array(keys, pa.string()), "bands": pa.array(lists, pa.list_(pa.int64()))})
+            return pa.table({"doc_id": texts.column("doc_id"), "node": pa.array(_nodes(texts)), "text_key": pa.array(keys, pa.string()), "size": pa.array(size), "bands": pa.array(lists, pa.list_(pa.int64()))})
 
-        return self.docs.groupBy("block").cogroup(levels.groupBy("block")).applyInArrow(sign, "doc_id long, text_key string, bands array<long>")
+        return self.docs.groupBy("block").cogroup(levels.groupBy("block")).applyInArrow(sign, "doc_id long, node long, text_key string, size long, bands array<long>")
 
     def sets(self, chosen: DataFrame, levels: DataFrame) -> DataFrame:
-        """``cluster, k, doc_id, shingles, weights`` of the documents in ``chosen`` (``doc_id, cluster, k``): what is
-        chosen goes to the blocks, as the levels do, so that a text travels once."""
+        """``cluster, k, node, shingles, weights`` of the rows in ``chosen`` (``node, cluster, k``): what is chosen goes
+        to the blocks, as the levels do, so that a text travels once."""
         shares, documents = self.shares, self.documents
 
         def give(texts: pa.Table, own: pa.Table) -> pa.Table:
             kind = own.column("kind").to_numpy()
-            wanted = own.filter(pa.array(kind == 1))
-            place = {d: i for i, d in enumerate(wanted.column("doc_id").to_pylist())}
-            at = np.array([place.get(d, -1) for d in texts.column("doc_id").to_pylist()], np.int64)
-            mine = np.flatnonzero(at >= 0)
-            if not len(mine):
-                return pa.table({"cluster": pa.array([], pa.int64()), "k": pa.array([], pa.int32()), "doc_id": pa.array([], pa.int64()), "shingles": _binary([]), "weights": _binary([])})
-            h, w, first = _weighted(texts, own.filter(pa.array(kind == 0)), shares, documents)
-            rows = wanted.take(pa.array(at[mine]))
-            return pa.table({"cluster": rows.column("cluster"), "k": rows.column("k").cast(pa.int32()), "doc_id": rows.column("doc_id"), "shingles": _binary([h[first[i] : first[i + 1]] for i in mine]), "weights": _binary([w[first[i] : first[i + 1]] for i in mine])})
+            rows = own.filter(pa.array(kind == 1))
+            if not rows.num_rows:
+                return pa.table({"cluster": pa.array([], pa.int64()), "k": pa.array([], pa.int32()), "node": pa.array([], pa.int64()), "shingles": _binary([]), "weights": _binary([])})
+            texts = _ordered(texts)
+            mine = rows.column("node").to_numpy() & ((1 << 32) - 1)
+            h, w, first = _weighted(Words(_text_column(texts)), own.filter(pa.array(kind == 0)), shares, documents)
+            return pa.table({"cluster": rows.column("cluster"), "k": rows.column("k").cast(pa.int32()), "node": rows.column("node"), "shingles": _binary([h[first[i] : first[i + 1]] for i in mine]), "weights": _binary([w[first[i] : first[i + 1]] for i in mine])})
 
         none = lambda kind: F.lit(None).cast(kind)
-        block = F.pmod(F.xxhash64("doc_id"), F.lit(self.blocks)).cast("int")
-        both = levels.select("block", F.lit(0).alias("kind"), "share", "at", "level", none("long").alias("doc_id"), none("long").alias("cluster"), none("int").alias("k")).unionByName(
-            chosen.select(block.alias("block"), F.lit(1).alias("kind"), none("int").alias("share"), none("binary").alias("at"), none("binary").alias("level"), "doc_id", "cluster", "k")
+        block = F.shiftright("node", 32).cast("int")
+        both = levels.select("block", F.lit(0).alias("kind"), "share", "at", "level", none("long").alias("node"), none("long").alias("cluster"), none("int").alias("k")).unionByName(
+            chosen.select(block.alias("block"), F.lit(1).alias("kind"), none("int").alias("share"), none("binary").alias("at"), none("binary").alias("level"), "node", "cluster", "k")
         )
-        return self.docs.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(give, "cluster long, k int, doc_id long, shingles binary, weights binary")
+        return self.docs.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(give, "cluster long, k int, node long, shingles binary, weights binary")
 
     def classes(self) -> DataFrame:
-        """``doc_id, class_id, n_links``: see ``near_dedup``."""
+        """``doc_id, class_id, n_links, kept, node``: see ``near_dedup``; ``node`` tells the rows apart."""
         levels = written(self.frequencies(), "near-levels")
         release(self.spark)
         signed = written(self.signatures(levels), "near-signatures")
         release(self.spark)
-        keys = signed.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+        # of equal texts the row with the least id (nulls last) stands for all
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first")
+        keys = signed.groupBy("text_key").agg(F.min("node").alias("rep"), first, F.first("size").alias("size"), F.first("bands").alias("bands"))
         keys = written(keys, "near-texts")
         bands = keys.select("rep", F.posexplode("bands").alias("band", "h"))
         shared = bands.groupBy("band", "h").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
         edges = bands.join(shared, ["band", "h"]).filter("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
-        clusters = components(written(edges, "near-candidates"))
+        clusters = components(written(edges, "near-candidates")).join(keys.select(F.col("rep").alias("node"), "size"), "node")
         found = written(self.links(clusters, levels), "near-links")
         release(self.spark)
-        merged = components(found.filter("doc_id <> root").select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
-        ends = found.groupBy(F.col("doc_id").alias("rep")).agg(F.sum("links").alias("links"))
-        table = keys.select("text_key", "rep").join(merged.withColumnsRenamed({"node": "rep", "root": "class_id"}), "rep", "left").join(ends, "rep", "left")
-        table = table.select("text_key", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
-        return signed.select("doc_id", "text_key").join(table, "text_key").select("doc_id", "class_id", "n_links")
+        merged = components(found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+        ends = found.groupBy(F.col("node").alias("rep")).agg(F.sum("links").alias("links"))
+        # classes of several texts: the first row of all
+        several = merged.withColumnsRenamed({"node": "rep"}).join(keys.select("rep", "first"), "rep")
+        best = several.groupBy("root").agg(F.min("first").alias("best"))
+        several = several.select("rep", "root").join(best, "root").select("rep", "best")
+        table = keys.select("text_key", "rep", "first").join(several, "rep", "left").join(ends, "rep", "left")
+        table = table.select("text_key", F.coalesce("best", "first").alias("best"), F.coalesce("links", F.lit(0)).alias("n_links"))
+        return signed.select("doc_id", "node", "text_key").join(table, "text_key").select("doc_id", F.col("best.doc_id").alias("class_id"), "n_links", (F.col("node") == F.col("best.node")).alias("kept"), "node")
+
+    def deduplicated(self) -> DataFrame:
+        """The rows of the table, all columns, of which one stays of each class."""
+        kept = self.classes().filter("kept").select(F.shiftright("node", 32).cast("int").alias(self.key), "node")
+        schema = self.whole.drop(self.key).schema
+        names, text, doc_id = schema.names, self.text, self.doc_id
+
+        def pick(rows: pa.Table, own: pa.Table) -> pa.Table:
+            if not own.num_rows or not rows.num_rows:
+                return rows.select(names).slice(0, 0)
+            import pyarrow.compute as pc
+
+            keyed = pa.table({"doc_id": pc.cast(rows.column(doc_id), pa.int64()), "text": rows.column(text), "at": pa.array(np.arange(rows.num_rows))})
+            order = _ordered(keyed).column("at").to_numpy()
+            return rows.select(names).take(pa.array(order[own.column("node").to_numpy() & ((1 << 32) - 1)]))
+
+        return self.whole.groupBy(self.key).cogroup(kept.groupBy(self.key)).applyInArrow(pick, schema)
 
     def links(self, clusters: DataFrame, levels: DataFrame) -> DataFrame:
-        """``doc_id, root, links``: for each document of a candidate component, and each pair of blocks it is in, the
-        least document it is connected to there and the number of distinct texts it is linked with there."""
-        size = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-        blocks = F.ceil(F.col("n") / MEMBERS).cast("int")
-        chosen = clusters.join(size.select("root", blocks.alias("k")), "root").select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"), "k")
+        """``node, root, links``: for each row of a candidate component (``node, root, size``), and each pair of blocks
+        it is in, the least row it is connected to there and the number of distinct texts it is linked with there."""
+        size = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
+        blocks = F.greatest(F.ceil(F.col("n") / MEMBERS), F.ceil(F.col("shingles") / MEMBER_SHINGLES)).cast("int")
+        chosen = clusters.join(size.select("root", blocks.alias("k")), "root").select("node", F.col("root").alias("cluster"), "k")
         sets = self.sets(chosen, levels)
-        own = F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int")
+        own = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
         pair = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j")))
-        tasks = sets.withColumn("own", own).withColumn("pair", F.explode(pair)).select("cluster", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "own", "doc_id", "shingles", "weights")
+        tasks = sets.withColumn("own", own).withColumn("pair", F.explode(pair)).select("cluster", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "own", "node", "shingles", "weights")
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         dealt = tasks.repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
         least = self.similarity
@@ -272,9 +314,9 @@ class NearDedup:
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for group in _groups(batches, 3):
                 doc, root, links = _verified(group, least)
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(root), pa.array(links)], ["doc_id", "root", "links"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(root), pa.array(links)], ["node", "root", "links"])
 
-        return dealt.mapInArrow(verify, "doc_id long, root long, links long")
+        return dealt.mapInArrow(verify, "node long, root long, links long")
 
 
 def _sequence_key(words: np.ndarray) -> str:
@@ -309,13 +351,13 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
 
 
 def _verified(group: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, least document that it is connected to here, links) of the group: a pair is linked where its weighted
+    """(row, least row that it is connected to here, links) of the group: a pair is linked where its weighted
     Jaccard similarity is ``least`` or more, and where two blocks meet, only if it has one of each.
 
     Every pair is compared, one document against all others at a time; what is given is a row a document, however
     many pairs there are.
     """
-    ids, own = group.column("doc_id").to_numpy(), group.column("own").to_numpy()
+    ids, own = group.column("node").to_numpy(), group.column("own").to_numpy()
     two = group.column("i")[0].as_py() != group.column("j")[0].as_py()
     sh = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("shingles")]
     w = [np.frombuffer(x.as_buffer(), np.float32) for x in group.column("weights")]
@@ -383,10 +425,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: ``doc_id, class_id`` (the least id of its class), ``n_links`` (distinct other texts that
-    its text reaches the similarity with).
+    its text reaches the similarity with), ``kept`` (true for one row of each class).
 
     Texts that are equal word for word are in one class; so are all texts without words, nulls among them; a text of
-    fewer than five words is one shingle. Ids should be distinct and not null; rows that repeat an id get a row each.
-    Other columns are ignored; an empty table gives no rows.
+    fewer than five words is one shingle. Rows that repeat an id are rows of their own, whose texts alone decide; a null
+    id sorts last, and a class without ids has a null ``class_id``. The row that is kept has the least id, of several
+    any one. Other columns are ignored; an empty table gives no rows.
     """
-    return NearDedup(docs, text, doc_id, similarity).classes()
+    return NearDedup(docs, text, doc_id, similarity).classes().drop("node")
+
+
+def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` (all its columns) with one row of each class of ``near_dedup``: the one that it marks as kept."""
+    return NearDedup(docs, text, doc_id, similarity).deduplicated()

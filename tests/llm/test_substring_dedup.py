@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from loomlake.llm.induced_sort import repeated_starts, suffix_order, symbols
 from loomlake.llm.substring_dedup import SubstringDedup, brute_force, digests, substring_dedup
@@ -61,3 +62,15 @@ def test_query_matches_brute_force(spark):
 
 def test_of_nothing(spark):
     assert substring_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("length", [1, 2, 4, 7, 8, 9])
+def test_short_strings(length):
+    for texts in ([b"abcdefgh"], [b"abab", b"ba"], [b"aaaa"], [b"abcdefgh", b"xbcdefghi"]):
+        count = {}
+        for t in texts:
+            for i in range(len(t) - length + 1):
+                count[t[i : i + length]] = count.get(t[i : i + length], 0) + 1
+        want = sorted((k, i) for k, t in enumerate(texts) for i in range(len(t) - length + 1) if count[t[i : i + length]] > 1)
+        seg, at = repeated_starts(texts, np.ones(len(texts), int), length)
+        assert sorted(zip(seg.tolist(), at.tolist(), strict=True)) == want
