@@ -31,9 +31,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each class of near-duplicates."""
-    least = near_dedup.near_dedup(docs).filter("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(least, "doc_id", "left_semi").select(*docs.columns)
+    """Keeps one row of each class of near-duplicates, the one with the least id; rows without ids count too."""
+    return near_dedup.deduplicated(docs)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
