@@ -7,10 +7,13 @@ documents and one over all. Reading checks every chunk against its address, ever
 recipes against the manifest.
 
 Layout under one folder (Parquet containers, so that any store Spark writes to will do):
-  pool/kind=chunk   address binary, doc_id long, at long, n long, ids binary (little-endian, ``width`` bytes an id, as
+  pool/kind=chunk   address binary, row binary, at long, n long, ids binary (little-endian, ``width`` bytes an id, as
                     a zstd frame), shared boolean (whether it has uses besides this one)
-  pool/kind=use     address binary, doc_id long, at long (the chunk's place in its document), n long (its ids)
-  recipes           part int, doc_id long, start long, n_tokens long, chunks array<binary>, root binary
+  pool/kind=use     address binary, row binary, doc_id long, at long (the chunk's place in its document), n long
+  recipes           part int, doc_id long, row binary, copies long, start long (of the first copy), n_tokens long,
+                    chunks array<binary>, root binary
+A row is the hash of a document's id and ids: documents under one id, or without one, are told apart, and rows that
+are equal in both share a recipe that says how many they are.
   manifest          part int, first_start long, n_docs long, n_ids long, width int, root binary (part -1: over all)
 """
 
@@ -81,9 +84,9 @@ def merkle_root(leaves: list[bytes]) -> bytes:
 def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 1, text: str = "text", doc_id: str = "doc_id") -> None:
     """Encodes every whole text, appends ``end_id``, and writes the store in ascending order of ``doc_id``.
 
-    Null texts are empty (the end id alone). Ids must be distinct and not null: a store that holds two documents under
-    one id can't give either back, so such input raises when it is read. Other columns are ignored. An empty table
-    gives a store of no documents.
+    Null texts are empty (the end id alone). Documents without an id come last; those that share an id are documents of
+    their own, in the order of their hash, and each comes back as often as it was given. Other columns are ignored. An
+    empty table gives a store of no documents.
     """
     spark = docs.sparkSession
     file = tokenizer or default_path()
@@ -101,14 +104,16 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
             whole, first = np.insert(ids, at[1:], end_id), at + np.arange(len(at))
             hits = _hits(whole)
             lo, hi = np.searchsorted(hits, first[:-1] + SEEN), np.searchsorted(hits, first[1:], "right")
-            names, doc, place, count, blob, tell = [], [], [], [], [], []
+            names, rows, doc, place, count, blob, tell = [], [], [], [], [], [], []
             for k, d in enumerate(batch.column(0).to_pylist()):
                 own = whole[first[k] : first[k + 1]]
+                row = hashlib.blake2b(own.tobytes(), digest_size=16, key=repr(d).encode()).digest()
                 last = 0
                 for i, end in enumerate(cut_points(own, hits[lo[k] : hi[k]] - first[k])):
                     raw = own[last:end].tobytes()
                     address = hashlib.sha256(raw).digest()
                     names.append(address)
+                    rows.append(row)
                     doc.append(d)
                     place.append(i)
                     count.append(end - last)
@@ -121,49 +126,34 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
             if len(stored) > 200_000:
                 stored.clear()
                 told.clear()
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(doc, pa.int64()), pa.array(place, pa.int64()), pa.array(count, pa.int64()), pa.array(blob, pa.binary()), pa.array(tell, pa.bool_())], ["address", "doc_id", "at", "n", "ids", "tell"])
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(rows, pa.binary()), pa.array(doc, pa.int64()), pa.array(place, pa.int64()), pa.array(count, pa.int64()), pa.array(blob, pa.binary()), pa.array(tell, pa.bool_())], ["address", "row", "doc_id", "at", "n", "ids", "tell"])
 
         yield from by_slices(one, "text")(batches)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    uses = rows.mapInArrow(chunked, "address binary, doc_id long, at long, n long, ids binary, tell boolean")
+    uses = rows.mapInArrow(chunked, "address binary, row binary, doc_id long, at long, n long, ids binary, tell boolean")
     # each use is a row; of a chunk, a task sends one row with its bytes and at most one more that tells it comes again,
     # and the rows of an address meet in one partition
     tagged = uses.select("*", F.explode(F.when(F.col("tell"), F.array(F.lit("use"), F.lit("chunk"))).otherwise(F.array(F.lit("use")))).alias("kind"))
     n = shuffle_partitions(spark)
     is_use = F.col("kind") == "use"
-    dealt = tagged.select("kind", "address", "doc_id", "at", "n", F.when(~is_use, F.col("ids")).alias("ids"), F.when(is_use, F.pmod(F.xxhash64("doc_id", "at"), F.lit(1 << 20))).otherwise(F.lit(-1)).alias("_salt"))
-
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
-        names = ["kind", "address", "doc_id", "at", "n", "ids", "shared"]
-        held = None
-        for b in batches:
-            out = []
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if row[0] == "use":
-                    out.append((*row, None))
-                elif held and held[1] == row[1]:
-                    held = (*held[:6], True)
-                else:
-                    if held:
-                        out.append(held)
-                    held = (*row, False)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(held, kinds, strict=True)], names)
-
-    pool = dealt.repartition(n, "kind", "address", "_salt").sortWithinPartitions("kind", "address", F.col("ids").isNull(), "doc_id", "at").select("kind", "address", "doc_id", "at", "n", "ids").mapInArrow(once, "kind string, address binary, doc_id long, at long, n long, ids binary, shared boolean")
+    dealt = tagged.select("kind", "address", "row", "doc_id", "at", "n", F.when(~is_use, F.col("ids")).alias("ids"), F.when(is_use, F.pmod(F.xxhash64("row", "at"), F.lit(1 << 20))).otherwise(F.lit(-1)).alias("_salt"))
+    # of the rows of a chunk the first with its bytes stays, and tells whether there are more
+    same = Window.partitionBy("kind", "address", "_salt").orderBy(F.col("ids").isNull(), "row", "at")
+    shared = F.when(is_use, F.lit(None).cast("boolean")).otherwise(F.lead("at").over(same).isNotNull())
+    pool = dealt.repartition(n, "kind", "address", "_salt").select("*", F.row_number().over(same).alias("_first"), shared.alias("shared")).filter(is_use | (F.col("_first") == 1)).select("kind", "address", "row", "doc_id", "at", "n", "ids", "shared")
     pool.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/pool")
     release(spark)
 
-    used = spark.read.schema(_POOL).parquet(f"{path}/pool").filter("kind = 'use'").select("address", "doc_id", "at", "n")
-    recipes = used.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.transform(F.sort_array(F.collect_list(F.struct("at", "address"))), lambda x: x["address"]).alias("chunks"))
-    recipes.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").select(F.spark_partition_id().alias("part"), "doc_id", "n_tokens", "chunks").write.parquet(staged := f"{path}/staged")
-    kept = spark.read.schema("part int, doc_id long, n_tokens long, chunks array<binary>").parquet(staged)
+    used = spark.read.schema(_POOL).parquet(f"{path}/pool").filter("kind = 'use'").select("address", "row", "doc_id", "at", "n")
+    recipes = used.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.count_if(F.col("at") == 0).alias("copies"), F.sum("n").alias("_n"), F.transform(F.sort_array(F.collect_list(F.struct("at", "address"))), lambda x: x["address"]).alias("_all"))
+    # copies of a row repeat each chunk
+    recipes = recipes.select("doc_id", "row", "copies", F.expr("_n div copies").alias("n_tokens"), F.filter("_all", lambda x, i: i % F.col("copies") == 0).alias("chunks"))
+    order = [F.col("doc_id").asc_nulls_last(), F.col("row")]
+    recipes.repartitionByRange(n, *order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "doc_id", "row", "copies", "n_tokens", "chunks").write.parquet(staged := f"{path}/staged")
+    kept = spark.read.schema("part int, doc_id long, row binary, copies long, n_tokens long, chunks array<binary>").parquet(staged)
     firsts, total = {}, 0
-    for r in kept.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():  # one row per range
+    for r in kept.groupBy("part").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("n")).orderBy("part").collect():  # one row per range
         firsts[r["part"]], total = total, total + r["n"]
     offsets = spark.createDataFrame([(int(k), int(v)) for k, v in firsts.items()], "part int, first_start long")
 
@@ -171,22 +161,22 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
     def root(chunks):  # noqa: ANN001, ANN202
         return chunks.map(lambda c: merkle_root(list(c)))
 
-    before = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    kept.withColumn("_before", before).join(F.broadcast(offsets), "part").select("part", "doc_id", (F.col("first_start") + F.col("_before")).alias("start"), "n_tokens", "chunks", root("chunks").alias("root")).write.option("compression", "zstd").parquet(f"{path}/recipes")
+    before = F.coalesce(F.sum(F.col("n_tokens") * F.col("copies")).over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept.withColumn("_before", before).join(F.broadcast(offsets), "part").select("part", "doc_id", "row", "copies", (F.col("first_start") + F.col("_before")).alias("start"), "n_tokens", "chunks", root("chunks").alias("root")).write.option("compression", "zstd").parquet(f"{path}/recipes")
     _manifest(spark, path, width).write.parquet(f"{path}/manifest")
     remove(spark, staged)
 
 
 def _range_roots(recipes: DataFrame) -> DataFrame:
-    """part, first_start, n_docs, n_ids, root: over the roots of a range's recipes in order of doc_id."""
+    """part, first_start, n_docs, n_ids, root: over the roots of a range's recipes in the order of their starts."""
 
     def f(key, rows):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        rows = rows.sort_values("doc_id", kind="stable")
-        return pd.DataFrame({"part": [key[0]], "first_start": [rows["start"].min()], "n_docs": [len(rows)], "n_ids": [rows["n_tokens"].sum()], "root": [merkle_root([bytes(x) for x in rows["root"]])]})
+        rows = rows.sort_values("start", kind="stable")
+        return pd.DataFrame({"part": [key[0]], "first_start": [rows["start"].min()], "n_docs": [rows["copies"].sum()], "n_ids": [(rows["n_tokens"] * rows["copies"]).sum()], "root": [merkle_root([bytes(x) for x in rows["root"]])]})
 
-    return recipes.select("part", "doc_id", "start", "n_tokens", "root").groupBy("part").applyInPandas(f, "part int, first_start long, n_docs long, n_ids long, root binary")
+    return recipes.select("part", "copies", "start", "n_tokens", "root").groupBy("part").applyInPandas(f, "part int, first_start long, n_docs long, n_ids long, root binary")
 
 
 _MANIFEST = "part int, first_start long, n_docs long, n_ids long, width int, root binary"
@@ -198,8 +188,8 @@ def _manifest(spark: SparkSession, path: str, width: int) -> DataFrame:
     return spark.createDataFrame([top, *((r["part"], r["first_start"], r["n_docs"], r["n_ids"], width, bytes(r["root"])) for r in rows)], _MANIFEST).coalesce(1)
 
 
-_POOL = "address binary, doc_id long, at long, n long, ids binary, shared boolean, kind string"
-_RECIPES = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("chunks", T.ArrayType(T.BinaryType())), T.StructField("root", T.BinaryType())])
+_POOL = "address binary, row binary, doc_id long, at long, n long, ids binary, shared boolean, kind string"
+_RECIPES = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("row", T.BinaryType()), T.StructField("copies", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("chunks", T.ArrayType(T.BinaryType())), T.StructField("root", T.BinaryType())])
 
 
 class CorruptStore(ValueError):
@@ -224,10 +214,12 @@ def read_store(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
     pool = spark.read.schema(_POOL).parquet(f"{path}/pool")
     chunks = pool.filter("kind = 'chunk'")
     # a chunk with one use goes to its document as it is; of the few with more, every use fetches the bytes
-    uses = pool.filter("kind = 'use'").select("address", "doc_id", "at")
-    pieces = chunks.filter("not shared").select("doc_id", "at", "ids").unionByName(uses.join(chunks.filter("shared").select("address", "ids"), "address").select("doc_id", "at", "ids"))
-    got = pieces.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("got"))
-    found = recipes.select("doc_id", "start", "n_tokens", "chunks").join(got, "doc_id", "left").select("doc_id", "start", "n_tokens", "got", "chunks")
+    uses = pool.filter("kind = 'use'").select("address", "row", "at")
+    pieces = chunks.filter("not shared").select("row", "at", "ids").unionByName(uses.join(chunks.filter("shared").select("address", "ids"), "address").select("row", "at", "ids"))
+    got = pieces.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("got"))
+    found = recipes.select("doc_id", "row", "copies", "start", "n_tokens", "chunks").join(got, "row", "left").select("doc_id", "copies", "start", "n_tokens", "got", "chunks")
+
+    names_out = ["doc_id", "start", "n_tokens", "ids"]
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdDecompressor()
@@ -242,15 +234,24 @@ def read_store(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
             return raw
 
         for b in batches:
-            out = []
-            for got, names, n_tokens in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if [x["at"] for x in got or ()] != list(range(len(names))):
+            out, at, start = [], [], []
+            for i, (copies, first, n_tokens, got, names) in enumerate(zip(*(b.column(k).to_pylist() for k in range(1, 6)), strict=True)):
+                own = {x["at"]: x["ids"] for x in got or ()}  # of copies one
+                if sorted(own) != list(range(len(names))):
                     raise CorruptStore("chunks of a document are missing")
-                raw = b"".join(chunk(x["ids"], name) for x, name in zip(got or (), names, strict=True))
+                raw = b"".join(chunk(own[k], name) for k, name in enumerate(names))
                 if len(raw) != n_tokens * width:
                     raise CorruptStore("a document's chunks are of another length")
-                out.append(raw if width == 4 else np.frombuffer(raw, "<u2").astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                raw = raw if width == 4 else np.frombuffer(raw, "<u2").astype("<u4").tobytes()
+                for k in range(copies):
+                    out.append(raw)
+                    at.append(i)
+                    start.append(first + k * n_tokens)
+                    if len(out) * len(raw) > 8 << 20:  # many copies of one document
+                        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(start), b.column(3).take(pa.array(at)), pa.array(out, pa.binary())], names_out)
+                        out, at, start = [], [], []
+            if out:
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(start), b.column(3).take(pa.array(at)), pa.array(out, pa.binary())], names_out)
 
     return found.mapInArrow(joined, "doc_id long, start long, n_tokens long, ids binary")
 

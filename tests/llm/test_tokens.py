@@ -97,7 +97,7 @@ def test_store_holds_a_chunk_once_and_finds_damage(spark):
     bad = new_path(spark, "bad-store")
     for name in ("recipes", "manifest"):
         spark.read.parquet(f"{path}/{name}").write.parquet(f"{bad}/{name}")
-    pool.selectExpr("address", "doc_id", "at", "n", "case when kind = 'chunk' then concat(substring(ids, 1, length(ids) - 1), X'77') end as ids", "kind").write.partitionBy("kind").parquet(f"{bad}/pool")
+    pool.selectExpr("address", "row", "doc_id", "at", "n", "shared", "case when kind = 'chunk' then concat(substring(ids, 1, length(ids) - 1), X'77') end as ids", "kind").write.partitionBy("kind").parquet(f"{bad}/pool")
     with pytest.raises(Exception, match="CorruptStore"):
         token_store.read_store(spark, bad).collect()
     with pytest.raises(token_store.CorruptStore):
@@ -105,6 +105,38 @@ def test_store_holds_a_chunk_once_and_finds_damage(spark):
         token_store.read_store(spark, bad).collect()
 
 
+def test_store_with_repeated_and_null_ids(spark):
+    tx = texts()
+    long = " ".join(tx[-30:])
+    rows = [(1, tx[3]), (1, tx[4]), (None, tx[5]), (None, tx[5]), (1, tx[3]), (0, long), (None, None), (0, long), (2, long), (-4, ""), (None, long)]
+    df = spark.createDataFrame([(*x, "") for x in rows], SCHEMA).repartition(3)
+    got = token_store.store_and_read(df).orderBy("start").collect()
+    want = [(i, [*x, 1]) for (i, _), x in zip(rows, plain([t or "" for _, t in rows]), strict=True)]
+    assert sorted(map(str, ((r["doc_id"], np.frombuffer(r["ids"], "<u4").tolist()) for r in got))) == sorted(map(str, want))
+    assert [r["doc_id"] for r in got] == [-4, 0, 0, 1, 1, 1, 2, None, None, None, None]
+    assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got])[:-1].tolist()]
+
+
+def test_other_tokenizer_files_get_whole_texts(spark, tmp_path):
+    """A file that joins words is not encoded word by word."""
+    import json
+
+    from loomlake.llm.tok import default_path
+
+    with open(default_path(), encoding="utf-8") as f:
+        said = json.load(f)
+    said["pre_tokenizer"] = None
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(said, f)
+    from tokenizers import Tokenizer
+
+    tx = ["One two, three.", "", "a b"]
+    got = token_store.store_and_read(spark.createDataFrame([(i, t, "") for i, t in enumerate(tx)], SCHEMA), tokenizer=path).orderBy("doc_id").collect()
+    want = [[*e.ids, 1] for e in Tokenizer.from_file(path).encode_batch(tx, add_special_tokens=False)]
+    assert [np.frombuffer(r["ids"], "<u4").tolist() for r in got] == want
+
+
 def test_store_of_nothing(spark):
     assert token_store.store_and_read(spark.createDataFrame([], SCHEMA)).count() == 0
 
