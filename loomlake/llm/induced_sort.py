@@ -221,6 +221,9 @@ def repeated_starts(segments: list[bytes], copies: np.ndarray, length: int, in_m
     data = b"\0".join(segments) + b"\0" * 9
     words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
     same = np.arange(len(order) - 1)
+    if length < 8:
+        mask = np.uint64((1 << 8 * length) - 1)
+        same = same[words[order[same]] & mask == words[order[same + 1]] & mask]
     for k in [*range(0, length - 7, 8), *([length - 8] if length % 8 and length >= 8 else [])]:
         same = same[words[order[same] + k] == words[order[same + 1] + k]]
     hit = copies[owner[order]] > 1

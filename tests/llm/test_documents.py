@@ -102,7 +102,41 @@ def test_the_pipeline_drops_what_is_no_language(spark):
 # ---- lines
 
 
-def plain_lines(texts, depth=4, agree=0.8, least=10, kept=0.2):
+def plain_templates(lines, agree=0.8):
+    """(members, template) of lines in order: each line in turn joins the template that the first line left started,
+    if enough of its places agree, and those that don't become variable (None)."""
+    left, out = list(lines), []
+    while left:
+        template, members, rest = list(left[0]), [left[0]], []
+        for x in left[1:]:
+            same = [a is not None and a == b for a, b in zip(template, x, strict=True)]
+            if np.sum(same) / len(x) >= agree:
+                template = [a if ok else None for a, ok in zip(template, same, strict=True)]
+                members.append(x)
+            else:
+                rest.append(x)
+        out.append((members, tuple(template)))
+        left = rest
+    return out
+
+
+def plain_groups(lines, agree=0.8):
+    """The lines of a leaf, merged in parts and then as a whole."""
+    key = lambda x: line_dedup._hash(list(x))
+    parts = collections.defaultdict(list)
+    for x in sorted(lines, key=key):
+        parts[key(x) % line_dedup.PARTS].append(x)
+    first = sorted((key(m[0]), k, m, t) for k, own in parts.items() for m, t in plain_templates(own, agree))
+    seconds, of = plain_templates([t for *_, t in first], agree), {}
+    for _, _, m, t in first:
+        of.setdefault(t, []).append(m)
+    out = []
+    for members, _ in seconds:
+        out.append([x for t in members for x in of[t].pop(0)])
+    return out
+
+
+def plain_lines(texts, depth=4, agree=0.8, least=10, kept=0.0):
     where = collections.defaultdict(dict)
     for i, t in enumerate(texts):
         for k, line in enumerate((t or "").split("\n")):
@@ -112,16 +146,13 @@ def plain_lines(texts, depth=4, agree=0.8, least=10, kept=0.2):
     for lines in where.values():
         if len({texts[i] for uses in lines.values() for i, _ in uses}) < least:
             continue
-        left = sorted(lines, key=lambda x: line_dedup._hash(list(x)))
-        while left:
-            group = [x for x in left if np.mean([a == b for a, b in zip(x, left[0], strict=True)]) >= agree]
+        for group in plain_groups(lines, agree):
             uses = [u for x in group for u in lines[x]]
             if len({texts[i] for i, _ in uses}) >= least:
                 first = min(i for i, _ in uses)
                 for i, k in uses:
                     if i != first:
                         gone[i].add(k)
-            left = [x for x in left if x not in group]
     out = []
     for i, t in enumerate(texts):
         parts = t.split("\n") if t else []
@@ -143,42 +174,58 @@ def test_recurring_lines_go(spark):
             lines.append("x1 y2 z3")
         texts.append("\n".join(lines))
     texts += [texts[1]] * 15 + ["page 5 of 6 visited at 7", "", None, " \n\n ", "all rights reserved by us and the heirs of the house\nok"]
-    got = line_dedup.line_dedup(frame(spark, texts, more="kept n_lines").repartition(3)).collect()
+    got = line_dedup.line_dedup(frame(spark, texts, more="kept n_lines _gone _cut_doc").repartition(3)).collect()
     assert sorted((x["doc_id"], x["n_lines"], x["n_dropped"], x["text"], x["kept"]) for x in got) == plain_lines(texts)
     assert sum(x["n_dropped"] for x in got) > 30 and not all(x["kept"] for x in got)
+    got = line_dedup.line_dedup(frame(spark, texts), min_kept=0.2).collect()
+    assert sorted((x["doc_id"], x["n_lines"], x["n_dropped"], x["text"], x["kept"]) for x in got) == plain_lines(texts, kept=0.2)
     assert line_dedup.line_dedup(frame(spark, [])).count() == 0
 
 
-def test_large_leaves_are_parted(monkeypatch):
-    monkeypatch.setattr(line_dedup, "LEAF", 8)
-    r = np.random.default_rng(1)
-    tokens = r.integers(0, 3, (200, 8))
-    group = line_dedup._template_groups(tokens, np.arange(200), 4, 0.8)
-    assert (group >= 0).all() and len({tuple(t) for t in tokens}) >= group.max() + 1
-    for g in set(group.tolist()):
-        own = tokens[group == g]
-        assert ((own == own[0]).mean(axis=1) >= 0.8).all()
+def test_lines_of_rows_without_ids_or_under_one_id(spark):
+    line = "read more on our site today"
+    rows = [(5, "mine a\nkeep me one"), (5, "other\nkeep me second"), (None, f"{line}\nx"), (None, f"y\n{line}")]
+    rows += [(i, f"{line}\nz{'abcdefghij'[i]}") for i in range(8)] + [(5, f"mine b\n{line}"), (0, f"{line}\nza"), (None, None)]
+    got = sorted((str(x["doc_id"]), str(x["text"])) for x in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    # the least row has it first; the two equal rows of id 0 both keep it
+    assert got == sorted((str(i), str(t if i == 0 or t is None else "\n".join(x for x in t.split("\n") if x != line))) for i, t in rows)
 
 
-def test_large_leaves_give_the_same_templates(monkeypatch):
-    """With bands as without: of lines like a few patterns, of unlike ones, and of one template with any name in it."""
+def test_templates_merge_line_by_line(monkeypatch):
+    """With bands as without, and as told by the plain version: of lines like a few patterns, of unlike ones, and of
+    one template with any name in it; a merged field doesn't count as agreeing."""
     r = np.random.default_rng(2)
 
     def parts(tokens, agree, leaf):
         monkeypatch.setattr(line_dedup, "LEAF", leaf)
-        group = line_dedup._template_groups(tokens, np.arange(len(tokens)), 4, agree)
-        return sorted(np.flatnonzero(group == g).tolist() for g in set(group.tolist()))
+        group, found = line_dedup.templates(tokens, agree)
+        return sorted((np.flatnonzero(group == g).tolist(), found[g].tolist()) for g in set(group.tolist()))
 
     for width in (5, 6, 9, 10, 23):
-        like = r.integers(0, 9, (6, width))[r.integers(0, 6, 400)]
+        like = r.integers(1, 9, (6, width))[r.integers(0, 6, 400)]
         like = np.where(r.random(like.shape) < 0.15, r.integers(0, 50, like.shape), like)
-        tokens = np.unique(np.concatenate([like, r.integers(0, 3, (200, width))]), axis=0).astype("<u4")
+        tokens = np.unique(np.concatenate([like, r.integers(1, 4, (200, width))]), axis=0).astype("<u4")
         tokens[:, :4] = 7
         for agree in (0.6, 0.8, 1.0):
-            assert parts(tokens, agree, 4) == parts(tokens, agree, 1 << 20)
+            got = parts(tokens, agree, 1 << 20)
+            assert parts(tokens, agree, 4) == got
+            whole = tokens[(tokens != line_dedup.MERGED).all(axis=1)]
+            plain = [(len(m), [line_dedup.MERGED if x is None else x for x in t]) for m, t in plain_templates([tuple(x) for x in whole.tolist()], agree)]
+            assert sorted((len(m), t) for m, t in parts(whole, agree, 1 << 20)) == sorted(plain)
     names = np.full((5000, 11), 3, "<u4")
     names[:, 4] = np.arange(5000)
-    assert parts(names, 0.8, 4096) == [list(range(5000))]
+    (members, template), = parts(names[1:], 0.8, 4096)
+    assert members == list(range(4999)) and template == [3, 3, 3, 3, 0, 3, 3, 3, 3, 3, 3]
+
+
+def test_parts_of_a_leaf_meet(spark, monkeypatch):
+    """Lines that differ in one word are one template, however many parts they were dealt to."""
+    texts = [f"all rights reserved by {''.join(chr(97 + int(d)) for d in str(i))} and the heirs of the house\nown {chr(97 + i % 26)}" for i in range(60)]
+    for n in (1, 3, 256):
+        monkeypatch.setattr(line_dedup, "PARTS", n)
+        got = line_dedup.line_dedup(frame(spark, texts)).collect()
+        assert sorted((x["doc_id"], x["n_lines"], x["n_dropped"], x["text"], x["kept"]) for x in got) == plain_lines(texts)
+        assert sum(x["n_dropped"] for x in got) >= 59
 
 
 def test_long_lines_go_from_the_second_text_on(spark):
