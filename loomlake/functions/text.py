@@ -72,16 +72,42 @@ def ascii_terms(c: Column, most: int) -> Column:
     return terms(c)
 
 
-def or_query(terms: Column) -> Column:
-    """Quoted terms joined by OR."""
-    return F.array_join(F.transform(terms, lambda t: F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"'))), " OR ")
+def or_query(terms: Column, most: int = 12) -> Column:
+    """The first ``most`` terms, quoted and joined by OR."""
+    return F.array_join(F.transform(F.slice(terms, 1, most), lambda t: F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"'))), " OR ")
 
 
-def cjk_grams(text: str, most: int = 24) -> list[str]:
-    """Distinct 3- then 2-grams of the CJK runs of a query, at most ``most`` (a query is one short string)."""
-    runs = re.findall("[㐀-䶿一-鿿豈-﫿]+", text)
-    grams = [run[i : i + n] for n in (3, 2) for run in runs for i in range(len(run) - n + 1)]
-    return list(dict.fromkeys(grams))[:most]
+def cjk_grams(c: Column, most: int = 24) -> Column:
+    """Array of the distinct grams of three, then two signs of the CJK runs of a query, at most ``most``."""
+    runs = F.regexp_extract_all(c, F.lit(f"[{CJK_RANGE}]+"), F.lit(0))
+
+    def grams(n: int) -> Column:
+        each = lambda r: F.transform(F.sequence(F.lit(1), F.char_length(r) - (n - 1)), lambda i: F.substr(r, i, F.lit(n)))
+        return F.flatten(F.transform(F.filter(runs, lambda r: F.char_length(r) >= n), each))
+
+    return F.slice(F.array_distinct(F.concat(grams(3), grams(2))), 1, most)
+
+
+def shadow_query(c: Column, phrases: dict[str, str], default: str, share: float = 0.0) -> Column:
+    """An ASCII form of a query whose CJK share reaches ``share``, for stores that know no CJK words: what the phrases
+    it has stand for, in their order, then its identifiers as they are; ``default`` where there are neither."""
+    known = F.filter(F.array(*[F.when(c.contains(k), F.lit(v)) for k, v in phrases.items()]), lambda x: x.isNotNull())
+    own = F.regexp_extract_all(c, F.lit(r"[A-Za-z][A-Za-z0-9_.*:/-]+"), F.lit(0))
+    parts = F.array_distinct(F.filter(F.array(F.array_join(known, " "), F.array_join(own, " ")), lambda x: x != ""))
+    return F.when(cjk_ratio(c) < share, c).otherwise(F.when(F.size(parts) > 0, F.array_join(parts, " ")).otherwise(F.lit(default)))
+
+
+#: What a rewritten query must keep (addresses, paths, words of ASCII letters), and numbers.
+KEPT_TERM, NUMBER = r"https?://\S+|(?:[~/]|\.{1,2}/)[^\s]+|[A-Za-z][A-Za-z0-9_.*:/-]*", r"\d+(?:\.\d+)*"
+
+
+def valid_rewrite(raw: Column, new: Column) -> Column:
+    """Whether a rewritten query keeps every ASCII term and exactly the numbers of the raw one, and isn't longer than
+    six times its dense length (256 at least)."""
+    dense = F.char_length(F.regexp_replace(raw, WHITE, ""))
+    own = F.regexp_extract_all(raw, F.lit(KEPT_TERM), F.lit(0))
+    numbers = lambda x: F.sort_array(F.regexp_extract_all(x, F.lit(NUMBER), F.lit(0)))
+    return (F.char_length(new) <= F.greatest(F.lit(256), 6 * dense)) & F.forall(own, lambda e: new.contains(e)) & (numbers(raw) == numbers(new))
 
 
 def words(c: Column) -> Column:
@@ -144,6 +170,17 @@ def nul_encoded(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("\0"), F.lit("\\0"))
 
 
+def nul_decoded(c: Column) -> Column:
+    """The inverse of ``nul_encoded``: a pair of backslashes is one, a backslash and 0 is NUL. Pairs are told from the
+    rest by parting at them first."""
+    return F.array_join(F.transform(F.split(c, r"\\\\"), lambda p: F.replace(p, F.lit("\\0"), F.lit("\0"))), "\\")
+
+
+def sort_key(c: Column) -> Column:
+    """The bytes of the encoded text: their order is the same in every store, whatever its collation."""
+    return nul_encoded(c).cast("binary")
+
+
 def day(ts: Column) -> Column:
     return F.substring(ts, 1, 10)
 

@@ -40,17 +40,17 @@ def similar_pairs(rows: DataFrame, group: str, key: str, vector: str, least: flo
     return dealt.groupBy("g", "i", "j").applyInPandas(compare, f"g {kind[group]}, a {kind[key]}, b {kind[key]}, similarity double").withColumnRenamed("g", group)
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``node, root``: the least node that each node of ``edges`` (``a, b``) is linked to, by rounds of large-star and
     small-star steps; each round's result is checkpointed, so that a lost executor costs one round."""
     spark = edges.sparkSession
     if not spark.sparkContext.getConf().get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
+        from ..sources.store import shared_folder
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomlake-"))  # where the cluster names none, as in tests
+        spark.sparkContext.setCheckpointDir(shared_folder(spark, "graph"))
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct().checkpoint()
     last = None
-    for _ in range(most_rounds):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -62,4 +62,3 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
             roots = now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
             return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
         last = sign
-    raise RuntimeError(f"not connected after {most_rounds} rounds")

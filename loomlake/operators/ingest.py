@@ -105,23 +105,36 @@ def canonical_json(value: pd.Series) -> pd.Series:
     return value.map(one)
 
 
-@F.pandas_udf(T.StringType())
-def redacted(body: pd.Series, findings: pd.Series) -> pd.Series:
-    """Found values replaced by ``[REDACTED:<detector>]``, each value once, longest first, then as JSON spells it."""
+def json_escaped(c: Column) -> Column:
+    """How JSON spells a text inside a string, all signs beyond ASCII as code units."""
+    short = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+    unit = lambda n: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(n), 4, "0")))
+
+    def one(x: Column) -> Column:
+        n = F.ascii(x)
+        over = n - 0x10000
+        pair = F.concat(unit(F.shiftright(over, 10) + 0xD800), unit(over.bitwiseAND(0x3FF) + 0xDC00))
+        out = F.when(n > 0xFFFF, pair).when((n > 126) | (n < 32), unit(n)).otherwise(x)
+        for k, v in short.items():
+            out = F.when(x == k, v).otherwise(out)
+        return out
+
+    plain = c.rlike(r'^[\x20-\x7e&&[^"\\]]*$')
+    return F.when(plain, c).otherwise(F.array_join(F.transform(F.split(c, ""), one), ""))
+
+
+def redacted(body: Column, found: Column) -> Column:
+    """Found values (``array<struct<detector, raw>>``) replaced by ``[REDACTED:<detector>]``: each value once under its
+    first detector, the longest first, of equally long ones the least, as it is and then as JSON spells it."""
+    numbered = F.transform(F.filter(found, lambda f: f["raw"] != ""), lambda f, i: F.struct((-F.char_length(f["raw"])).alias("n"), f["raw"].alias("raw"), i.alias("i"), f["detector"].alias("detector")))
+    # a value that was found before is replaced already when it comes again
+    return F.when(found.isNull(), body).otherwise(
+        F.aggregate(F.sort_array(numbered), body, lambda text_, f: _replaced(text_, f["raw"], F.concat(F.lit("[REDACTED:"), f["detector"], F.lit("]"))))
+    )
 
-    def one(s, found):  # noqa: ANN001, ANN202
-        if s is None or found is None:
-            return s
-        seen = {}
-        for f in found:
-            if f["raw"]:
-                seen.setdefault(f["raw"], f["detector"])
-        for raw in sorted(seen, key=lambda x: (-len(x), x)):
-            for form in (raw, json.dumps(raw)[1:-1]):
-                s = s.replace(form, f"[REDACTED:{seen[raw]}]")
-        return s
 
-    return pd.Series([one(s, f) for s, f in zip(body, findings, strict=True)], dtype=object)
+def _replaced(body: Column, raw: Column, mark: Column) -> Column:
+    return F.replace(F.replace(body, raw, mark), json_escaped(raw), mark)
 
 
 #: Detectors of secrets (fixed values): name and pattern.
@@ -142,17 +155,25 @@ def findings(body: Column) -> Column:
     return F.concat(*[of(*d) for d in DETECTORS.items()])
 
 
+#: What a text must hold for a detector to find anything (compared in lower case): cheap to look for.
+HINTS = {"AWS": ("akia",), "Assignment": ("password", "token", "secret", "api_key"), "PrivateKey": ("private key-----",)}
+
+
 def has_secret(body: Column) -> Column:
-    out = F.lit(False)
-    for pattern in DETECTORS.values():
-        out |= F.coalesce(body.rlike(pattern), F.lit(False))
+    low, out = F.lower(body), F.lit(False)
+    for name, pattern in DETECTORS.items():
+        hint = F.lit(False)
+        for x in HINTS[name]:
+            hint |= low.contains(x)
+        out |= F.coalesce(hint & body.rlike(pattern), F.lit(False))
     return out
 
 
 def sanitized(blocks: DataFrame) -> DataFrame:
     """Elision first, then redaction (a marker inside a payload would strand the rest of it)."""
     elided = blocks.withColumn("text", text.elide_data_uris(F.coalesce("text", F.lit(""))))
-    return elided.withColumn("text", F.when(has_secret(F.col("text")), redacted("text", findings(F.col("text")))).otherwise(F.col("text")))
+    body = F.col("text")
+    return elided.withColumn("text", F.when(has_secret(body), redacted(body, findings(body))).otherwise(body))
 
 
 def document_rows(docs: DataFrame, pieces: Column) -> DataFrame:

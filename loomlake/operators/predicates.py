@@ -149,3 +149,11 @@ def scan(rows: DataFrame, columns: list[str], where: Column | None = None, limit
     if limit is not None:
         out = out.orderBy(*(order or columns)).limit(limit)
     return out
+
+
+def legacy_automation(agent: Column, kind: Column, path: Column) -> Column:
+    """Output of automation runs that was once stored as memory: of agent ``codex``, type ``memory``, below its
+    automation folder, and neither a note nor a setting (fixed values)."""
+    low = F.lower(F.replace(F.coalesce(path, F.lit("")), F.lit("\\"), F.lit("/")))
+    named = (F.lower(F.coalesce(agent, F.lit(""))) == "codex") & (F.lower(F.coalesce(kind, F.lit(""))) == "memory")
+    return named & low.contains("/.codex/automations/") & ~(low.endswith(".md") | low.endswith(".toml"))

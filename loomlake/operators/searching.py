@@ -23,54 +23,101 @@ def cosine_ranked(rows: DataFrame, key: str, vector: str, query: list[float], k:
     return rows.select(key, V.cosine(F.col(vector), V.literal(query)).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
+def query_terms(query: str) -> list[str]:
+    import re
+
+    return sorted(set(re.findall(r"[^\W_]+", query.lower())))
+
+
 def postings(rows: DataFrame, key: str, body: str) -> DataFrame:
-    """``term, key, tf, dl``: the materialised term index. Write it partitioned by a hash of the term for reuse."""
+    """``term, key, tf, dl``: the term index; ``write_postings`` keeps it."""
     words = rows.select(key, text.words(F.col(body)).alias("_w"))
     each = words.select(key, F.size("_w").cast("long").alias("dl"), F.explode("_w").alias("term"))
     return each.groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def corpus_stats(rows: DataFrame, key: str, body: str) -> DataFrame:
-    """One row: documents and mean length in words."""
-    return rows.select(F.size(text.words(F.col(body))).cast("double").alias("_n")).agg(F.count(F.lit(1)).alias("n"), F.avg("_n").alias("avgdl"))
+#: Folders that a stored term index is dealt to by a hash of the term: a query reads those of its terms.
+BUCKETS = 64
 
 
-def bm25(rows: DataFrame, key: str, body: str, query: str, k: int, where: Column | None = None, require_all: bool = False) -> DataFrame:
-    """``key, score``: BM25 over the rows that pass ``where``; any term matches, or all where asked. Only the query's
-    terms are exploded, so the shuffle holds their postings and nothing else."""
-    import re
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
-    terms = sorted(set(re.findall(r"[^\W_]+", query.lower())))
-    base = rows if where is None else rows.filter(where)
-    w = base.select(key, text.words(F.col(body)).alias("_w")).select(key, F.size("_w").cast("double").alias("dl"), F.filter("_w", lambda x: x.isin(terms)).alias("_hit"))
-    stats = w.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    hits = w.filter(F.size("_hit") > 0).select(key, "dl", F.explode("_hit").alias("term")).groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+def write_postings(rows: DataFrame, key: str, body: str, path: str) -> None:
+    """The term index of ``rows`` under ``path``: postings in BUCKETS folders, sorted by term, so that a file's
+    statistics skip what a query doesn't ask for; and one row of the number of documents and of words."""
+    words = rows.select(key, text.words(F.col(body)).alias("_w"))
+    words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("_w").cast("double")).alias("avgdl")).write.parquet(f"{path}/stats")
+    found = postings(rows, key, body).withColumn("bucket", _bucket(F.col("term")))
+    # a frequent term's postings are dealt to several tasks by document
+    found.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(8))).sortWithinPartitions("bucket", "term", key).write.partitionBy("bucket").parquet(f"{path}/postings")
+
+
+def bm25_stored(spark: SparkSession, path: str, key: str, query: str, k: int, require_all: bool = False) -> DataFrame:
+    """``bm25`` out of a stored term index: no text is read, only the folders of the query's terms."""
+    terms = query_terms(query)
+    buckets = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "term string").select(_bucket(F.col("term"))).distinct().collect()] if terms else []
+    hits = spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin(buckets) & F.col("term").isin(terms)).select(key, "term", F.col("dl").cast("double").alias("dl"), "tf")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # one row a query term
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    out = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats)).groupBy(key).agg(F.sum(score).alias("score"), F.count(F.lit(1)).alias("_terms"))
+    out = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(spark.read.parquet(f"{path}/stats"))).groupBy(key).agg(F.sum(score).alias("score"), F.count(F.lit(1)).alias("_terms"))
+    return (out.filter(F.col("_terms") == len(terms)) if require_all else out).select(key, "score").orderBy(F.desc(F.round("score", 9)), key).limit(k)
+
+
+def _counted(rows: DataFrame, key: str, fields: list[str], terms: list[str]) -> DataFrame:
+    """``key, c``: of each field its number of words and how often each term occurs. These few numbers a document are
+    exchanged once, and both the statistics and the scores read them there: every text is read and parted once."""
+    def one(name: str) -> Column:
+        found = F.filter("_w" + name, lambda x: x.isin(terms))
+        return F.struct(F.size("_w" + name).cast("double").alias("dl"), F.transform(F.array(*[F.lit(t) for t in terms]), lambda t: F.size(F.filter(found, lambda x: x == t)).cast("double")).alias("tf"))
+
+    words = rows.select(key, *[text.words(F.col(f)).alias("_w" + f) for f in fields])
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return words.select(key, F.array(*[one(f) for f in fields]).alias("c")).repartition(n, key)
+
+
+def _scored(counted: DataFrame, key: str, weights: list[float], terms: list[str]) -> DataFrame:
+    """``key, score, found``: the weighted sum of BM25, and the number of terms that a document has in any field."""
+    fields, each = range(len(weights)), range(len(terms))
+    has = lambda c, i: F.exists(c, lambda f: f["tf"][i] > 0)
+    # the key is counted, not the rows, so that both readers of the exchange want the same columns
+    stats = counted.agg(F.count(F.struct(key)).alias("n"), F.array(*[F.avg(F.col("c")[f]["dl"]) for f in fields]).alias("avgdl"), F.array(*[F.count_if(has(F.col("c"), i)) for i in each]).alias("df"))
+    parts = []
+    for f in fields:
+        for i in each:
+            tf, dl, avg, df = F.col("c")[f]["tf"][i], F.col("c")[f]["dl"], F.col("avgdl")[f], F.col("df")[i]
+            idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
+            parts.append(F.when(tf > 0, weights[f] * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avg))).otherwise(0.0))
+    score = parts[0]
+    for x in parts[1:]:
+        score = score + x
+    found = sum((has(F.col("c"), i).cast("int") for i in each), F.lit(0))
+    # what no term is in has the score 0; the test needs the statistics, so it stays behind the exchange
+    return counted.crossJoin(F.broadcast(stats)).select(key, score.alias("score"), found.alias("found")).filter("score > 0")
+
+
+def bm25(rows: DataFrame, key: str, body: str, query: str, k: int, where: Column | None = None, require_all: bool = False) -> DataFrame:
+    """``key, score``: BM25 over the rows that pass ``where``; any term matches, or all where asked. A query without
+    words finds nothing."""
+    terms = query_terms(query)
+    base = rows if where is None else rows.filter(where)
+    if not terms:
+        return base.select(key, F.lit(0.0).alias("score")).filter(F.lit(False))
+    out = _scored(_counted(base, key, [body], terms), key, [1.0], terms)
     if require_all:
-        out = out.filter(F.col("_terms") == len(terms))
+        out = out.filter(F.col("found") == len(terms))
     return out.select(key, "score").orderBy(F.desc(F.round("score", 9)), key).limit(k)
 
 
 def bm25_fields(rows: DataFrame, key: str, fields: dict[str, float], query: str, k: int) -> DataFrame:
     """Weighted sum of BM25 over several fields, all terms required somewhere; lower is better."""
-    import re
-
-    terms = sorted(set(re.findall(r"[^\W_]+", query.lower())))
-    every = [rows.select(key, F.lit(name).alias("field"), F.lit(weight).alias("weight"), text.words(F.col(name)).alias("_w")) for name, weight in fields.items()]
-    w = every[0]
-    for x in every[1:]:
-        w = w.unionByName(x)
-    w = w.select(key, "field", "weight", F.size("_w").cast("double").alias("dl"), F.filter("_w", lambda x: x.isin(terms)).alias("_hit"))
-    stats = w.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    hits = w.filter(F.size("_hit") > 0).select(key, "field", "weight", "dl", F.explode("_hit").alias("term")).groupBy(key, "field", "weight", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = hits.groupBy("term").agg(F.countDistinct(key).alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    score = F.col("weight") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    out = hits.join(F.broadcast(df), "term").join(F.broadcast(stats), "field").groupBy(key).agg((-F.sum(score)).alias("score"), F.countDistinct("term").alias("_terms"))
-    return out.filter(F.col("_terms") == len(terms)).select(key, "score").orderBy(F.round("score", 9), key).limit(k)
+    terms = query_terms(query)
+    if not terms:
+        return rows.select(key, F.lit(0.0).alias("score")).filter(F.lit(False))
+    out = _scored(_counted(rows, key, list(fields), terms), key, list(fields.values()), terms)
+    return out.filter(F.col("found") == len(terms)).select(key, (-F.col("score")).alias("score")).orderBy(F.round("score", 9), key).limit(k)
 
 
 def ranked(rows: DataFrame, order: list, first: int = 1) -> DataFrame:
@@ -204,22 +251,96 @@ def any_char(body: Column, characters: str) -> Column:
     return out
 
 
-def query_entities(text_: str) -> list[str]:
-    """Identifiers of a query that stand out: with a digit, ``_``, ``/`` or ``:``."""
-    import re
+#: What an identifier is made of, what may end it without being part of it, what makes it stand out.
+ENTITY, ENTITY_ENDS, ENTITY_MARKS = r"[A-Za-z][A-Za-z0-9_.*:/-]+", "*:-/", r"[0-9_/:]"
+
+
+def query_entities(c: Column) -> Column:
+    """Array of the identifiers of a query that stand out, lower-cased, each once."""
+    plain = F.transform(F.regexp_extract_all(c, F.lit(ENTITY), F.lit(0)), lambda m: F.rtrim(F.lower(m), F.lit(ENTITY_ENDS)))
+    return F.array_distinct(F.filter(plain, lambda m: m.rlike(ENTITY_MARKS)))
+
+
+def has_entities(body: Column, entities: Column) -> Column:
+    """Whether there are any and all stand in the text as whole words, whatever their case."""
+    word = lambda e: F.concat(F.lit(r"(?i)(?<![A-Za-z0-9_])\Q"), e, F.lit(r"\E(?![A-Za-z0-9_])"))
+    return (F.size(entities) > 0) & F.forall(entities, lambda e: F.rlike(body, word(e)))
 
-    found = [m.lower().rstrip("*:-/") for m in re.findall(r"[A-Za-z][A-Za-z0-9_.*:/-]+", text_)]
-    return list(dict.fromkeys(x for x in found if x and re.search(r"[0-9_/:]", x)))
 
+def candidate_limit(limit: int) -> int:
+    """Candidates of each route for ``limit`` results of all: three times as many, 100 at most."""
+    return min(3 * max(limit, 1), 100)
 
-def has_entities(body: Column, entities: list[str]) -> Column:
-    """Whether all stand in the text as whole words, whatever their case."""
+
+def reranked(rows: DataFrame, key: str, fused: str, limit: int, score: Column | None = None, logits: bool = True) -> DataFrame:
+    """``rows`` (a cut pool) with ``relevance``, the ``limit`` best: the scorer's, logits made shares of 1; the fused
+    score where there is no scorer, where it fails for a row of the pool (null), or the pool isn't larger than asked."""
+    if score is None:
+        return rows.withColumn("relevance", F.col(fused).cast("double")).orderBy(F.desc("relevance"), key).limit(limit)
+    given = text.sigmoid(score.cast("double")) if logits else score.cast("double")
+    pool = rows.withColumn("_given", given)
+    said = pool.agg(((F.count(F.lit(1)) > limit) & (F.count("_given") == F.count(F.lit(1)))).alias("_use"))
+    out = pool.crossJoin(F.broadcast(said)).withColumn("relevance", F.when(F.col("_use"), F.col("_given")).otherwise(F.col(fused).cast("double")))
+    return out.drop("_given", "_use").orderBy(F.desc("relevance"), key).limit(limit)
+
+
+def search_cascade(rows: DataFrame, key: str, fields: dict[str, float], newest: str, query: str, limit: int = 20, where: Column | None = None, broad: bool = True) -> DataFrame:
+    """``key, route, place``: the results of the first routes that find any, at most ``limit`` (1 to 100).
+
+    Routes: all words by weighted BM25 (0); for a query with CJK signs also its ASCII identifiers, any of them, as
+    words (1), and in front of both, if no result has them all, as parts of the text (2); of these, those with more of
+    the query's CJK grams come first. If nothing is found, a query that isn't plain words is looked for as it is (3),
+    then any of its CJK signs (4). The last three read all texts, so ``broad`` can turn them off. Each route is cut
+    before it meets the others; whether one found anything is asked by one row.
+    """
     import re
 
-    out = F.lit(bool(entities))
-    for e in entities:
-        out &= body.rlike(rf"(?i)(?<![A-Za-z0-9_]){re.escape(e)}(?![A-Za-z0-9_])")
-    return out
+    limit = max(1, min(limit, 100))
+    base = rows if where is None else rows.filter(where)
+    whole = F.concat_ws(" ", *[F.coalesce(F.col(f), F.lit("")) for f in fields])
+    seen = base.select(key, newest, whole.alias("_all"))
+    strict = re.search(r"[^\w\s]", query) is not None  # signs are no words: the strict route can't take them
+    none = base.select(key).filter(F.lit(False)).select(key, F.lit(0).alias("place"))
+    place = lambda df, order: df.withColumn("place", F.row_number().over(Window.orderBy(*order))).select(key, "place")
+    first = none if strict else place(bm25_fields(base, key, fields, query, limit), [F.round("score", 9), key])
+    cjk = [c for c in dict.fromkeys(query) if re.match("[㐀-䶿一-鿿豈-﫿]", c)]
+    found = first.withColumn("route", F.lit(0))
+    if cjk:
+        terms = list({t.lower(): t for t in re.findall(text.ASCII_TERM, query)}.values())
+        if terms:
+            words = sorted({w for t in terms for w in query_terms(t)})
+            wide = min(100, max(32, 4 * limit))
+            second = _scored(_counted(base, key, list(fields), words), key, list(fields.values()), words).orderBy(F.desc(F.round("score", 9)), key).limit(wide)
+            found = found.unionByName(place(second, [F.desc(F.round("score", 9)), key]).withColumn("route", F.lit(1)))
+            if broad:
+                low = F.lower("_all")
+                score = sum((F.when(low.contains(t.lower()), min(32, len(t))).otherwise(0) for t in terms), F.lit(0))
+                every = F.lit(True)
+                for t in terms:
+                    every &= low.contains(t.lower())
+                covered = seen.join(found.select(key), key, "left_semi").agg(F.coalesce(F.bool_or(every), F.lit(False)).alias("_covered"))
+                third = seen.select(key, newest, score.alias("score")).filter("score > 0").orderBy(F.desc("score"), F.desc(newest), key).limit(min(100, 4 * limit))
+                third = place(third, [F.desc("score"), F.desc(newest), key]).crossJoin(F.broadcast(covered)).filter("not _covered").select(key, "place", F.lit(-1).alias("route"))
+                found = found.unionByName(third)
+        once = found.groupBy(key).agg(F.min(F.struct("route", "place")).alias("at")).join(seen, key)
+        grams = text.cjk_grams(F.lit(query))
+        near = F.aggregate(grams, F.lit(0), lambda a, g: a + F.when(F.col("_all").contains(g), F.char_length(g)).otherwise(0))
+        found = once.withColumn("_near", near).withColumn("place", F.row_number().over(Window.orderBy(F.desc("_near"), "at"))).select(key, "place", F.when(F.col("at.route") < 0, 2).otherwise(F.col("at.route")).alias("route"))
+    out = found.orderBy("place").limit(limit)
+    if not broad or not (strict or cjk):
+        return out.select(key, "route", "place")
+    some = out.agg((F.count(F.lit(1)) > 0).alias("_some"))
+
+    def fallback(before: DataFrame, hit: Column, route: int) -> DataFrame:
+        hits = seen.filter(hit).orderBy(F.desc(newest), key).limit(limit)
+        return place(hits, [F.desc(newest), key]).crossJoin(F.broadcast(before)).filter("not _some").select(key, "place", F.lit(route).alias("route"))
+
+    if strict:
+        out = out.unionByName(fallback(some, F.col("_all").contains(query), 3))
+        some = out.agg((F.count(F.lit(1)) > 0).alias("_some"))
+    if cjk:
+        out = out.unionByName(fallback(some, any_char(F.col("_all"), "".join(cjk)), 4))
+    return out.select(key, "route", "place")
 
 
 def keyset_page(rows: DataFrame, key: str, after: object, limit: int) -> DataFrame:

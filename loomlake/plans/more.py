@@ -12,7 +12,7 @@ from ..operators import joining as J
 from ..operators import searching as S
 from ..operators import vectors as VO
 from .registry import query
-from .tables import BLOCKS, REVISIONS, blocks, revisions, table
+from .tables import BLOCKS, CHUNKS, REVISIONS, blocks, revisions, table
 
 
 @query("j_fts_rows", "SELECT doc_id, source, n_chars FROM documents WHERE list_contains(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), 'apache')")
@@ -55,13 +55,13 @@ def t_canonical_doc(spark, sf_dir):
     return revisions(spark, sf_dir).select("event_id", F.concat(F.lit("ref:"), T.base64url(F.col("source_identity"))).alias("session_ref"))
 
 
-@query("t_resplit", f"WITH {BLOCKS} SELECT session_id, seq, substr(sha1(session_id || ':' || turn_uuid || ':0:0'), 1, 16) AS id FROM blocks WHERE length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 0")
+@query("t_resplit", f"WITH RECURSIVE {CHUNKS} SELECT session_id, seq, id, md5(text) AS m FROM chunks WHERE length(text) > 0")
 def t_resplit(spark, sf_dir):
-    """A block cut to its start is split anew under its own identity."""
+    """Whole blocks, put together from their pieces and redacted, are split anew under their own identity."""
     from ..operators import splitting
 
-    cut = blocks(spark, sf_dir).withColumn("text", F.substring(T.trim_unicode(F.col("text")), 1, 500)).withColumn("block_type", F.lit("text"))
-    return splitting.chunks(cut).select("session_id", "seq", "id")
+    b = blocks(spark, sf_dir)
+    return splitting.chunks(I.sanitized(b)).select("session_id", "seq", "id", F.md5(F.col("text").cast("binary")).alias("m"))
 
 
 @query("t_embed", None)
@@ -88,7 +88,7 @@ def k_cjk_chars(spark, sf_dir):
 @query("k_exact_entities", "WITH t AS (SELECT text FROM documents ORDER BY n_chars DESC, doc_id LIMIT 3) SELECT coalesce(bool_or(regexp_matches(text, '(^|[^A-Za-z0-9_])gpl-3\\.0([^A-Za-z0-9_]|$)')), false) AS hit FROM t")
 def k_exact_entities(spark, sf_dir):
     top = table(spark, sf_dir, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(3)
-    return top.agg(F.coalesce(F.bool_or(S.has_entities(F.col("text"), S.query_entities("is it gpl-3.0 or"))), F.lit(False)).alias("hit"))
+    return top.agg(F.coalesce(F.bool_or(S.has_entities(F.col("text"), S.query_entities(F.lit("is it gpl-3.0 or")))), F.lit(False)).alias("hit"))
 
 
 @query("k_token_batches", """WITH RECURSIVE d AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, doc_id,

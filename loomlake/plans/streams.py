@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ingest as I
 from ..streaming import upserts as U
+from .ingest import _REDACTED
 from .registry import query
 from .tables import BLOCKS, CHUNKS, REVISIONS, blocks, chunks, revisions, table
 
@@ -103,7 +104,8 @@ def st_session_windows(spark, sf_dir):
     return U.session_windows(table(spark, sf_dir, "events"), "ts", "user_id", "30 minutes")
 
 
-@query("st_scrub", f"WITH {BLOCKS} SELECT session_id, seq, md5(text) AS m FROM blocks WHERE NOT {_SECRET}")
+@query("st_scrub", f"SELECT doc_id, md5({_REDACTED}) AS m FROM documents WHERE {_SECRET}")
 def st_scrub(spark, sf_dir):
-    clean = I.sanitized(blocks(spark, sf_dir).filter(~I.has_secret(F.col("text"))))
-    return clean.select("session_id", "seq", F.md5(F.col("text").cast("binary")).alias("m"))
+    """Stored texts with findings, as they are after the scrub."""
+    found = table(spark, sf_dir, "documents").filter(I.has_secret(F.col("text")))
+    return I.sanitized(found).select("doc_id", F.md5(F.col("text").cast("binary")).alias("m"))

@@ -110,5 +110,10 @@ def test_batches_keep_both_bounds(spark):
     assert got == [0, 0, 1, 2, 3, 3, 3, 4]
 
 
-def test_entities():
-    assert searching.query_entities("see foo_bar/, x9 and plain Foo_Bar") == ["foo_bar", "x9"]
+def test_entities(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(1).select(searching.query_entities(F.lit("see foo_bar/, x9 and plain Foo_Bar")).alias("e"))
+    assert df.first()["e"] == ["foo_bar", "x9"]
+    has = lambda t: df.select(searching.has_entities(F.lit(t), F.col("e"))).first()[0]
+    assert has("X9 or (foo_bar)") and not has("x9 foo_bars") and not has("x9")
