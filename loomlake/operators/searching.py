@@ -69,13 +69,16 @@ def bm25_stored(spark: SparkSession, path: str, key: str, query: str, k: int, re
 def _counted(rows: DataFrame, key: str, fields: list[str], terms: list[str]) -> DataFrame:
     """``key, c``: of each field its number of words and how often each term occurs. These few numbers a document are
     exchanged once, and both the statistics and the scores read them there: every text is read and parted once."""
-    def one(name: str) -> Column:
-        found = F.filter("_w" + name, lambda x: x.isin(terms))
-        return F.struct(F.size("_w" + name).cast("double").alias("dl"), F.transform(F.array(*[F.lit(t) for t in terms]), lambda t: F.size(F.filter(found, lambda x: x == t)).cast("double")).alias("tf"))
 
-    words = rows.select(key, *[text.words(F.col(f)).alias("_w" + f) for f in fields])
+    def one(words: Column) -> Column:
+        often = lambda hit, t: F.size(F.filter(hit, lambda x: x == t)).cast("double")
+        each = lambda hit: F.array(*[often(hit, t) for t in terms])
+        few = F.transform(F.array(F.filter(words, lambda x: x.isin(terms))), each)[0]
+        return F.struct(F.size(words).cast("double").alias("dl"), few.alias("tf"))
+
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return words.select(key, F.array(*[one(f) for f in fields]).alias("c")).repartition(n, key)
+    words = F.array(*[text.words(F.col(f)) for f in fields])
+    return rows.select(key, F.transform(words, one).alias("c")).repartition(n, key)
 
 
 def _scored(counted: DataFrame, key: str, weights: list[float], terms: list[str]) -> DataFrame:

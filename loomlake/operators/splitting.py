@@ -64,25 +64,34 @@ def stitched(parts: pd.Series) -> pd.Series:
 
 
 def split_text(body: Column) -> Column:
-    """``pieces`` by built-in functions: a fold over as many steps as a text of its length can take. ``body`` should be
-    a column of the frame, as it is named several times."""
-    plain = text.trim_unicode(body)
-    size = F.char_length(plain)
-    steps = F.ceil(size / (PIECE // 2 - OVERLAP)).cast("int")  # a piece is at least half as long as it may be
-
-    def cut(acc: Column, _: Column) -> Column:
-        start = acc["start"]
-        seg = F.substr(plain, start + 1, F.lit(PIECE))
-        back = F.reverse(seg)
-        # from the end of the longest piece back to its last line break or blank
-        line, blank = (F.instr(back, x) for x in ("\n", " "))
-        end = F.when(start + PIECE >= size, size).when((line > 0) & (PIECE - line > PIECE // 2), start + PIECE - line).when((blank > 0) & (PIECE - blank > PIECE // 2), start + PIECE - blank).otherwise(start + PIECE)
-        found = F.struct(F.array_append(acc["out"], F.substr(seg, F.lit(1), end - start)).alias("out"), F.greatest(end - OVERLAP, start + 1).alias("start"), (end >= size).alias("done"))
-        return F.when(acc["done"], acc).otherwise(found)
-
-    first = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("start"), F.lit(False).alias("done"))
-    long = F.filter(F.transform(F.aggregate(F.sequence(F.lit(1), steps), first, cut, lambda acc: acc["out"]), text.trim_unicode), lambda p: p != "")
-    return F.when(size <= PIECE, F.when(plain != "", F.array(plain)).otherwise(F.array().cast("array<string>"))).otherwise(long)
+    """``pieces`` by built-in functions: a fold over as many steps as a text of its length can take. The text is bound
+    once, as the fold names it at every step."""
+
+    def whole(t: Column) -> Column:
+        plain, size = t["plain"], t["size"]
+        steps = F.ceil(size / (PIECE // 2 - OVERLAP)).cast("int")  # a piece is at least half as long as it may be
+
+        def cut(acc: Column, _: Column) -> Column:
+            def at(b: Column) -> Column:
+                start, seg = acc["start"], b["seg"]
+                # from the end of the longest piece back to its last line break or blank
+                line, blank = (F.instr(b["back"], x) for x in ("\n", " "))
+                end = F.when(start + PIECE >= size, size).when((line > 0) & (PIECE - line > PIECE // 2), start + PIECE - line).when((blank > 0) & (PIECE - blank > PIECE // 2), start + PIECE - blank).otherwise(start + PIECE)
+                return F.struct(F.array_append(acc["out"], F.substr(seg, F.lit(1), end - start)).alias("out"), F.greatest(end - OVERLAP, start + 1).alias("start"), (end >= size).alias("done"))
+
+            seg = F.substr(plain, acc["start"] + 1, F.lit(PIECE))
+            return F.when(acc["done"], acc).otherwise(_bound(F.struct(seg.alias("seg"), F.reverse(seg).alias("back")), at))
+
+        first = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("start"), F.lit(False).alias("done"))
+        long = F.filter(F.transform(F.aggregate(F.sequence(F.lit(1), steps), first, cut, lambda acc: acc["out"]), text.trim_unicode), lambda p: p != "")
+        return F.when(size <= PIECE, F.when(size > 0, F.array(plain)).otherwise(F.array().cast("array<string>"))).otherwise(long)
+
+    return _bound(text.trim_unicode(body), lambda p: _bound(F.struct(p.alias("plain"), F.char_length(p).alias("size")), whole))
+
+
+def _bound(value: Column, f) -> Column:  # noqa: ANN001
+    """``f(value)`` with the value computed once, however often ``f`` names it."""
+    return F.transform(F.array(value), f)[0]
 
 
 def chunks(blocks: DataFrame) -> DataFrame:
@@ -91,7 +100,7 @@ def chunks(blocks: DataFrame) -> DataFrame:
     ``blocks`` has ``session_id, turn_uuid, block_idx, block_type, tool_name, text``.
     """
     rendered = blocks.withColumn("text", text.render(F.col("block_type"), text.elide_data_uris(F.coalesce("text", F.lit(""))), F.col("tool_name")))
-    rows = rendered.withColumn("text", text.trim_unicode(F.col("text"))).withColumn("_pieces", split_text(F.col("text"))).drop("text").select("*", F.posexplode("_pieces").alias("split_idx", "text")).drop("_pieces")
+    rows = rendered.withColumn("_pieces", split_text(F.col("text"))).drop("text").select("*", F.posexplode("_pieces").alias("split_idx", "text")).drop("_pieces")
     rows = rows.withColumn("split_idx", F.col("split_idx").cast("long"))
     return rows.withColumn("id", ids.chunk_id(F.col("session_id"), F.col("turn_uuid"), F.col("block_idx"), F.col("split_idx")))
 
