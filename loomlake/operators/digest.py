@@ -22,40 +22,123 @@ def display(body: Column, cap: int) -> Column:
     return F.when(F.char_length(body) > cap, F.concat(F.substring(body, 1, head), F.lit(" … "), F.right(body, F.lit(cap - head)))).otherwise(body)
 
 
-def greedy_cover(vectors: np.ndarray, mass: np.ndarray, chars: np.ndarray, units: int) -> list[int]:
-    """Units by greatest gain in covered similarity for their length, until a gain falls under a quarter of the mean
-    mass."""
-    sim = np.maximum(vectors @ vectors.T, 0)
-    covered, chosen = np.zeros(len(vectors)), []
-    cost = np.sqrt(1 + chars / 4000.0)
-    while len(chosen) < min(units, len(vectors)):
-        gain = (mass[None, :] * np.maximum(sim - covered[None, :], 0)).sum(1) / cost
-        gain[chosen] = -1
-        best = int(gain.argmax())
-        if chosen and gain[best] < 0.25 * mass.mean():
+def _unit(v: np.ndarray) -> np.ndarray | None:
+    size = float(np.linalg.norm(v))
+    return v / size if size > 1e-6 else None
+
+
+def _first_best(score: np.ndarray) -> int | None:
+    return int(score.argmax()) if len(score) else None
+
+
+def anchors(kind: np.ndarray, role: np.ndarray, v: np.ndarray, mass: np.ndarray, quality: np.ndarray) -> dict[int, str]:
+    """Units that a digest always has: the first text of the user (else of anyone), the last of the assistant, and the
+    text nearest to what the session is about on the whole."""
+    out: dict[int, str] = {}
+    texts = np.flatnonzero(kind == "text")
+    asked = texts[role[texts] == "user"]
+    if len(texts):
+        out.setdefault(int(asked[0] if len(asked) else texts[0]), "opening")
+    if len(said := texts[role[texts] == "assistant"]):
+        out.setdefault(int(said[-1]), "closing")
+    middle = _unit((mass[:, None] * v).sum(0))
+    if middle is not None and len(texts):
+        out.setdefault(int(texts[_first_best(quality[texts] * np.maximum(v[texts] @ middle, 0))]), "medoid")
+    return out
+
+
+def axes(v: np.ndarray, mass: np.ndarray, quality: np.ndarray, most: int) -> list[int]:
+    """Both extremes of up to ``most`` directions in which the units differ most from their centre; each direction is
+    that of the unit with the greatest quality times what the directions before leave of it."""
+    away = v - (mass[:, None] * v).sum(0) / max(float(mass.sum()), 1e-12)
+    left, out = away.copy(), []
+    for _ in range(most):
+        score = quality * np.linalg.norm(left, axis=1)
+        best = _first_best(score)
+        if best is None or not score[best] > 1e-6 or (way := _unit(left[best])) is None:
             break
-        chosen.append(best)
-        covered = np.maximum(covered, sim[best])
-    return sorted(chosen)
-
-
-#: Units of a session that one task compares; a longer session is digested stretch by stretch, then over the choices.
-STRETCH = 2000
+        along = away @ way
+        for side in (along, -along):
+            reach = quality * np.maximum(side, 0)
+            if reach[k := _first_best(reach)] > 0:
+                out.append(k)
+        left = left - np.outer(left @ way, way)
+    return out
+
+
+def pivots(v: np.ndarray, most: int) -> list[tuple[int, float]]:
+    """(unit before, distance) of the boundaries at which the two units before and the two after differ most, none
+    within two of a stronger one."""
+    found = []
+    for at in range(len(v) - 1):
+        left, right = (_unit(x.mean(0)) for x in (v[max(at - 1, 0) : at + 1], v[at + 1 : at + 3]))
+        if left is not None and right is not None:
+            found.append((max(0.0, 1 - float(left @ right)), at))
+    out: list[tuple[int, float]] = []
+    for far, at in sorted(found, key=lambda x: (-x[0], x[1])):
+        if len(out) < most and all(abs(at - o) > 2 for o, _ in out):
+            out.append((at, far))
+    return out
+
+
+#: Characters that a shown unit costs beside its text; the least a unit may show; what a tool result may (fixed values).
+FRAME, LEAST_SHOWN, RESULT_SHOWN = 96, 240, 2000
+
+
+def shown_chars(kind: np.ndarray, chars: np.ndarray, units: int, budget: int) -> np.ndarray:
+    cap = max(budget // max(units, 1), LEAST_SHOWN)
+    return np.minimum(chars, np.where(kind == "tool_result", min(cap, RESULT_SHOWN), cap)) + FRAME
+
+
+def chosen_units(kind: np.ndarray, role: np.ndarray, v: np.ndarray, quality: np.ndarray, chars: np.ndarray, units: int, budget: int) -> list[int]:
+    """The digest's units in the order they are chosen: the anchors, then of the extremes and the sides of the pivots
+    the one that covers most for its length, a pivot's strength added, while the number of units and the characters
+    allow it and the best gain is a quarter of an even share of the whole mass."""
+    must = anchors(kind, role, v, quality, quality)
+    pool = list(must) + [i for i in axes(v, quality, quality, min(6, max(1, (units - len(must)) // 2))) if i not in must]
+    strength: dict[int, float] = {}
+    texts = np.flatnonzero(kind == "text")
+    for at, far in pivots(v, min(6, max(1, units // 2))):
+        for side in (texts[texts <= at][-1:], texts[texts > at][:1]):
+            for i in side.tolist():
+                pool.append(i)
+                strength[i] = max(strength.get(i, 0.0), far)
+    pool, out = list(dict.fromkeys(pool)), list(must)
+    cost = shown_chars(kind, chars, units, budget)
+    near = np.maximum(v[pool] @ v.T, 0) if pool else np.zeros((0, len(v)))  # a few dozen rows
+    covered = near[: len(must)].max(0, initial=0.0)
+    spent, share, top = int(cost[out].sum()), float(quality.sum()) / max(units, 1), max(strength.values(), default=0.0)
+    while len(out) < units:
+        best = None
+        for k, i in enumerate(pool):
+            if i in out or spent + cost[i] > budget:
+                continue
+            gain = float((quality * np.maximum(near[k] - covered, 0)).sum()) + (0.5 * share * strength.get(i, 0.0) / top if top else 0.0)
+            score = gain / np.sqrt(1 + cost[i] / 4000.0)
+            if best is None or score > best[0]:
+                best = (score, gain, k)
+        if best is None or best[1] < 0.25 * share:
+            break
+        out.append(pool[best[2]])
+        spent += int(cost[out[-1]])
+        covered = np.maximum(covered, near[best[2]])
+    return out
 
 
-def digest(rows: DataFrame, units: int = 8) -> DataFrame:
-    """``session_id, seq`` of the chosen units. ``rows``: ``session_id, seq, vector, quality, chars``."""
+def digest(rows: DataFrame, units: int = 8, budget: int = 12_000) -> DataFrame:
+    """``session_id, seq, place`` of the chosen units, ``place`` in the order of choice. ``rows``: ``session_id, seq,
+    role, block_type, vector, quality, chars``, one per unit. A session is one task's work: units times candidates, of
+    which there are a few dozen however long it is. Null vectors are left out; an empty table gives no rows."""
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq", kind="stable")
         v = np.array(pdf["vector"].tolist(), np.float64)
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        return pdf.iloc[greedy_cover(v, pdf["quality"].to_numpy(), pdf["chars"].to_numpy(), units)]
+        own = chosen_units(pdf["block_type"].to_numpy(), pdf["role"].to_numpy(), v, pdf["quality"].to_numpy(), pdf["chars"].to_numpy(), units, budget)
+        return pdf.iloc[own][["session_id", "seq"]].assign(place=range(len(own)))
 
-    schema = "session_id string, seq long, vector array<float>, quality double, chars long"
-    base = rows.select("session_id", "seq", F.col("vector").cast("array<float>").alias("vector"), F.col("quality").cast("double").alias("quality"), F.col("chars").cast("long").alias("chars"))
-    first = base.groupBy("session_id", F.floor(F.col("seq") / STRETCH).alias("_s")).applyInPandas(lambda pdf: choose(pdf.drop(columns=[c for c in pdf.columns if c == "_s"])), schema)
-    return first.groupBy("session_id").applyInPandas(choose, schema).select("session_id", "seq")
+    base = rows.filter("vector is not null").select("session_id", "seq", "role", "block_type", F.col("vector").cast("array<double>").alias("vector"), F.col("quality").cast("double").alias("quality"), F.col("chars").cast("long").alias("chars"))
+    return base.groupBy("session_id").applyInPandas(choose, "session_id string, seq long, place int")
 
 
 def transitions(rows: DataFrame, most: int = 6) -> DataFrame:

@@ -201,12 +201,34 @@ def d_display(spark, sf_dir):
     return blocks(spark, sf_dir).select("session_id", "seq", display(F.col("text"), 400).alias("shown"))
 
 
+def _units(spark, sf_dir):
+    """Embeddings of a label stand for the units of a session."""
+    i = F.col("vec_id")
+    kind = F.when(i % 4 == 3, "tool_result").when(i % 4 == 2, "tool_use").otherwise("text")
+    return table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("session_id"), i.alias("seq"), F.when(i % 2 == 0, "user").otherwise("assistant").alias("role"), kind.alias("block_type"), F.col("embedding").alias("vector"), (1.0 / (1 + i % 3)).alias("quality"), (100 + i % 900).cast("long").alias("chars"))
+
+
 @query("d_select", None)
 def d_select(spark, sf_dir):
     from ..operators.digest import digest
 
-    e = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("session_id"), F.col("vec_id").alias("seq"), F.col("embedding").alias("vector"), (1.0 / (1 + F.col("vec_id") % 3)).alias("quality"), (100 + F.col("vec_id") % 900).cast("long").alias("chars"))
-    return digest(e, units=8)
+    return digest(_units(spark, sf_dir), units=8)
+
+
+@query("d_axes", None)
+def d_axes(spark, sf_dir):
+    """The extremes of up to six directions of each session."""
+    import numpy as np
+    import pandas as pd
+
+    from ..operators.digest import axes
+
+    def find(pdf):
+        pdf = pdf.sort_values("seq", kind="stable")
+        own = axes(np.array(pdf["vector"].tolist(), np.float64), pdf["quality"].to_numpy(), pdf["quality"].to_numpy(), 6)
+        return pd.DataFrame({"session_id": pdf["session_id"].iloc[0], "place": range(len(own)), "seq": [int(pdf["seq"].iloc[k]) for k in own]})
+
+    return _units(spark, sf_dir).select("session_id", "seq", "vector", "quality").groupBy("session_id").applyInPandas(find, "session_id string, place int, seq long")
 
 
 @query("d_transitions", None)
