@@ -460,3 +460,25 @@ def test_stages_keep_the_columns_and_take_effect(spark, tmp_path):
     assert set(kept[2]) - set(kept[3]) == {45}
     pieces = corpus_pipeline.packed(spark, docs, str(tmp_path)).collect()
     assert {p["doc_id"] for p in pieces} == set(kept[3])
+
+
+def test_out_of_place_distance_matches_the_plain_one(spark):
+    """Every text's distance to every profile, n-gram by n-gram; a long text among them."""
+    import pyarrow as pa
+
+    r = random.Random(17)
+    texts = [prose(r, x, n) for x in (EN, FR) for n in (1, 3, 30, 200)] + ["1 2", "", None, "ab " * 40_000]
+    langs = ["en"] * 4 + ["fr"] * 4 + [None] * 4
+    learned = language_id.learn(frame(spark, texts, langs))
+    profiles = {x: dict(zip(g["key"], g["rank"], strict=True)) for x, g in learned.groupby("lang")}
+    got = language_id.Profiles(learned).predict(pa.array(texts, pa.string()))
+    most = max(language_id.PROFILE, language_id.OWN)
+    for i, t in enumerate(texts):
+        _, key, count = language_id.ngrams(pa.array([t], pa.string()))
+        own = [k for _, _, k in sorted((-c, n, k) for n, (k, c) in enumerate(zip(key.view(np.int64).tolist(), count.tolist(), strict=True)))][: language_id.OWN]
+        if not own:
+            assert (got[0][i], got[1][i]) == ("und", 0)
+            continue
+        cost = {x: sum(abs(p[k] - n) if k in p else most for n, k in enumerate(own)) for x, p in profiles.items()}
+        best = min(sorted(cost), key=cost.get)
+        assert got[0][i] == best and abs(got[1][i] - max(0, 1 - cost[best] / (len(own) * most))) < 1e-12
