@@ -173,9 +173,9 @@ class Model:
                 total = np.zeros((len(hubs), k))
                 np.add.at(total, hub, new_hub)
                 new_node = _through(total[hub] - new_hub, agree)
-                to_node = DAMPING * to_node + (1 - DAMPING) * new_node
-                moved = np.abs(new_hub - to_hub).max()
-                to_hub = new_hub
+                new_node = DAMPING * to_node + (1 - DAMPING) * new_node
+                moved = max(np.abs(new_hub - to_hub).max(), np.abs(new_node - to_node).max())
+                to_hub, to_node = new_hub, new_node
             else:
                 moved = 0.0
             moved = max(moved, np.abs(new_left - left).max(), np.abs(new_right - right).max())

@@ -95,3 +95,44 @@ def test_query_columns_and_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert pii.find(df, pii.learn(df)).count() == 0
     assert hashlib.sha256(b"").hexdigest() == hashlib.sha256(pii.joined_spans([]).encode()).hexdigest()
+
+
+def exact_marginals(model, own):
+    """By all labellings of nodes and hubs."""
+    import itertools
+
+    import numpy as np
+
+    k = len(pii.LABELS)
+    keys = [key for key in {key for x in own for key in x.keys} if sum(key in x.keys for x in own) > 1]
+    total = np.zeros((len(own), k))
+    for y in itertools.product(*[[x.label] if x.label else range(k) for x in own]):
+        w = sum(model.unary[list(x.features), label].sum() for x, label in zip(own, y, strict=True) if not x.label)
+        w += sum(model.chain[a, b] for a, b in itertools.pairwise(y))
+        hubs = 1.0
+        for key in keys:
+            hubs *= sum(np.exp(model.skip * sum(y[i] == h for i, x in enumerate(own) if key in x.keys)) for h in range(k))
+        for i, label in enumerate(y):
+            total[i, label] += np.exp(w) * hubs
+    return total / total.sum(1, keepdims=True)
+
+
+def test_message_passing_matches_enumeration():
+    """Exactly where the graph is a tree (a chain, or hubs alone); nearly, and with the same best labels where they are
+    sure, where chain and hubs make loops."""
+    import numpy as np
+
+    r = random.Random(19)
+    for trial in range(60):
+        chain, hubs = trial % 3 != 1, trial % 3 != 0
+        unary = np.array([[r.gauss(0, 0.7) for _ in pii.LABELS] for _ in range(pii.FEATURES)])
+        pair = np.array([[r.gauss(0, 0.6) if chain else 0.0 for _ in pii.LABELS] for _ in pii.LABELS])
+        own = [pii.Node(i, i + 1, r.choice([0, 0, 0, 2]), tuple(r.sample(range(pii.FEATURES), 3)), (r.choice("ab"),) if hubs else ()) for i in range(r.randint(1, 5))]
+        model = pii.Model(unary, pair, 1.5)
+        got, want = model.marginals(own), exact_marginals(model, own)
+        if not (chain and hubs):
+            assert np.abs(got - want).max() < 1e-3
+        else:
+            assert np.abs(got - want).max() < 0.2
+            sure = want.max(1) > 0.8
+            assert (got.argmax(1) == want.argmax(1))[sure].all()
