@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import vectors as V
+
 DIM = 64
 _VECTOR = T.ArrayType(T.FloatType())
 
@@ -51,25 +54,131 @@ def cells(rows: DataFrame, key: str, vector: str, centres: np.ndarray) -> DataFr
 
     @F.pandas_udf(T.IntegerType())
     def nearest(v: pd.Series) -> pd.Series:
-        x = np.array(v.tolist(), np.float64)
-        return pd.Series(((x[:, None, :] - centres[None]) ** 2).sum(-1).argmin(1).astype(np.int32))
+        return pd.Series(_squares(np.array(v.tolist(), np.float64), centres).argmin(1).astype(np.int32))
 
     return rows.filter(F.col(vector).isNotNull()).withColumn("cell", nearest(F.col(vector)))
 
 
-def centres_of(rows: DataFrame, vector: str, k: int, sample: int = 20_000, rounds: int = 10) -> np.ndarray:
-    """k-means centres of a bounded sample."""
-    n = rows.count()
+def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of ``x`` to all of ``y``."""
+    return (x * x).sum(1)[:, None] - 2 * x @ y.T + (y * y).sum(1)[None]
+
+
+def _sample(rows: DataFrame, vector: str, most: int) -> np.ndarray:
+    """At most ``most`` vectors, a row each."""
     part = rows.select(vector).filter(F.col(vector).isNotNull())
-    x = np.array([r[0] for r in (part.sample(min(1.0, sample / n), 7) if n > sample else part).limit(sample).collect()], np.float64)
+    n = part.count()
+    found = [r[0] for r in (part.sample(min(1.0, 1.1 * most / n), 7) if n > most else part).limit(most).collect()]
+    return np.array(found, np.float64).reshape(len(found), -1 if found else 0)
+
+
+def _means(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
     rng = np.random.default_rng(7)
-    centres = x[rng.choice(len(x), min(k, len(x)), replace=False)]
-    for _ in range(rounds):
-        own = ((x[:, None, :] - centres[None]) ** 2).sum(-1).argmin(1)
+    centres = x[rng.choice(len(x), min(k, len(x)), replace=False)] if len(x) else x
+    for _ in range(rounds if len(x) else 0):
+        own = _squares(x, centres).argmin(1)
         centres = np.stack([x[own == i].mean(0) if (own == i).any() else centres[i] for i in range(len(centres))])
     return centres
 
 
+def centres_of(rows: DataFrame, vector: str, k: int, sample: int = 20_000, rounds: int = 10) -> np.ndarray:
+    """k-means centres of a bounded sample."""
+    return _means(_sample(rows, vector, sample), k, rounds)
+
+
+@dataclass(frozen=True)
+class ProductIndex:
+    """Centres of the cells, and for each run of ``width`` numbers of what is left of a vector in its cell at most 256
+    code words, so that a run is one byte."""
+
+    centres: np.ndarray
+    books: tuple[np.ndarray, ...]
+    width: int
+
+    @staticmethod
+    def fit(rows: DataFrame, vector: str, k: int = 16, width: int = 4, sample: int = 20_000, rounds: int = 10) -> ProductIndex:
+        """Learned from at most ``sample`` vectors; all must have the same length. No vectors: an index of no cells."""
+        x = _sample(rows, vector, sample)
+        centres = _means(x, k, rounds)
+        rest = x - centres[_squares(x, centres).argmin(1)] if len(x) else x
+        return ProductIndex(centres, tuple(_means(rest[:, i : i + width], 256, rounds) for i in range(0, x.shape[1], width)), width)
+
+    def _runs(self, x: np.ndarray) -> list[np.ndarray]:
+        return [x[:, i : i + self.width] for i in range(0, x.shape[1], self.width)]
+
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(cell, codes) of each vector."""
+        cell = _squares(x, self.centres).argmin(1)
+        runs = self._runs(x - self.centres[cell])
+        return cell, np.stack([_squares(r, b).argmin(1) for r, b in zip(runs, self.books, strict=True)], 1).astype(np.uint8)
+
+    def table(self, query: np.ndarray, cell: int) -> list[np.ndarray]:
+        """Squared distances of each run of the query to each code word of a cell."""
+        return [_squares(r, b)[0] for r, b in zip(self._runs((query - self.centres[cell])[None]), self.books, strict=True)]
+
+
+def coded(rows: DataFrame, key: str, vector: str, index: ProductIndex) -> DataFrame:
+    """``key, vector, cell, codes`` of every row with a key and a vector."""
+
+    @F.pandas_udf("cell int, codes binary")
+    def encode(v: pd.Series) -> pd.DataFrame:
+        cell, codes = index.encode(np.array(v.tolist(), np.float64))
+        return pd.DataFrame({"cell": cell.astype(np.int32), "codes": [c.tobytes() for c in codes]})
+
+    there = rows.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(key, vector)
+    return there.withColumn("_c", encode(F.col(vector))).select(key, vector, "_c.cell", "_c.codes")
+
+
+def index_search(stored: DataFrame, key: str, vector: str, queries: DataFrame, index: ProductIndex, limit: int = 10, probes: int = 12, refine: int = 20, part_rows: int = 65_536, part_queries: int = 16_384) -> DataFrame:
+    """``query, key, distance``: about the ``limit`` rows of ``stored`` (see ``coded``) nearest to each of ``queries``
+    (``key, vector``), by squared distance, then key.
+
+    A query looks through the ``probes`` nearest cells by its tables of code words, and the ``refine * limit`` best are
+    compared in full. Cells and queries are dealt in parts of bounded size, so that a cell with most of the rows is the
+    work of many tasks; codes are dealt, vectors only of what is compared in full. Keys must be distinct; queries
+    without a key or vector find nothing, nor does any query in an empty index.
+    """
+    kind = stored.schema[key].dataType.simpleString()
+    q = queries.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("query"), F.col(vector).alias("_q"))
+    if not len(index.centres):
+        return q.crossJoin(stored.select(F.col(key)).limit(0)).select("query", key, F.lit(0.0).alias("distance"))
+    most = refine * limit
+    centres = index.centres
+
+    @F.pandas_udf("array<int>")
+    def near(v: pd.Series) -> pd.Series:
+        return pd.Series(list(np.argsort(_squares(np.array(v.tolist(), np.float64), centres), axis=1, kind="stable")[:, :probes].astype(np.int32)))
+
+    blocks = max(1, -(-q.count() // part_queries))
+    parts = stored.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("parts"))  # a row a cell
+    left = stored.select(F.col(key).alias("k"), "cell", "codes").join(F.broadcast(parts), "cell")
+    left = left.select("k", "codes", "cell", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    right = q.withColumn("cell", F.explode(near("_q"))).join(F.broadcast(parts), "cell")
+    right = right.select("query", "_q", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("block"))
+
+    def look(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(asked):
+            return pd.DataFrame({"query": asked["query"][:0], "k": rows["k"][:0], "about": pd.Series(dtype=float)})
+        rows = rows.sort_values("k", kind="stable")
+        codes = np.frombuffer(b"".join(rows["codes"]), np.uint8).reshape(len(rows), -1)
+        keys, cell, out = rows["k"].to_numpy(), int(rows["cell"].iloc[0]), []
+        for name, v in zip(asked["query"], asked["_q"], strict=True):
+            about = np.zeros(len(keys))
+            for j, t in enumerate(index.table(np.asarray(v, np.float64), cell)):
+                about += t[codes[:, j]]
+            at = np.flatnonzero(about <= np.partition(about, most - 1)[most - 1]) if len(keys) > most else np.arange(len(keys))
+            at = at[np.argsort(about[at], kind="stable")][:most]
+            out.append(pd.DataFrame({"query": name, "k": keys[at], "about": about[at]}))
+        return pd.concat(out)
+
+    dealt = ("cell", "part", "block")
+    found = left.groupBy(*dealt).cogroup(right.groupBy(*dealt)).applyInPandas(look, f"query {kind}, k {kind}, about double")
+    place = lambda *order: F.row_number().over(Window.partitionBy("query").orderBy(*order))
+    best = found.withColumn("_n", place("about", "k")).filter(F.col("_n") <= most).select("query", F.col("k").alias(key))
+    whole = best.join(stored.select(key, vector), key).join(q, "query").select("query", key, V.l2_squared(F.col(vector), F.col("_q")).alias("distance"))
+    return whole.withColumn("_n", place("distance", key)).filter(F.col("_n") <= limit).drop("_n")
+
+
 def simhash_bands(vector: Column, bands: int = 8, bits: int = 10, seed: int = 7) -> Column:
     """Band keys from the signs of random directions."""
 
@@ -88,8 +197,6 @@ def banded_pairs(rows: DataFrame, group: str, key: str, vector: str, least: floa
     """``a, b`` of pairs that share a band and reach ``least``: approximate where ``graph.similar_pairs`` is exact.
 
     A pair of cosine 0.97 shares one of the 8 bands of 10 bits with a probability of 0.99, one of 0.35 with 0.06."""
-    from ..functions import vectors as V
-
     banded = rows.select(group, key, vector, F.explode(simhash_bands(F.col(vector))).alias("_band"))
     left = banded.select(group, "_band", F.col(key).alias("a"), F.col(vector).alias("va"))
     right = banded.select(group, "_band", F.col(key).alias("b"), F.col(vector).alias("vb"))

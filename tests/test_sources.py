@@ -80,6 +80,49 @@ def test_cells_hold_all_rows(spark):
         assert x["cell"] == int(((np.array(x["v"]) - centres) ** 2).sum(1).argmin())
 
 
+def _recall(spark, rows, queries, **options):
+    """Share of the exact nearest ten of each query that the index finds."""
+    import pandas as pd
+
+    df = spark.createDataFrame(pd.DataFrame({"k": [k for k, _ in rows], "v": [v.tolist() for _, v in rows]}), "k long, v array<float>")
+    index = vectors.ProductIndex.fit(df, "v")
+    got = vectors.index_search(vectors.coded(df, "k", "v", index), "k", "v", df.filter(f"k in ({', '.join(map(str, queries))})"), index, **options).collect()
+    x, keys = np.stack([v for _, v in rows]), np.array([k for k, _ in rows])
+    share = []
+    for q in queries:
+        d = ((x - x[keys == q][0]) ** 2).sum(1)
+        exact = keys[np.lexsort((keys, np.round(d, 9)))][:10].tolist()
+        mine = [r["k"] for r in sorted(got, key=lambda r: r["distance"]) if r["query"] == q]
+        assert len(mine) == len(set(mine)) == len(exact) and mine[0] == q
+        share.append(len(set(mine) & set(exact)) / len(exact))
+    return sum(share) / len(share)
+
+
+def test_index_search_finds_what_is_near(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, v) for k, v in enumerate(rng.normal(size=(1500, 32)).astype(np.float32))]
+    assert _recall(spark, rows, range(0, 1500, 100)) >= 0.9
+    # parts of rows and of queries give the same as whole cells
+    assert _recall(spark, rows, range(0, 1500, 100), part_rows=40, part_queries=4) >= 0.9
+
+
+def test_index_search_with_every_cell_and_row_is_exact(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, v) for k, v in enumerate(rng.normal(size=(200, 8)).astype(np.float32))]
+    assert _recall(spark, rows, [0, 100], probes=16, refine=20) == 1.0
+
+
+def test_index_search_of_copies_nulls_and_nothing(spark):
+    schema = "k long, v array<float>"
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (None, [0.0, 1.0]), (4, [0.0, 1.0])], schema)
+    index = vectors.ProductIndex.fit(df, "v", k=2)
+    got = vectors.index_search(vectors.coded(df, "k", "v", index), "k", "v", df, index, limit=2)
+    assert sorted((r["query"], r["k"], r["distance"]) for r in got.collect()) == [(1, 1, 0.0), (1, 2, 0.0), (2, 1, 0.0), (2, 2, 0.0), (4, 1, 2.0), (4, 4, 0.0)]
+    none = spark.createDataFrame([], schema)
+    index = vectors.ProductIndex.fit(none, "v")
+    assert vectors.index_search(vectors.coded(none, "k", "v", index), "k", "v", df, index).collect() == []
+
+
 def test_equal_vectors_share_their_bands(spark):
     df = spark.createDataFrame([(0, 1, [1.0, 0.0, 0.5]), (0, 2, [1.0, 0.0, 0.5]), (1, 3, [1.0, 0.0, 0.5]), (0, 4, [-1.0, 0.0, -0.5])], "g int, k int, v array<double>")
     assert [tuple(r) for r in vectors.banded_pairs(df, "g", "k", "v", 1.0).collect()] == [(1, 2)]
