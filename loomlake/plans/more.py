@@ -117,7 +117,7 @@ def k_ivfpq(spark, sf_dir):
     return found.select("query", "vec_id", F.round("distance", 6).alias("distance"))
 
 
-@query("j_lsh_dup", None)
+@query("j_lsh_dup", "SELECT p.vec_id AS a, q.vec_id AS b FROM embeddings p JOIN embeddings q ON p.label = q.label AND p.vec_id < q.vec_id WHERE list_inner_product(CAST(p.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) >= 0.35")
 def j_lsh_dup(spark, sf_dir):
     """The bands fit a cosine of 0.97; at 0.35 most pairs share none, so all pairs of a label are compared, in blocks."""
     e = table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding")
