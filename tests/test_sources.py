@@ -123,6 +123,18 @@ def test_index_search_of_copies_nulls_and_nothing(spark):
     assert vectors.index_search(vectors.coded(none, "k", "v", index), "k", "v", df, index).collect() == []
 
 
+def test_the_registered_index_search_against_brute_force(spark):
+    from loomlake.plans import registry
+
+    sf_dir = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect()
+    x, keys = np.array([r[1] for r in rows]), np.array([r[0] for r in rows])
+    got = {(r["query"], r["vec_id"]) for r in registry.queries()["k_ivfpq"](spark, sf_dir).collect()}
+    asked = keys[keys % 100 == 0]
+    exact = {(q, k) for q in asked for k in keys[np.lexsort((keys, np.round(((x - x[keys == q][0]) ** 2).sum(1), 9)))][:10]}
+    assert len(got) == len(exact) == 10 * len(asked) and len(got & exact) >= 0.9 * len(exact)
+
+
 def test_equal_vectors_share_their_bands(spark):
     df = spark.createDataFrame([(0, 1, [1.0, 0.0, 0.5]), (0, 2, [1.0, 0.0, 0.5]), (1, 3, [1.0, 0.0, 0.5]), (0, 4, [-1.0, 0.0, -0.5])], "g int, k int, v array<double>")
     assert [tuple(r) for r in vectors.banded_pairs(df, "g", "k", "v", 1.0).collect()] == [(1, 2)]
