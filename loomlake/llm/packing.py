@@ -1,7 +1,7 @@
 """Packing token sequences into windows by best-fit decreasing.
 
-A document longer than a window is cut into full windows first; the pieces left are dealt into shards by a hash of
-their document, and within a shard placed in decreasing length into the open window with the least room that still
+A document longer than a window is cut into full windows first; the pieces left are dealt into shards by a hash
+of all they hold, and within a shard placed in decreasing length into the open window with the least room that still
 holds them. A segment tree indexed by remaining room finds that window in O(log window). A shard leaves at most a few
 windows partly filled, so the padding does not depend on the number of shards once these hold some thousand pieces.
 """
@@ -9,8 +9,8 @@ windows partly filled, so the padding does not depend on the number of shards on
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,17 +105,18 @@ def pack(pieces: DataFrame, shards: int, window: int = WINDOW, keys: tuple[str,
     repeat their keys are pieces of their own. An empty table gives no rows.
     """
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([*keys], kind="stable")
-        w, offset = best_fit_decreasing(rows["length"].to_numpy(), window)
-        return rows.assign(sequence_id=w + (int(rows["_shard"].iloc[0]) << 32), offset=offset)[names]
+    def one(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[(k, "ascending") for k in keys]))
+        w, offset = best_fit_decreasing(rows.column("length").to_numpy(), window)
+        shard = rows.column("_shard")[0].as_py()
+        return rows.select(names).append_column("sequence_id", pa.array(w + (shard << 32))).append_column("offset", pa.array(offset))
 
     fields = [f for f in pieces.schema.fields if f.name not in ("sequence_id", "offset")]
-    names = [*(f.name for f in fields), "sequence_id", "offset"]
+    names = [f.name for f in fields]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", sequence_id long, offset long"
-    # the place in the document counts too, else the pieces of a very long one would crowd a shard
-    dealt = pieces.select(*(f.name for f in fields), F.pmod(F.xxhash64(*keys), F.lit(shards)).alias("_shard"))
-    return dealt.groupBy("_shard").applyInPandas(one, schema)
+    # all columns count: pieces of one very long document, or of many under one id or without one, go to many shards
+    dealt = pieces.select(*names, F.pmod(F.xxhash64(*names), F.lit(shards)).alias("_shard"))
+    return dealt.groupBy("_shard").applyInArrow(one, schema)
 
 
 def shard_count(docs: DataFrame, text: str = "text") -> int:
