@@ -3,8 +3,8 @@
 A rolling hash over the last ids of a document cuts its id stream into chunks, so equal passages give equal chunks
 wherever they stand. A chunk's address is the SHA-256 of its bytes; each distinct chunk is stored once. A document's
 recipe lists its chunk addresses in order and their Merkle root; the manifest holds a Merkle root per range of
-documents and one over all. Reading checks every chunk against its address, every recipe against its root, and the
-recipes against the manifest.
+documents and one over all, whose leaves hash everything a recipe says. Reading checks every chunk against its address,
+the root against the chunks that were put together, and every recipe against the manifest.
 
 Layout under one folder (Parquet containers, so that any store Spark writes to will do):
   pool/kind=chunk   address binary, row binary, at long, n long, ids binary (little-endian, ``width`` bytes an id, as
@@ -146,9 +146,9 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
     release(spark)
 
     used = spark.read.schema(_POOL).parquet(f"{path}/pool").filter("kind = 'use'").select("address", "row", "doc_id", "at", "n")
-    recipes = used.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.count_if(F.col("at") == 0).alias("copies"), F.sum("n").alias("_n"), F.transform(F.sort_array(F.collect_list(F.struct("at", "address"))), lambda x: x["address"]).alias("_all"))
-    # copies of a row repeat each chunk
-    recipes = recipes.select("doc_id", "row", "copies", F.expr("_n div copies").alias("n_tokens"), F.filter("_all", lambda x, i: i % F.col("copies") == 0).alias("chunks"))
+    # copies of a row are counted before its chunks are collected
+    used = used.groupBy("row", "at", "address").agg(F.max("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+    recipes = used.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("copies").alias("copies"), F.sum("n").alias("n_tokens"), F.transform(F.sort_array(F.collect_list(F.struct("at", "address"))), lambda x: x["address"]).alias("chunks"))
     order = [F.col("doc_id").asc_nulls_last(), F.col("row")]
     recipes.repartitionByRange(n, *order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "doc_id", "row", "copies", "n_tokens", "chunks").write.parquet(staged := f"{path}/staged")
     kept = spark.read.schema("part int, doc_id long, row binary, copies long, n_tokens long, chunks array<binary>").parquet(staged)
@@ -167,16 +167,20 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
     remove(spark, staged)
 
 
-def _range_roots(recipes: DataFrame) -> DataFrame:
-    """part, first_start, n_docs, n_ids, root: over the roots of a range's recipes in the order of their starts."""
+def _leaf(doc_id: int | None, row: bytes, copies: int, start: int, n_tokens: int, root: bytes) -> bytes:
+    return f"{doc_id},{copies},{start},{n_tokens},".encode() + row + root
+
 
-    def f(key, rows):  # noqa: ANN001, ANN202
-        import pandas as pd
+def _range_roots(recipes: DataFrame) -> DataFrame:
+    """part, first_start, n_docs, n_ids, root: over all that a range's recipes say, in the order of their starts."""
 
-        rows = rows.sort_values("start", kind="stable")
-        return pd.DataFrame({"part": [key[0]], "first_start": [rows["start"].min()], "n_docs": [rows["copies"].sum()], "n_ids": [(rows["n_tokens"] * rows["copies"]).sum()], "root": [merkle_root([bytes(x) for x in rows["root"]])]})
+    def f(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("start")
+        said = [rows.column(c).to_pylist() for c in ("doc_id", "row", "copies", "start", "n_tokens", "root")]
+        copies, starts, n = said[2:5]
+        return pa.table({"part": rows.column("part")[:1], "first_start": [starts[0]], "n_docs": [sum(copies)], "n_ids": [sum(c * k for c, k in zip(copies, n, strict=True))], "root": [merkle_root([_leaf(*x) for x in zip(*said, strict=True)])]})
 
-    return recipes.select("part", "copies", "start", "n_tokens", "root").groupBy("part").applyInPandas(f, "part int, first_start long, n_docs long, n_ids long, root binary")
+    return recipes.select("part", "doc_id", "row", "copies", "start", "n_tokens", "root").groupBy("part").applyInArrow(f, "part int, first_start long, n_docs long, n_ids long, root binary")
 
 
 _MANIFEST = "part int, first_start long, n_docs long, n_ids long, width int, root binary"
@@ -197,7 +201,7 @@ class CorruptStore(ValueError):
 
 
 def verify_manifest(spark: SparkSession, path: str) -> int:
-    """Checks the recipes' roots against the manifest; returns the width of an id in bytes."""
+    """Checks what the recipes say against the manifest; returns the width of an id in bytes."""
     said = {r["part"]: r for r in spark.read.schema(_MANIFEST).parquet(f"{path}/manifest").collect()}
     now = _manifest(spark, path, said[-1]["width"]).collect()
     if {r["part"]: bytes(r["root"]) for r in now} != {k: bytes(r["root"]) for k, r in said.items()}:
@@ -207,17 +211,18 @@ def verify_manifest(spark: SparkSession, path: str) -> int:
 
 def read_store(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
     """``doc_id, start, n_tokens, ids`` (little-endian unsigned 32-bit) of every document, put together from its
-    chunks. With ``check``, a chunk that differs from its address, or chunks that are missing, raise ``CorruptStore``.
+    chunks. Missing chunks raise ``CorruptStore``; with ``check``, so do a chunk that differs from its address, chunks
+    whose Merkle root isn't the recipe's, and recipes that differ from the manifest.
     """
     width = verify_manifest(spark, path) if check else spark.read.schema(_MANIFEST).parquet(f"{path}/manifest").first()["width"]
     recipes = spark.read.schema(_RECIPES).parquet(f"{path}/recipes")
     pool = spark.read.schema(_POOL).parquet(f"{path}/pool")
     chunks = pool.filter("kind = 'chunk'")
     # a chunk with one use goes to its document as it is; of the few with more, every use fetches the bytes
-    uses = pool.filter("kind = 'use'").select("address", "row", "at")
+    uses = pool.filter("kind = 'use'").select("address", "row", "at").distinct()  # copies of a row use the same
     pieces = chunks.filter("not shared").select("row", "at", "ids").unionByName(uses.join(chunks.filter("shared").select("address", "ids"), "address").select("row", "at", "ids"))
     got = pieces.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("got"))
-    found = recipes.select("doc_id", "row", "copies", "start", "n_tokens", "chunks").join(got, "row", "left").select("doc_id", "copies", "start", "n_tokens", "got", "chunks")
+    found = recipes.select("doc_id", "row", "copies", "start", "n_tokens", "chunks", "root").join(got, "row", "left").select("doc_id", "copies", "start", "n_tokens", "got", "chunks", "root")
 
     names_out = ["doc_id", "start", "n_tokens", "ids"]
 
@@ -235,8 +240,10 @@ def read_store(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
 
         for b in batches:
             out, at, start = [], [], []
-            for i, (copies, first, n_tokens, got, names) in enumerate(zip(*(b.column(k).to_pylist() for k in range(1, 6)), strict=True)):
-                own = {x["at"]: x["ids"] for x in got or ()}  # of copies one
+            for i, (copies, first, n_tokens, got, names, root) in enumerate(zip(*(b.column(k).to_pylist() for k in range(1, 7)), strict=True)):
+                own = {x["at"]: x["ids"] for x in got or ()}
+                if check and merkle_root(names) != root:
+                    raise CorruptStore("a document's chunks are not those of its root")
                 if sorted(own) != list(range(len(names))):
                     raise CorruptStore("chunks of a document are missing")
                 raw = b"".join(chunk(own[k], name) for k, name in enumerate(names))

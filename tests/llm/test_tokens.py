@@ -105,6 +105,54 @@ def test_store_holds_a_chunk_once_and_finds_damage(spark):
         token_store.read_store(spark, bad).collect()
 
 
+def test_store_finds_changed_recipes_and_swapped_documents(spark):
+    tx = [t for t in texts() if t][-12:]
+    path = new_path(spark, "test-store")
+    token_store.write_store(spark.createDataFrame([(i, t, "") for i, t in enumerate(tx)], SCHEMA), path)
+    recipes, pool = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/pool")
+
+    def fails(changed, uses=pool):
+        bad = new_path(spark, "bad-store")
+        changed.write.parquet(f"{bad}/recipes")
+        spark.read.parquet(f"{path}/manifest").write.parquet(f"{bad}/manifest")
+        uses.write.partitionBy("kind").parquet(f"{bad}/pool")
+        with pytest.raises(Exception, match="CorruptStore|don.t match"):
+            token_store.read_store(spark, bad).collect()
+
+    assert token_store.read_store(spark, path).count() == len(tx)
+    fails(recipes.selectExpr("part", "doc_id + 100 as doc_id", "row", "copies", "start", "n_tokens", "chunks", "root"))
+    fails(recipes.selectExpr("part", "doc_id", "row", "copies", "start + 7 as start", "n_tokens", "chunks", "root"))
+    fails(recipes.selectExpr("part", "doc_id", "row", "copies + 1 as copies", "start", "n_tokens", "chunks", "root"))
+    # two documents of as many tokens under each other's id, everywhere but in the roots
+    rows = recipes.collect()
+    a, b = next((x, y) for x in rows for y in rows if x["n_tokens"] == y["n_tokens"] and x["doc_id"] < y["doc_id"]) if len({r["n_tokens"] for r in rows}) < len(rows) else (rows[0], rows[1])
+    swap = {bytes(a["row"]): b, bytes(b["row"]): a}
+    changed = [(*r[:5], swap[bytes(r["row"])]["n_tokens"], swap[bytes(r["row"])]["chunks"], r["root"]) if bytes(r["row"]) in swap else tuple(r) for r in rows]
+    used = [(*r[:1], swap[bytes(r["row"])]["row"], *r[2:]) if bytes(r["row"]) in swap else tuple(r) for r in pool.collect()]
+    fails(spark.createDataFrame(changed, recipes.schema), spark.createDataFrame(used, pool.schema))
+
+
+def test_store_collects_copies_once(spark):
+    """Rows equal in id and text: each chunk of their recipe comes to the reader once."""
+    text = " ".join(texts()[-30:])
+    path = new_path(spark, "test-store")
+    token_store.write_store(spark.createDataFrame([(5, text, "")] * 40, SCHEMA).repartition(4), path)
+    recipe = spark.read.parquet(f"{path}/recipes").collect()
+    assert len(recipe) == 1 and recipe[0]["copies"] == 40 and len(recipe[0]["chunks"]) == len(set(map(bytes, recipe[0]["chunks"])))
+    got = token_store.read_store(spark, path).collect()
+    assert len(got) == 40 and sorted(r["start"] for r in got) == [k * recipe[0]["n_tokens"] for k in range(40)]
+
+
+def test_packing_keeps_large_and_null_ids(spark):
+    rows = [((1 << 53) + 1, "a b", ""), ((1 << 53) + 3, "c d e", ""), (None, "f", ""), (None, "f", "")] + [(None, f"w{i}", "") for i in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = packing.pack_documents(df).collect()
+    assert sorted(map(str, (r["doc_id"] for r in got))) == sorted(map(str, (r[0] for r in rows)))
+    pieces = packing.token_pieces(df)
+    shards = [r["sequence_id"] >> 32 for r in packing.pack(pieces, 8).collect() if r["doc_id"] is None]
+    assert len(set(shards)) == 8  # rows without ids are dealt out too
+
+
 def test_store_with_repeated_and_null_ids(spark):
     tx = texts()
     long = " ".join(tx[-30:])
