@@ -31,9 +31,10 @@ def unescaped(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Pieces of up to eight letters, single digits and up to four signs: the estimate of a turn's tokens. A long run
-    counts by its length."""
-    return F.regexp_count(text, F.lit(r"\p{L}{1,8}|\p{N}|[^\s\p{L}\p{N}]{1,4}")) + F.lit(TURN_TOKENS)
+    """Pieces of up to eight letters, single digits, letters of scripts that put no blanks between words one by one,
+    and up to four signs: the estimate of a turn's tokens. A long run counts by its length."""
+    alone = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+    return F.regexp_count(text, F.lit(rf"[\p{{L}}&&[^{alone}]]{{1,8}}|[\p{{L}}&&[{alone}]]|\p{{N}}|[^\s\p{{L}}\p{{N}}]{{1,4}}")) + F.lit(TURN_TOKENS)
 
 
 def _segment(marker: str, role: Column, text: Column) -> Column:
@@ -51,7 +52,7 @@ def chat_windows(turns: DataFrame, budget: int = BUDGET, history_turns: int = HI
     base = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("_role"), F.coalesce("text", F.lit("")).alias("_text"))
     base = base.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK_TURNS), F.lit(1 << 40)))
     system = base.filter("_role = 'system'").groupBy("conv_id").agg(F.min(F.struct(F.coalesce("turn", F.lit((1 << 63) - 1)).alias("turn"), F.col("_text").alias("x"))).alias("_first_system"))
-    system = system.select(F.col("conv_id").alias("_c"), escaped(F.col("_first_system.x")).alias("_sys"), tokens(F.col("_first_system.x")).alias("_sys_t"))
+    system = system.select(F.col("conv_id").alias("_c"), "_first_system", escaped(F.col("_first_system.x")).alias("_sys"), tokens(F.col("_first_system.x")).alias("_sys_t"))
     left = F.lit(budget) - F.greatest(F.lit(SYSTEM_BUDGET), F.coalesce("_sys_t", F.lit(0)))
     most = F.greatest(F.lit(0), F.least(F.lit(HISTORY_BUDGET), F.floor(left / 2)))
     laid = base.select("*", tokens(F.col("_text")).alias("_t"), escaped(F.col("_role")).alias("_r"), escaped(F.col("_text")).alias("_x"))
@@ -77,18 +78,19 @@ def chat_windows(turns: DataFrame, budget: int = BUDGET, history_turns: int = HI
     windows = rows.groupBy("conv_id", "block", "window").agg(
         F.sort_array(F.collect_list(F.struct("_at", F.col("_role").eqNullSafe("assistant").alias("target"), F.col("_role").eqNullSafe("system").alias("system"), _segment(NEW, F.col("_r"), F.col("_x")).alias("s"), (F.char_length("_r") + len(NEW) + len(TEXT)).alias("lead"), F.char_length("_x").alias("n")))).alias("_new"),
         F.first("_past", ignorenulls=True).alias("_past"),
-        F.min(F.when(F.col("_role") == "system", F.col("_at"))).alias("_system_at"),
+        F.min(F.when(F.col("_role") == "system", F.struct(F.coalesce("turn", F.lit((1 << 63) - 1)).alias("turn"), F.col("_text").alias("x")))).alias("_own_system"),
         F.sum("_t").alias("_new_t"),
     )
     joined = windows.join(system, F.col("conv_id").eqNullSafe(F.col("_c")), "left")
     joined = joined.join(before, F.col("conv_id").eqNullSafe(F.col("_pc")) & (F.col("block") == F.col("_pb")), "left")
     recent = F.when(F.col("_prior").isNull(), F.col("_past")).otherwise(F.concat("_prior", "_past"))
     joined = joined.withColumn("_recent", F.slice(F.reverse(recent), 1, history_turns)).withColumn("_most", most)
-    # history: from the nearest turn back while the sum fits, system turns left out (they come first anyway)
+    # history: from the nearest turn back while the sum fits, without the system turn that comes first anyway
     total = lambda k: F.aggregate(F.slice("_recent", 1, k + 1), F.lit(0), lambda a, x: a + x["_t"])
-    fits = F.filter("_recent", lambda x, k: (total(k) <= F.col("_most")) & (x["_role"] != "system"))
+    fits = F.filter("_recent", lambda x, k: (total(k) <= F.col("_most")) & ~((x["_role"] == "system") & (x["_x"] == F.col("_sys"))))
     joined = joined.withColumn("_history", F.transform(F.reverse(fits), lambda x: F.struct(_segment(CONTEXT, x["_r"], x["_x"]).alias("s"), x["_t"].alias("t"))))
-    with_system = F.col("_sys").isNotNull() & F.col("_system_at").isNull()
+    # the retained turn comes first wherever the window doesn't hold that very turn, other system turns or not
+    with_system = F.col("_sys").isNotNull() & ~F.col("_own_system").eqNullSafe(F.col("_first_system"))
     head = F.concat(F.when(with_system, _segment(CONTEXT, F.lit("system"), F.col("_sys"))).otherwise(F.lit("")), F.array_join(F.transform("_history", lambda h: h["s"]), ""))
     joined = joined.withColumn("_head", head)
     zero = F.struct(F.char_length("_head").cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
