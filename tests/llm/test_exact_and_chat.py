@@ -93,3 +93,37 @@ def test_chat_keeps_long_system_turns_and_history_over_blocks(spark):
 
 def test_chat_of_nothing(spark):
     assert C.conversation_digests(C.chat_windows(spark.createDataFrame([], TURNS))).count() == 0
+
+
+def test_the_first_system_turn_starts_every_window_without_it(spark):
+    from loomlake.llm import chat_format
+
+    turns = [(1, i, "system" if i in (0, 30) else ("user", "assistant")[i % 2], "FIRST rules" if i == 0 else "SECOND rules" if i == 30 else f"turn {i} " + "word " * 60) for i in range(60)]
+    windows = chat_format.chat_windows(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    assert len(windows) > 3
+    assert all(w["formatted"].count("FIRST rules") == 1 for w in windows)
+    assert sum("SECOND rules" in w["formatted"] for w in windows) >= 1
+
+
+def test_signs_without_blanks_between_words_count_one_by_one(spark):
+    from pyspark.sql import functions as F
+
+    from loomlake.llm import chat_format
+
+    df = spark.createDataFrame([("漢" * 400,), ("かな" * 50,), ("abcdefgh" * 50,), ("漢a漢",)], "t string")
+    got = [r[0] - chat_format.TURN_TOKENS for r in df.select(chat_format.tokens(F.col("t"))).collect()]
+    assert got == [400, 100, 50, 3]
+
+
+def test_exact_dedup_of_rows_that_share_ids_or_have_none(spark):
+    from loomlake.llm import exact_dedup
+
+    rows = [(None, "same text")] * 30 + [(7, "same  text")] * 30 + [(7, "x"), (None, "y"), (None, "y ")]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), partitions=4).collect()
+    assert len(got) == len(rows)
+    groups = {}
+    for r in got:
+        groups.setdefault(r["text_sha256"], []).append(r)
+    assert sorted((len(g), {r["group_size"] for r in g}.pop(), sum(r["kept"] for r in g), {r["keep_id"] for r in g}.pop()) for g in groups.values() if len(g) != 2) == [(1, 1, 1, 7), (60, 60, 1, 7)]
+    two = next(g for g in groups.values() if len(g) == 2)
+    assert sum(r["kept"] for r in two) == 1 and {r["keep_id"] for r in two} == {None}
