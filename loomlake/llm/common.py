@@ -111,3 +111,19 @@ def with_fields(schema, **kinds: str):  # noqa: ANN001, ANN201
     for name, kind in kinds.items():
         out = out.add(name, kind)
     return out
+
+
+def set_aside(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with the columns that an operator would replace under other names, and a function that gives the
+    operator's result the columns of ``df`` again, with their own values."""
+    from pyspark.sql import functions as F
+
+    lower, own = {n.lower() for n in names}, {}
+    mark = "_own_"
+    while any(c.lower().startswith(mark) for c in df.columns):
+        mark = "_" + mark
+    for c in df.columns:
+        if c.lower() in lower:
+            own[c] = mark + c
+    there = df.select(*[F.col(f"`{c}`").alias(own.get(c, c)) for c in df.columns])
+    return there, lambda out: out.select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in df.columns])

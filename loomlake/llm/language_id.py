@@ -121,10 +121,10 @@ def _ranked(own: np.ndarray, key: np.ndarray, count: np.ndarray, most: int) -> t
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", size: int = PROFILE, most: int = LEARN_DOCS) -> pd.DataFrame:
     """Profiles (``lang, key, rank``) from about ``most`` rows of each language (all, where it has fewer), chosen by a
-    hash of their ids. Counts are summed in each slice and again before the shuffle; what comes to the driver is
+    hash of their ids and texts. Counts are summed in each slice and again before the shuffle; what comes to the driver is
     ``size`` n-grams a language."""
     bounded_batches(docs.sparkSession)
-    labelled = docs.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(doc_id), F.lit(1 << 20)).alias("h"))
+    labelled = docs.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(doc_id, text), F.lit(1 << 20)).alias("h"))
     each = labelled.groupBy("lang").count().collect()  # one row a language
     share = F.create_map(*[F.lit(v) for r in each for v in (r["lang"], max(1, round((1 << 20) * min(1.0, most / r["count"]))))]) if each else F.create_map().cast("map<string,int>")
     rows = labelled.filter(F.col("h") < F.element_at(share, F.col("lang"))).select("lang", "text")

@@ -242,7 +242,7 @@ def learn(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", train_doc
             n.append(c)
         return pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(a, pa.string()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], ["kind", "a", "b", "n"])
 
-    rows = docs.filter(F.pmod(F.xxhash64(doc_id), F.lit(step)) == 0).select(F.col(text).alias("text"))
+    rows = docs.filter(F.pmod(F.xxhash64(doc_id, text), F.lit(step)) == 0).select(F.col(text).alias("text"))
     counts = rows.mapInArrow(by_slices(f, "text"), "kind string, a string, b long, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).collect()
     k = len(LABELS)
     chain = np.ones((k, k))

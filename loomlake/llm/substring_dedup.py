@@ -114,7 +114,7 @@ class SubstringDedup:
         self.length = length
         self.blocks = max(1, round(total / BLOCK_BYTES), size["n"] >> 17)
         self.shares, self.shards = max(2, round(total / SHARE_BYTES)), max(4, round(total / SHARD_BYTES))
-        self.docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.pmod(F.xxhash64(doc_id), F.lit(self.blocks)).cast("int").alias("block"))
+        self.docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.pmod(F.xxhash64(doc_id, text), F.lit(self.blocks)).cast("int").alias("block"))
 
     def repeated_anchors(self) -> DataFrame:
         """``block, share, at``: of a block's distinct anchors (ascending, within a share) those that occur again, by
