@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlake.llm import decontaminate, language_id, line_dedup, near_dedup, packing
-from loomlake.llm.common import written
+from loomlake.llm.common import set_aside, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,16 +18,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     learned = language_id.learn(docs)
     if learned.empty:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    found = language_id.identify(docs, learned)
+    there, back = set_aside(docs, ("lang_pred", "score"))
     kept = (F.col("lang_pred") != language_id.UNDECIDED) & (F.col("score") >= language_id.LEAST_SCORE)
-    return found.filter(kept).select(*docs.columns)
+    return back(language_id.identify(there, learned).filter(kept))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops recurring lines, and documents of which they leave little; ``n_chars`` follows the text. A document that is
     nothing but passages of a few others is left to the near-duplicates."""
-    cut = line_dedup.line_dedup(docs, spare=True).filter("kept")
-    return cut.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    there, back = set_aside(docs, ("n_lines", "n_dropped", "kept"))
+    cut = line_dedup.line_dedup(there, spare=True).filter("kept")
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return back(cut)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
