@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import ids, text
 
@@ -45,48 +43,80 @@ def joined(left: str, right: str, overlap: int = OVERLAP) -> str:
     return left + right
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def split_pieces(body: pd.Series) -> pd.Series:
-    return body.map(pieces)
+#: Steps of one run of a fold: a fold copies its whole state at each step, so what the steps give is gathered by runs.
+RUN = 128
 
 
-@F.pandas_udf(T.StringType())
-def stitched(parts: pd.Series) -> pd.Series:
-    def one(p) -> str | None:  # noqa: ANN001
-        if p is None or not len(p):
-            return None
-        out = p[0]
-        for x in p[1:]:
-            out = joined(out, x)
-        return out
+def _unfolded(steps: Column, first: Column, step) -> Column:  # noqa: ANN001
+    """``first, step(first, 1), step(step(first, 1), 2), ...``: ``steps`` of them, all small structs of one type."""
+    none = F.filter(F.array(first), lambda _: F.lit(False))
 
-    return parts.map(one)
+    def one(acc: Column, k: Column) -> Column:
+        return F.struct(F.array_append(acc["run"], acc["now"]).alias("run"), step(acc["now"], k).alias("now"))
+
+    def run(acc: Column, r: Column) -> Column:
+        own = F.sequence(r * RUN + 1, F.least((r + 1) * RUN, steps))
+        ended = F.aggregate(own, F.struct(none.alias("run"), acc["now"].alias("now")), one)
+        return _bound(ended, lambda e: F.struct(F.array_append(acc["runs"], e["run"]).alias("runs"), e["now"].alias("now")))
+
+    runs = F.sequence(F.lit(0), F.floor((steps - 1) / RUN).cast("int"))
+    start = F.struct(F.filter(F.array(none), lambda _: F.lit(False)).alias("runs"), first.alias("now"))
+    return F.aggregate(runs, start, run, lambda acc: F.flatten(acc["runs"]))
 
 
 def split_text(body: Column) -> Column:
-    """``pieces`` by built-in functions: a fold over as many steps as a text of its length can take. The text is bound
-    once, as the fold names it at every step."""
+    """``pieces`` by built-in functions, in time that grows with the text: the text is parted once into stretches of
+    PIECE characters, and a fold looks for each piece's end in the two stretches that it can lie in."""
+    none = F.array().cast("array<string>")
 
     def whole(t: Column) -> Column:
-        plain, size = t["plain"], t["size"]
+        size, parts = t["size"], t["parts"]
+
+        def seen(start: Column) -> Column:
+            """The PIECE characters from ``start`` on."""
+            first = F.floor(start / PIECE).cast("int")
+            return F.substr(F.concat(F.get(parts, first), F.coalesce(F.get(parts, first + 1), F.lit(""))), start % PIECE + 1, F.lit(PIECE))
+
+        def piece(start: Column) -> Column:
+            # from the end of the longest piece back to its last line break or blank
+            def end(back: Column) -> Column:
+                line, blank = F.instr(back, "\n"), F.instr(back, " ")
+                return F.when(start + PIECE >= size, size).when((line > 0) & (PIECE - line > PIECE // 2), start + PIECE - line).when((blank > 0) & (PIECE - blank > PIECE // 2), start + PIECE - blank).otherwise(start + PIECE)
+
+            return F.struct(start.alias("start"), _bound(F.reverse(seen(start)), end).alias("end"))
+
+        def following(now: Column, _: Column) -> Column:
+            return F.when(now["end"] >= size, F.struct(size.alias("start"), size.alias("end"))).otherwise(_bound(F.greatest(now["end"] - OVERLAP, now["start"] + 1), piece))
+
         steps = F.ceil(size / (PIECE // 2 - OVERLAP)).cast("int")  # a piece is at least half as long as it may be
+        cuts = F.filter(_unfolded(steps, piece(F.lit(0)), following), lambda c: c["start"] < c["end"])
+        return F.filter(F.transform(cuts, lambda c: text.trim_unicode(F.left(seen(c["start"]), c["end"] - c["start"]))), lambda p: p != "")
+
+    def sized(t: Column) -> Column:
+        plain, size = t["plain"], t["size"]
+        parted = F.struct(F.regexp_extract_all(plain, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("parts"), size.alias("size"))
+        return F.when(size <= PIECE, F.when(size > 0, F.array(plain)).otherwise(none)).otherwise(_bound(parted, whole))
+
+    return _bound(text.trim_unicode(body), lambda p: _bound(F.struct(p.alias("plain"), F.char_length(p).alias("size")), sized))
 
-        def cut(acc: Column, _: Column) -> Column:
-            def at(b: Column) -> Column:
-                start, seg = acc["start"], b["seg"]
-                # from the end of the longest piece back to its last line break or blank
-                line, blank = (F.instr(b["back"], x) for x in ("\n", " "))
-                end = F.when(start + PIECE >= size, size).when((line > 0) & (PIECE - line > PIECE // 2), start + PIECE - line).when((blank > 0) & (PIECE - blank > PIECE // 2), start + PIECE - blank).otherwise(start + PIECE)
-                return F.struct(F.array_append(acc["out"], F.substr(seg, F.lit(1), end - start)).alias("out"), F.greatest(end - OVERLAP, start + 1).alias("start"), (end >= size).alias("done"))
 
-            seg = F.substr(plain, acc["start"] + 1, F.lit(PIECE))
-            return F.when(acc["done"], acc).otherwise(_bound(F.struct(seg.alias("seg"), F.reverse(seg).alias("back")), at))
+def stitched(parts: Column, overlap: int = OVERLAP) -> Column:
+    """Pieces put together as ``joined`` does, one after the other. Of what stands before a seam only its last
+    ``overlap`` characters are looked at, and the text is put together once, at the end."""
 
-        first = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("start"), F.lit(False).alias("done"))
-        long = F.filter(F.transform(F.aggregate(F.sequence(F.lit(1), steps), first, cut, lambda acc: acc["out"]), text.trim_unicode), lambda p: p != "")
-        return F.when(size <= PIECE, F.when(size > 0, F.array(plain)).otherwise(F.array().cast("array<string>"))).otherwise(long)
+    def whole(own: Column) -> Column:
+        def seam(now: Column, k: Column) -> Column:
+            """What part ``k`` repeats of the tail before it, and the tail behind it."""
+            part, tail = F.coalesce(F.get(own, k), F.lit("")), now["tail"]
+            same = lambda h: F.get(F.filter(F.sequence(F.least(F.char_length(tail), F.char_length(h)), F.lit(0), F.lit(-1)), lambda n: F.right(tail, n) == F.left(h, n)), 0)
+            behind = lambda n: F.right(F.concat(tail, F.right(F.substr(part, n + 1), F.lit(overlap))), F.lit(overlap))
+            return _bound(_bound(F.left(part, F.lit(overlap)), same), lambda n: F.struct(n.alias("skip"), behind(n).alias("tail")))
 
-    return _bound(text.trim_unicode(body), lambda p: _bound(F.struct(p.alias("plain"), F.char_length(p).alias("size")), whole))
+        first = F.struct(F.lit(0).alias("skip"), F.right(F.get(own, 0), F.lit(overlap)).alias("tail"))
+        skips = F.transform(_unfolded(F.size(own), first, seam), lambda x: x["skip"])
+        return F.array_join(_bound(skips, lambda n: F.transform(own, lambda p, i: F.substr(p, F.get(n, i) + 1))), "")
+
+    return _bound(parts, lambda own: F.when(F.size(own) > 0, whole(own)).otherwise(F.lit("")))
 
 
 def _bound(value: Column, f) -> Column:  # noqa: ANN001
@@ -105,10 +135,19 @@ def chunks(blocks: DataFrame) -> DataFrame:
     return rows.withColumn("id", ids.chunk_id(F.col("session_id"), F.col("turn_uuid"), F.col("block_idx"), F.col("split_idx")))
 
 
-def blocks_of(chunk_rows: DataFrame, keys: tuple[str, ...] = ("session_id", "seq", "turn_uuid", "block_idx")) -> DataFrame:
-    """Whole blocks from their pieces; a block's pieces are few, so each group is small."""
-    grouped = chunk_rows.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("split_idx", "text"))), lambda x: x["text"]).alias("_parts"))
-    return grouped.select(*keys, F.when(F.size("_parts") == 1, F.col("_parts")[0]).otherwise(stitched("_parts")).alias("text"))
+def blocks_of(chunk_rows: DataFrame, keys: tuple[str, ...] = ("session_id", "seq", "turn_uuid", "block_idx"), keep: tuple[str, ...] = ()) -> DataFrame:
+    """Whole blocks from their pieces, in whatever order these come; ``keep``: columns that a block's pieces share."""
+    pieces = F.transform(F.sort_array(F.collect_list(F.struct("split_idx", "text"))), lambda x: x["text"])
+    grouped = chunk_rows.groupBy(*keys).agg(pieces.alias("_parts"), *[F.min(c).alias(c) for c in keep])
+    return grouped.select(*keys, *keep, F.when(F.size("_parts") == 1, F.col("_parts")[0]).otherwise(stitched(F.col("_parts"))).alias("text"))
+
+
+def turns_of(chunk_rows: DataFrame) -> DataFrame:
+    """``session_id, seq, turn_uuid, role, blocks``: each turn with its whole blocks (``block_idx, block_type, text``)
+    in order. Pieces meet by block first, blocks by turn then, so the larger of the two groups is one block's pieces."""
+    whole = blocks_of(chunk_rows, keep=("role", "block_type"))
+    blocks = F.sort_array(F.collect_list(F.struct("block_idx", "block_type", "text")))
+    return whole.groupBy("session_id", "seq", "turn_uuid").agg(F.min("role").alias("role"), blocks.alias("blocks"))
 
 
 HEADING = re.compile(r"\n(?=\s*#{1,6}\s)")

@@ -74,9 +74,19 @@ def a_stitch(spark, sf_dir):
     return whole.select("session_id", "seq", F.md5(F.col("text").cast("binary")).alias("m"))
 
 
-@query("a_turns", f"WITH {BLOCKS} SELECT session_id, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars FROM blocks GROUP BY session_id")
+#: Each two turns of a conversation as one of two blocks, so that a turn has several.
+_PAIRED = f"""{BLOCKS}, paired AS (
+  SELECT session_id, seq // 2 AS seq, seq % 2 AS block_idx, role, block_type, {TRIM("CASE block_type WHEN 'tool_use' THEN '[tool_use ' || coalesce(tool_name, 'None') || '] ' || text WHEN 'tool_result' THEN '[tool_result' || coalesce(' ' || tool_name, '') || '] ' || text ELSE text END")} AS text FROM blocks)"""
+
+
+@query("a_turns", f"WITH {_PAIRED} SELECT session_id, seq, min(role) AS role, count(*) AS blocks, string_agg(block_type, ' ' ORDER BY block_idx) AS kinds, md5(string_agg(text, chr(10) ORDER BY block_idx)) AS m FROM paired WHERE text <> '' GROUP BY session_id, seq")
 def a_turns(spark, sf_dir):
-    return blocks(spark, sf_dir).groupBy("session_id").agg(F.count(F.lit(1)).alias("turns"), F.sum(F.char_length("text")).alias("chars"))
+    """Turns put together from their chunks: blocks from pieces, turns from blocks, in order."""
+    pair = blocks(spark, sf_dir).withColumns({"block_idx": F.col("seq") % 2, "seq": F.floor(F.col("seq") / 2).cast("long")})
+    pair = pair.withColumn("turn_uuid", F.concat("session_id", F.lit("-"), F.col("seq").cast("string")))
+    turns = splitting.turns_of(splitting.chunks(pair))
+    body = F.array_join(F.transform("blocks", lambda b: b["text"]), "\n")
+    return turns.select("session_id", "seq", "role", F.size("blocks").alias("blocks"), F.array_join(F.transform("blocks", lambda b: b["block_type"]), " ").alias("kinds"), F.md5(body.cast("binary")).alias("m"))
 
 
 _STATUS = "CASE WHEN event_id % 10 < 6 THEN 'indexed' WHEN event_id % 10 = 6 THEN 'held' WHEN event_id % 10 = 7 THEN 'invalid' ELSE 'pending' END"
