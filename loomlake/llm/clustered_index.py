@@ -29,7 +29,7 @@ from .common import bounded_batches, by_slices, new_path, sliced, text_buffer
 from .runs import gathered
 
 #: Documents of a cluster, and those that one bisection starts from at most (or so many bytes of terms).
-CLUSTER, SHARD_DOCS, SHARD_BYTES = 256, 4096, 8 << 20
+CLUSTER, SHARD_DOCS, SHARD_BYTES = 256, 2048, 4 << 20
 #: The tree: its levels, and the sample it is fitted to (documents, bytes of each, terms kept by document frequency).
 LEVELS, SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_TERMS = 6, 2_000, 16 << 10, 20_000
 #: Rounds of exchanges at each level at most.
