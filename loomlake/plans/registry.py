@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import aggregates, filters, ingest, joins, more, search, service, streams  # noqa: F401
+    from . import aggregates, filters, incremental, ingest, joins, more, search, service, streams  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -150,7 +150,7 @@ def current(lines: DataFrame) -> DataFrame:
     what came since it was last read in full, and of lines given twice one."""
     last = lines.groupBy("source").agg(F.max(F.when(F.col("mode") == "full", F.struct("batch", "inode"))).alias("_f"))
     own = lines.join(last, "source").filter((F.col("batch") >= F.col("_f.batch")) & (F.col("inode") == F.col("_f.inode")))
-    return own.filter("offset >= 0").groupBy("source", "offset").agg(F.max_by("line", "batch").alias("line"))
+    return own.filter("offset >= 0").groupBy("source", "offset").agg(F.max_by("line", F.struct("batch", "line")).alias("line"))
 
 
 def keep_lines(stream: DataFrame, path: str, checkpoint: str):  # noqa: ANN201
