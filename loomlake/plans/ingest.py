@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..functions import text as T
 from ..operators import ingest as I
+from ..operators import language as L
 from ..operators import splitting
 from .registry import query
 from .tables import BLOCKS, CHUNKS, RENDERED, REVISIONS, TRIM, blocks, chunks, piece_end, revisions, table
@@ -169,3 +170,27 @@ def src_validate(spark, sf_dir):
 def t_lang_gate(spark, sf_dir):
     b = blocks(spark, sf_dir).filter(F.col("block_type").eqNullSafe("text") & F.col("role").isin("user", "assistant"))
     return b.select("session_id", "seq", F.char_length(T.prose(F.col("text"))).cast("long").alias("chars"))
+
+
+def _grams(source: str) -> str:
+    """SQL of the letter trigrams of ``body`` in ``source`` (its other columns go along)."""
+    words = "regexp_extract_all(' ' || trim(regexp_replace(lower(body), '[^\\p{L}]+', ' ', 'g')) || ' ', '(?s).')"
+    return f"(SELECT * EXCLUDE (body, c), unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS gram FROM (SELECT *, {words} AS c FROM {source}))"
+
+
+_LANGUAGE_MODEL = f"""known AS (SELECT lang, text AS body, count(*) OVER (PARTITION BY lang) AS n FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL),
+taught AS (SELECT lang, body FROM known WHERE CAST('0x' || substr(md5(body), 1, 7) AS BIGINT) % n < 2000),
+counts AS (SELECT lang, gram, count(*) AS n FROM {_grams("taught")} GROUP BY 1, 2),
+chosen AS (SELECT DISTINCT gram FROM (SELECT gram, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS r FROM counts) WHERE r <= 300),
+filled AS (SELECT gram, lang, coalesce(n, 0) AS n FROM (SELECT * FROM chosen, (SELECT DISTINCT lang FROM known)) LEFT JOIN counts USING (gram, lang)),
+model AS (SELECT gram, lang, CAST(round(1000 * ln((n + 1) / (sum(n) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang)))) AS BIGINT) AS score FROM filled)"""
+
+
+@query("t_lang", f"""WITH RECURSIVE {CHUNKS}, {_LANGUAGE_MODEL},
+own AS (SELECT id, regexp_replace(text, '(?s)```.*?(```|$)', '', 'g') AS body FROM chunks WHERE block_type = 'text' AND split_idx = 0 AND role IN ('user', 'assistant') AND NOT (role = 'user' AND (starts_with(text, '<') OR starts_with(text, '#')))),
+told AS (SELECT id, lang, sum(score) AS score FROM {_grams("own")} JOIN model USING (gram) GROUP BY 1, 2),
+ranked AS (SELECT *, lead(score) OVER w AS second, row_number() OVER w AS r FROM told WINDOW w AS (PARTITION BY id ORDER BY score DESC, lang DESC))
+SELECT c.id, CASE WHEN second IS NULL OR score - second >= 2197 THEN lang END AS lang FROM chunks c LEFT JOIN (SELECT * FROM ranked WHERE r = 1) USING (id)""")
+def t_lang(spark, sf_dir):
+    """The language of each chunk that has one, by a model learned from the labelled documents."""
+    return L.block_languages(chunks(spark, sf_dir), L.learn(table(spark, sf_dir, "documents")), T.is_scaffolding(F.col("text")))
