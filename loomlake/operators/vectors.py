@@ -179,31 +179,6 @@ def index_search(stored: DataFrame, key: str, vector: str, queries: DataFrame, i
     return whole.withColumn("_n", place("distance", key)).filter(F.col("_n") <= limit).drop("_n")
 
 
-def simhash_bands(vector: Column, bands: int = 8, bits: int = 10, seed: int = 7) -> Column:
-    """Band keys from the signs of random directions."""
-
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def run(v: pd.Series) -> pd.Series:
-        x = np.array(v.tolist(), np.float64)
-        planes = np.random.default_rng(seed).choice([-1.0, 1.0], (x.shape[1], bands * bits))
-        signs = (x @ planes >= 0).reshape(len(x), bands, bits)
-        keys = (signs << np.arange(bits)).sum(-1) + (np.arange(bands) << bits)
-        return pd.Series(list(keys.astype(np.int64)))
-
-    return run(vector)
-
-
-def banded_pairs(rows: DataFrame, group: str, key: str, vector: str, least: float) -> DataFrame:
-    """``a, b`` of pairs that share a band and reach ``least``: approximate where ``graph.similar_pairs`` is exact.
-
-    A pair of cosine 0.97 shares one of the 8 bands of 10 bits with a probability of 0.99, one of 0.35 with 0.06."""
-    banded = rows.select(group, key, vector, F.explode(simhash_bands(F.col(vector))).alias("_band"))
-    left = banded.select(group, "_band", F.col(key).alias("a"), F.col(vector).alias("va"))
-    right = banded.select(group, "_band", F.col(key).alias("b"), F.col(vector).alias("vb"))
-    near = left.join(right, [group, "_band"]).filter("a < b").filter(V.dot(F.col("va"), F.col("vb")) >= least)
-    return near.select("a", "b").distinct()
-
-
 def block_vectors(rows: DataFrame, keys: list[str], vector: str, weight: Column) -> DataFrame:
     """A block's vector: the mean of its pieces' by weight, of length 1."""
     e = rows.select(*keys, weight.cast("double").alias("_w"), F.posexplode(vector).alias("_d", "_x"))

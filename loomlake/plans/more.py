@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import graph
+from ..operators import duplicates as DU
 from ..operators import ingest as I
 from ..operators import joining as J
 from ..operators import searching as S
@@ -117,16 +117,44 @@ def k_ivfpq(spark, sf_dir):
     return found.select("query", "vec_id", F.round("distance", 6).alias("distance"))
 
 
-@query("j_lsh_dup", "SELECT p.vec_id AS a, q.vec_id AS b FROM embeddings p JOIN embeddings q ON p.label = q.label AND p.vec_id < q.vec_id WHERE list_inner_product(CAST(p.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) >= 0.35")
+def units(spark, sf_dir):
+    """Every vector, a near copy of each third one, and in each label a hub: a quarter of its vectors drawn close to
+    the label's first one."""
+    e = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w"))
+    first = e.groupBy("label").agg(F.min_by("v", "vec_id").alias("h"))
+    moved = lambda a, b, t: F.zip_with(a, b, lambda x, y: x + F.lit(t) * y)
+    copies = e.filter("vec_id % 3 = 0").join(after, "vec_id").select("label", (F.col("vec_id") + 1000000).alias("key"), moved("v", "w", 0.15).alias("v"))
+    hub = e.filter("vec_id % 4 = 1").join(F.broadcast(first), "label").select("label", (F.col("vec_id") + 2000000).alias("key"), moved("h", "v", 0.05).alias("v"))
+    return e.select("label", F.col("vec_id").alias("key"), "v").unionByName(copies).unionByName(hub)
+
+
+_MIX = "(({x}) :: UHUGEINT * {c} :: UHUGEINT % 18446744073709551616 :: UHUGEINT) :: UBIGINT"
+_STEP = "((({x}) :: UHUGEINT + 11400714819323198485 :: UHUGEINT) % 18446744073709551616 :: UHUGEINT) :: UBIGINT"
+#: The directions as SplitMix64 gives them, the units, and the number of each band.
+_UNITS = f"""e AS (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), f AS (SELECT label, arg_min(v, vec_id) AS h FROM e GROUP BY label),
+units AS (SELECT label, vec_id AS key, v FROM e
+  UNION ALL SELECT e.label, e.vec_id + 1000000, list_transform(list_zip(e.v, w.v), lambda z: z[1] + 0.15 * z[2]) FROM e JOIN e w ON w.vec_id = e.vec_id + 1 WHERE e.vec_id % 3 = 0
+  UNION ALL SELECT label, vec_id + 2000000, list_transform(list_zip(h, v), lambda z: z[1] + 0.05 * z[2]) FROM e JOIN f USING (label) WHERE vec_id % 4 = 1),
+s0 AS (SELECT p, d, ((p :: UHUGEINT * 11400714819323198485 :: UHUGEINT + d :: UHUGEINT + 7640891576956012809 :: UHUGEINT) % 18446744073709551616 :: UHUGEINT) :: UBIGINT AS x FROM range(80) a(p), range(64) b(d)),
+s1 AS (SELECT p, d, {_STEP.format(x="x")} AS x FROM s0), s2 AS (SELECT p, d, {_MIX.format(x="xor(x, x >> 30)", c="13787848793156543929")} AS x FROM s1), s3 AS (SELECT p, d, {_MIX.format(x="xor(x, x >> 27)", c="10723151780598845931")} AS x FROM s2),
+planes AS (SELECT p, list(CASE WHEN xor(x, x >> 31) % 2 = 0 THEN -1.0 :: DOUBLE ELSE 1.0 END ORDER BY d) AS plane FROM s3 GROUP BY p),
+bands AS (SELECT key, p // 10 AS band, CAST(sum(CASE WHEN list_inner_product(v, plane) >= 0 THEN 1 << (p % 10) ELSE 0 END) AS INTEGER) AS h FROM units, planes GROUP BY 1, 2)"""
+
+
+@query("j_lsh_dup", f"""WITH RECURSIVE {_UNITS}, placed AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY key) AS at FROM units),
+shared AS (SELECT DISTINCT a.key AS a, b.key AS b FROM bands a JOIN bands b USING (band, h) WHERE a.key < b.key),
+edges AS (SELECT a.key AS a, b.key AS b FROM placed a JOIN placed b ON a.label = b.label AND a.key < b.key LEFT JOIN shared s ON s.a = a.key AND s.b = b.key WHERE list_cosine_similarity(a.v, b.v) >= 0.97 AND (s.a IS NOT NULL OR abs(a.at - b.at) <= 16)),
+both_ AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), walk AS (SELECT key AS node, key AS seen FROM units UNION SELECT w.node, x.b FROM walk w JOIN both_ x ON x.a = w.seen),
+g AS (SELECT node, min(seen) AS root FROM walk GROUP BY node) SELECT node AS key, root, count(*) OVER (PARTITION BY root) AS size FROM g""")
 def j_lsh_dup(spark, sf_dir):
-    """The bands fit a cosine of 0.97; at 0.35 most pairs share none, so all pairs of a label are compared, in blocks."""
-    e = table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding")
-    return graph.similar_pairs(e, "label", "vec_id", "embedding", 0.35).select("a", "b")
+    """Classes of near-duplicates by window and bands, hubs compared in blocks."""
+    return DU.classes(units(spark, sf_dir), "label", "key", ["key"], "v")
 
 
-@query("d_simhash", None)
+@query("d_simhash", f"WITH {_UNITS} SELECT key, string_agg(CAST(h AS VARCHAR), ' ' ORDER BY band) AS bands FROM bands GROUP BY key")
 def d_simhash(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", VO.simhash_bands(F.col("embedding")).alias("bands"))
+    return units(spark, sf_dir).select("key", F.array_join(DU.band_keys(F.col("v")).cast("array<string>"), " ").alias("bands"))
 
 
 @query("a_block_vector", "WITH e AS (SELECT label, vec_id % 3 + 1 AS w, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS d FROM embeddings), m AS (SELECT label, d, sum(CAST(x AS DOUBLE) * w) / sum(w) AS v FROM e GROUP BY 1, 2) SELECT label, round(sqrt(sum(v * v)) / sqrt(sum(v * v)), 6) AS norm, round(max(v) / sqrt(sum(v * v)), 6) AS most FROM m GROUP BY label")

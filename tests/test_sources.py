@@ -135,30 +135,6 @@ def test_the_registered_index_search_against_brute_force(spark):
     assert len(got) == len(exact) == 10 * len(asked) and len(got & exact) >= 0.9 * len(exact)
 
 
-def test_equal_vectors_share_their_bands(spark):
-    df = spark.createDataFrame([(0, 1, [1.0, 0.0, 0.5]), (0, 2, [1.0, 0.0, 0.5]), (1, 3, [1.0, 0.0, 0.5]), (0, 4, [-1.0, 0.0, -0.5])], "g int, k int, v array<double>")
-    assert [tuple(r) for r in vectors.banded_pairs(df, "g", "k", "v", 1.0).collect()] == [(1, 2)]
-
-
-def test_pairs_match_brute_force(spark, tmp_path):
-    """All pairs of the query at 0.35, and nearly all that the bands are made for."""
-    from loomlake.plans import registry
-
-    r = np.random.default_rng(3)
-    x = r.normal(size=(300, 64))
-    x[150:] = x[:150] + r.normal(size=(150, 64)) * 0.12
-    x[:40] = x[40:80] + r.normal(size=(40, 64)) * 1.3
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    df = spark.createDataFrame([(i % 2, i, [float(v) for v in x[i]]) for i in range(300)], "label int, vec_id long, embedding array<double>")
-    df.write.parquet(f"{tmp_path}/embeddings.parquet")
-    cosine = x @ x.T
-    want = lambda least: {(a, b) for a in range(300) for b in range(a + 1, 300) if a % 2 == b % 2 and cosine[a, b] >= least}
-    assert len(want(0.35)) > len(want(0.97)) > 50
-    assert {tuple(p) for p in registry.queries()["j_lsh_dup"](spark, str(tmp_path)).collect()} == want(0.35)
-    got = {tuple(p) for p in vectors.banded_pairs(df, "label", "vec_id", "embedding", 0.97).collect()}
-    assert got <= want(0.97) and len(got) >= 0.9 * len(want(0.97))
-
-
 def test_batches_keep_both_bounds(spark):
     df = spark.createDataFrame([("g", i, s) for i, s in enumerate([5, 5, 5, 50, 1, 1, 1, 1])], "g string, k int, t long")
     got = [r["batch"] for r in searching.greedy_batches(df, "g", "k", "t", 3, 11).orderBy("k").collect()]
