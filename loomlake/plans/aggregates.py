@@ -199,56 +199,83 @@ def d_units(spark, sf_dir):
     return b.select("session_id", "seq", F.round(unit_quality(F.col("block_type"), F.col("text")), 6).alias("quality"))
 
 
-@query("d_anchors", f"WITH {BLOCKS} SELECT session_id, min(seq) FILTER (WHERE role = 'user') AS opening, max(seq) FILTER (WHERE role = 'assistant') AS closing FROM blocks GROUP BY session_id")
-def d_anchors(spark, sf_dir):
-    return blocks(spark, sf_dir).groupBy("session_id").agg(F.min(F.when(F.col("role") == "user", F.col("seq"))).alias("opening"), F.max(F.when(F.col("role") == "assistant", F.col("seq"))).alias("closing"))
-
-
-@query("d_display", f"WITH {BLOCKS} SELECT session_id, seq, CASE WHEN length(text) > 400 THEN substr(text, 1, 280) || ' … ' || right(text, 120) ELSE text END AS shown FROM blocks")
+@query("d_display", f"""WITH {BLOCKS}, l AS (SELECT session_id, seq, text, CASE WHEN block_type = 'tool_result' THEN least(5000, 2000) ELSE 5000 END AS much, 375 AS bound FROM blocks)
+SELECT session_id, seq, CASE WHEN length(text) > bound THEN left(text, CAST(floor((bound - 19) * 0.7) AS BIGINT)) || chr(10) || chr(10) || '[… shortened …]' || chr(10) || chr(10) || right(text, bound - 19 - CAST(floor((bound - 19) * 0.7) AS BIGINT)) ELSE text END AS shown,
+  CASE WHEN 2 * length(text) > much THEN much ELSE 2 * length(text) END AS chars FROM l""")
 def d_display(spark, sf_dir):
+    """Texts at a small share of the budget, and the lengths of doubled texts at a large one, where the bound of tool
+    results is the lesser."""
     from ..operators.digest import display
 
-    return blocks(spark, sf_dir).select("session_id", "seq", display(F.col("text"), 400).alias("shown"))
+    b = blocks(spark, sf_dir)
+    double = F.concat("text", "text")
+    return b.select("session_id", "seq", display(F.col("text"), F.col("block_type"), 8, 3_000).alias("shown"), F.char_length(display(double, F.col("block_type"), 1, 5_000)).alias("chars"))
 
 
 def _units(spark, sf_dir):
-    """Embeddings of a label stand for the units of a session."""
+    """Embeddings of a label stand for the units of a session, three a turn; some have no vector, some say the same."""
+    from ..operators.digest import unit_weight
+
     i = F.col("vec_id")
     kind = F.when(i % 4 == 3, "tool_result").when(i % 4 == 2, "tool_use").otherwise("text")
-    return table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("session_id"), i.alias("seq"), F.when(i % 2 == 0, "user").otherwise("assistant").alias("role"), kind.alias("block_type"), F.col("embedding").alias("vector"), (1.0 / (1 + i % 3)).alias("quality"), (100 + i % 900).cast("long").alias("chars"))
+    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    e = table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding", F.floor(place / 3).cast("long").alias("seq"), kind.alias("block_type"))
+    units = e.select(F.col("label").cast("string").alias("session_id"), "seq", F.concat(F.lit("t"), F.col("seq").cast("string")).alias("turn_uuid"), i.alias("unit_id"), F.when(F.col("seq") % 2 == 0, "user").otherwise("assistant").alias("role"), "block_type", F.md5((i % 200).cast("string")).alias("text_hash"), F.when(i % 11 != 0, F.col("embedding")).alias("vector"), (1.0 / (1 + i % 3)).alias("quality"), (100 + i % 900).cast("long").alias("chars"))
+    return units.withColumn("mass", unit_weight(F.col("block_type")))
+
+
+_SESSION_UNITS = """placed AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 3 AS seq FROM embeddings),
+u AS (SELECT CAST(label AS VARCHAR) AS session_id, seq, vec_id AS unit_id, CASE WHEN seq % 2 = 0 THEN 'user' ELSE 'assistant' END AS role, CASE vec_id % 4 WHEN 3 THEN 'tool_result' WHEN 2 THEN 'tool_use' ELSE 'text' END AS kind,
+  CASE vec_id % 4 WHEN 3 THEN 0.2 WHEN 2 THEN 0.35 ELSE 1.0 END :: DOUBLE AS mass, 1.0 / (1 + vec_id % 3) AS quality, CASE WHEN vec_id % 11 <> 0 THEN CAST(embedding AS DOUBLE[]) END AS v FROM placed),
+x AS (SELECT session_id, seq, unit_id, kind, mass, quality, generate_subscripts(v, 1) AS d, unnest(v) / sqrt(list_inner_product(v, v)) AS x FROM u WHERE v IS NOT NULL)"""
+
+
+@query("d_anchors", f"""WITH {_SESSION_UNITS}, mu AS (SELECT session_id, d, sum(mass * x) / sum(mass) AS m FROM x GROUP BY 1, 2), size AS (SELECT session_id, sqrt(sum(m * m)) AS n FROM mu GROUP BY 1),
+near AS (SELECT x.session_id, unit_id, any_value(quality) * greatest(sum(x * m) / any_value(n), 0) AS score FROM x JOIN mu USING (session_id, d) JOIN size ON size.session_id = x.session_id WHERE kind = 'text' GROUP BY 1, 2),
+medoid AS (SELECT session_id, unit_id FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, unit_id) AS r FROM near) WHERE r = 1)
+SELECT u.session_id, coalesce(min(u.unit_id) FILTER (WHERE kind = 'text' AND role = 'user'), min(u.unit_id) FILTER (WHERE kind = 'text')) AS opening, max(u.unit_id) FILTER (WHERE kind = 'text' AND role = 'assistant') AS closing, any_value(m.unit_id) AS medoid
+FROM u LEFT JOIN medoid m ON m.session_id = u.session_id GROUP BY u.session_id""")
+def d_anchors(spark, sf_dir):
+    from ..operators.digest import session_anchors
+
+    return session_anchors(_units(spark, sf_dir))
 
 
 @query("d_select", None)
 def d_select(spark, sf_dir):
     from ..operators.digest import digest
 
-    return digest(_units(spark, sf_dir), units=8)
+    return digest(_units(spark, sf_dir).drop("mass"), units=8)
 
 
 @query("d_axes", None)
 def d_axes(spark, sf_dir):
     """The extremes of up to six directions of each session."""
-    import numpy as np
     import pandas as pd
 
-    from ..operators.digest import axes
+    from ..operators import digest as D
 
     def find(pdf):
-        pdf = pdf.sort_values("seq", kind="stable")
-        own = axes(np.array(pdf["vector"].tolist(), np.float64), pdf["quality"].to_numpy(), pdf["quality"].to_numpy(), 6)
-        return pd.DataFrame({"session_id": pdf["session_id"].iloc[0], "place": range(len(own)), "seq": [int(pdf["seq"].iloc[k]) for k in own]})
+        pdf = pdf.sort_values(["seq", "turn_uuid", "unit_id"], kind="stable")
+        _, v, has = D._arrays(pdf)
+        own = D.axes(v, has, pdf["mass"].to_numpy(), pdf["quality"].to_numpy(), 6)
+        return pd.DataFrame({"session_id": [pdf["session_id"].iloc[0]] * len(own), "place": range(len(own)), "unit_id": pdf["unit_id"].to_numpy()[own]})
 
-    return _units(spark, sf_dir).select("session_id", "seq", "vector", "quality").groupBy("session_id").applyInPandas(find, "session_id string, place int, seq long")
+    return _units(spark, sf_dir).select("session_id", "seq", "turn_uuid", "unit_id", "vector", "mass", "quality").groupBy("session_id").applyInPandas(find, "session_id string, place int, unit_id long")
 
 
-@query("d_transitions", None)
-def d_transitions(spark, sf_dir):
-    from ..operators.digest import transitions
+def _picked(k: int) -> str:
+    """SQL of the k-th boundary of each session: the strongest that no chosen one is within two of."""
+    before = "".join(f" AND NOT EXISTS (SELECT 1 FROM p{j} WHERE p{j}.session_id = b.session_id AND abs(p{j}.pos - b.pos) <= 2)" for j in range(1, k))
+    return f"p{k} AS (SELECT session_id, pos, far FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY far DESC, pos) AS r FROM b WHERE true{before}) WHERE r = 1)"
 
-    e = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("session_id"), F.col("vec_id").alias("seq"), F.col("embedding").alias("vector"))
-    return transitions(e)
 
+@query("d_transitions", f"""WITH {_SESSION_UNITS}, turns AS (SELECT DISTINCT session_id, seq AS pos FROM u), t AS (SELECT session_id, seq AS pos, d, sum(mass * x) / sum(mass) AS x FROM x GROUP BY 1, 2, 3),
+n AS (SELECT session_id, pos, d, x / sqrt(sum(x * x) OVER (PARTITION BY session_id, pos)) AS x FROM t),
+s AS (SELECT a.session_id, a.pos, n.d, avg(n.x) FILTER (WHERE n.pos <= a.pos) AS l, avg(n.x) FILTER (WHERE n.pos > a.pos) AS r FROM turns a JOIN n ON n.session_id = a.session_id AND n.pos BETWEEN a.pos - 1 AND a.pos + 2 GROUP BY 1, 2, 3),
+b AS (SELECT session_id, pos, greatest(0, 1 - sum(l * r) / sqrt(sum(l * l)) / sqrt(sum(r * r))) AS far FROM s GROUP BY 1, 2 HAVING count(l) > 0 AND count(r) > 0), {", ".join(map(_picked, range(1, 7)))}
+SELECT session_id, pos AS seq, round(far, 6) AS distance FROM ({" UNION ALL ".join(f"SELECT * FROM p{k}" for k in range(1, 7))})""")
+def d_transitions(spark, sf_dir):
+    from ..operators.digest import transitions
 
-@query("window_occurrence", "SELECT doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS occurrence FROM documents")
-def window_occurrence(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.row_number().over(Window.partitionBy("source", "lang").orderBy("doc_id")).alias("occurrence"))
+    return transitions(_units(spark, sf_dir)).select("session_id", "seq", F.round("distance", 6).alias("distance"))
