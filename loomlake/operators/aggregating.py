@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text
 
@@ -47,11 +48,42 @@ def detector_summary(found: DataFrame, group: str) -> DataFrame:
     return counts.groupBy(group).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("detector", named.alias("s")))), lambda x: x["s"]), ", ").alias("summary"))
 
 
-def order_free_digest(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """A table's digest that doesn't depend on row order: rows, and the sum of 60 bits of each row's framed SHA-256."""
-    framed = F.concat_ws("", *[F.coalesce(F.concat(F.char_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in columns])
-    part = F.conv(F.substring(F.sha2(framed, 256), 1, 15), 16, 10).cast("decimal(38,0)")
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum(part).cast("string").alias("digest"))
+def _framed(rows: DataFrame, column: str) -> Column:
+    """A value's kind, the length of its bytes in eight bytes, and its bytes; null is a kind of its own, so that it
+    differs from the empty text, as 1 does from '1'."""
+    kind = rows.schema[column].dataType
+    tag = next((t for k, t in _KINDS if isinstance(kind, k)), None)
+    if tag is None:
+        raise TypeError(f"{column}: no encoding for {kind.simpleString()}")
+    data = F.col(f"`{column}`") if tag == "X" else F.col(f"`{column}`").cast("string").cast("binary")
+    framed = F.concat(F.lit(tag).cast("binary"), F.unhex(F.lpad(F.hex(F.octet_length(data).cast("long")), 16, "0")), data)
+    return F.coalesce(framed, F.unhex(F.lit("4E" + "00" * 8)))
+
+
+#: One letter for each kind of value; a boolean is no integer.
+_KINDS = ((T.StringType, "S"), (T.BooleanType, "B"), (T.IntegralType, "I"), (T.DecimalType, "D"), (T.FractionalType, "F"), (T.BinaryType, "X"), ((T.DateType, T.TimestampType, T.TimestampNTZType), "T"))
+
+
+def table_digests(rows: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
+    """``name, n, digest``: of all columns together (name ``*``) and of each one with the keys, the number of rows and
+    the sum of 60 bits of each row's SHA-256. Sums don't depend on the order of rows, and a task sends one row of them;
+    two tables whose digests agree for a column have the same values of it under the same keys."""
+
+    def part(names: list[str]) -> Column:
+        whole = F.concat(F.lit("R").cast("binary"), *[_framed(rows, c) for c in names])
+        return F.conv(F.substring(F.sha2(whole, 256), 1, 15), 16, 10).cast("decimal(38,0)")
+
+    named = {"*": columns} | {c: [*keys, c] for c in columns}
+    sums = rows.select(*[part(names).alias(f"_{k}") for k, names in enumerate(named.values())]).agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(f"_{k}"), F.lit(0)).cast("string").alias(f"_{k}") for k in range(len(named))])
+    each = F.array(*[F.struct(F.lit(name).alias("name"), F.col("n"), F.col(f"_{k}").alias("digest")) for k, name in enumerate(named)])
+    return sums.select(F.explode(each).alias("d")).select("d.*")
+
+
+def differing(left: DataFrame, right: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
+    """``name``: the columns (``*`` for any) in which two tables differ, in values or in number of rows."""
+    a, b = table_digests(left, columns, keys), table_digests(right, columns, keys)
+    other = b.select("name", F.col("n").alias("_n"), F.col("digest").alias("_d"))
+    return a.join(F.broadcast(other), "name").filter((F.col("n") != F.col("_n")) | (F.col("digest") != F.col("_d"))).select("name")
 
 
 def quantiles_by_rank(rows: DataFrame, value: str, shares: list[float]) -> DataFrame:

@@ -161,9 +161,27 @@ def a_quality(spark, sf_dir):
     return A.quality(table(spark, sf_dir, "labels").select(F.when(i % 4 != 0, 1 + i % 6).alias("rank")))
 
 
-@query("a_digest", "WITH r AS (SELECT sha256(length(CAST(c_custkey AS VARCHAR)) || ':' || c_custkey || length(c_name) || ':' || c_name || length(c_mktsegment) || ':' || c_mktsegment) AS h FROM customer) SELECT count(*) AS n, CAST(sum(CAST('0x' || substr(h, 1, 15) AS HUGEINT)) AS VARCHAR) AS digest FROM r")
+def _frame(value: str, tag: str) -> str:
+    """SQL of a value's kind, length and bytes."""
+    return f"CASE WHEN {value} IS NULL THEN unhex('4E0000000000000000') ELSE unhex('{tag.encode().hex()}' || printf('%016x', strlen(CAST({value} AS VARCHAR)))) || encode(CAST({value} AS VARCHAR)) END"
+
+
+def _digest_part(frames: list[str]) -> str:
+    return f"CAST('0x' || substr(sha256(unhex('52') || {' || '.join(frames)}), 1, 15) AS HUGEINT)"
+
+
+_FRAMES = {"c_custkey": _frame("c_custkey", "I"), "c_name": _frame("c_name", "S"), "segment": _frame("segment", "S"), "large": _frame("large", "B")}
+
+
+@query("a_digest", f"""WITH c AS (SELECT c_custkey, c_name, CASE c_custkey % 7 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN '1' ELSE c_mktsegment END AS segment, c_custkey % 3 = 0 AS large FROM customer)
+SELECT '*' AS name, count(*) AS n, CAST(sum({_digest_part(list(_FRAMES.values()))}) AS VARCHAR) AS digest FROM c
+{"".join(f" UNION ALL SELECT '{k}', count(*), CAST(sum({_digest_part([_FRAMES['c_custkey'], v])}) AS VARCHAR) FROM c" for k, v in _FRAMES.items())}""")
 def a_digest(spark, sf_dir):
-    return A.order_free_digest(table(spark, sf_dir, "customer"), ["c_custkey", "c_name", "c_mktsegment"])
+    """Digests of a table and of each of its columns, empty, null and odd values among them."""
+    k = F.col("c_custkey")
+    segment = F.when(k % 7 == 0, "").when(k % 7 == 1, F.lit(None).cast("string")).when(k % 7 == 2, "1").otherwise(F.col("c_mktsegment"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", segment.alias("segment"), (k % 3 == 0).alias("large"))
+    return A.table_digests(c, ["c_custkey", "c_name", "segment", "large"], ["c_custkey"])
 
 
 @query("a_rebuild_counts", "SELECT o_custkey, count(*) AS records, count(*) FILTER (WHERE o_orderstatus = 'P') AS queued FROM orders GROUP BY o_custkey")

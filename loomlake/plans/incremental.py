@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..sources import tail as X
 from ..streaming import delivery as D
+from ..streaming import reindex as R
 from ..streaming import stateful as S
 from .registry import query
 from .tables import table
@@ -78,3 +79,26 @@ def st_tail_lines(spark, sf_dir):
     n = F.col("event_id")
     lines = table(spark, sf_dir, "events").select(F.concat(F.lit("f"), (F.col("user_id") % 40).cast("string")).alias("source"), (100 + n % 2).cast("long").alias("inode"), (n % 50 * 10).cast("long").alias("offset"), F.concat("event_type", n.cast("string")).alias("line"), F.when(n % 5 == 0, "full").otherwise("tail").alias("mode"), (n % 1009).cast("int").alias("batch"))
     return X.current(lines)
+
+
+def _reset_sql(source: str, g: int, all_: bool) -> str:
+    """SQL of a control over ``source``."""
+    free, canonical = "ix IS DISTINCT FROM 'waiting_durability'", "kind NOT IN ('progress', 'telemetry', 'status')"
+    one = f"SELECT id, kind, el, raw, CASE WHEN {g} > sg AND el THEN raw ELSE sh END AS sh, CASE WHEN {g} > sg AND el THEN 'pending_provider' ELSE ss END AS ss, greatest(sg, {g}) AS sg, CASE WHEN {g} > sg AND el AND {g} > ig AND {free} THEN NULL ELSE ix END AS ix, CASE WHEN {g} > sg AND el AND {g} > ig THEN {g} ELSE ig END AS ig, eg FROM {source}"
+    if not all_:
+        return one
+    two = f"SELECT * REPLACE (CASE WHEN {g} > ig AND {canonical} AND {free} THEN NULL ELSE ix END AS ix, greatest(ig, {g}) AS ig) FROM ({one})"
+    return f"SELECT * REPLACE (CASE WHEN {g} > eg AND {canonical} AND {free} THEN NULL ELSE ix END AS ix, greatest(eg, {g}) AS eg) FROM ({two})"
+
+
+@query("st_reindex_rows", f"""WITH r AS (SELECT event_id AS id, CASE event_id % 5 WHEN 0 THEN 'progress' ELSE event_type END AS kind, event_id % 3 <> 0 AS el, 'raw' || event_id AS raw, 's' || event_id AS sh, 'ok' AS ss, event_id % 7 AS sg, CASE event_id % 4 WHEN 0 THEN 'waiting_durability' WHEN 1 THEN 'indexed' END AS ix, event_id % 6 AS ig, event_id % 8 AS eg FROM events),
+a AS ({_reset_sql("r", 5, False)}), b AS ({_reset_sql("a", 3, True)})
+SELECT id, sh AS shadow_text, ss AS shadow_status, sg AS shadow_generation, ix AS index_status, ig AS index_generation, eg AS embedding_generation FROM b""")
+def st_reindex_rows(spark, sf_dir):
+    """Rows behind two controls, the newer one over shadows only."""
+    n = F.col("event_id")
+    s = n.cast("string")
+    rows = table(spark, sf_dir, "events").select(n.alias("id"), F.concat(F.lit("raw"), s).alias("raw_text"), F.when(n % 5 == 0, "progress").otherwise(F.col("event_type")).alias("content_type"), (n % 3 != 0).alias("provider_eligible"), F.concat(F.lit("s"), s).alias("shadow_text"), F.lit("ok").alias("shadow_status"), (n % 7).alias("shadow_generation"), F.when(n % 4 == 0, "waiting_durability").when(n % 4 == 1, "indexed").alias("index_status"), (n % 6).alias("index_generation"), (n % 8).alias("embedding_generation"))
+    for generation, scope in ((5, "retrieval"), (3, "all")):
+        rows = R.reset(rows, F.lit(generation), F.lit(scope))
+    return rows.select("id", *R.CHANGED)

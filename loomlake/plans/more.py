@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import ambiguity as AM
 from ..operators import duplicates as DU
 from ..operators import ingest as I
 from ..operators import joining as J
@@ -101,10 +102,24 @@ def k_token_batches(spark, sf_dir):
     return S.greedy_batches(d, "source", "doc_id", "tokens", 16, 30000).select("doc_id", "batch")
 
 
-@query("k_ambiguity", "WITH t AS (SELECT source FROM documents ORDER BY n_chars DESC, doc_id LIMIT 10) SELECT max(n) >= 2 AS repeated FROM (SELECT source, count(*) AS n FROM t GROUP BY source)")
+@query("k_ambiguity", """WITH n AS (SELECT max(item_id) + 1 AS n FROM benchmark), q AS (SELECT item_id AS query_id, CASE item_id % 5 WHEN 0 THEN '检索方法' WHEN 1 THEN 'plain words' WHEN 2 THEN '检索 conf_1' WHEN 3 THEN repeat('检索', 90) ELSE 'in 检索 方法' END AS raw, item_id FROM benchmark),
+h AS (SELECT doc_id % n AS query_id, row_number() OVER (PARTITION BY doc_id % n ORDER BY doc_id) AS rank, CASE WHEN doc_id % 3 = 0 THEN source WHEN doc_id % 3 = 1 THEN 'p' || doc_id END AS grp,
+  ['see', 'conf_' || (doc_id % 11), 'or', 'api-key', 'node' || (doc_id % 23) || 'x', 'x1'] AS words FROM documents, n),
+w AS (SELECT h.* FROM h JOIN q USING (query_id) WHERE rank <= 6 AND item_id % 5 IN (0, 4)),
+r AS (SELECT DISTINCT query_id FROM (SELECT query_id, grp FROM w WHERE grp IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2)),
+s AS (SELECT DISTINCT query_id FROM (SELECT query_id, name FROM (SELECT DISTINCT query_id, rank, unnest(words) AS name FROM w) WHERE regexp_full_match(name, '[A-Za-z][A-Za-z0-9]{1,23}([_-][A-Za-z0-9*]{1,24})+|[A-Za-z]{2,16}[0-9][A-Za-z0-9]{1,15}') AND name <> 'api-key' GROUP BY 1, 2 HAVING count(*) >= 2))
+SELECT query_id, query_id IN (SELECT query_id FROM r) AND query_id IN (SELECT query_id FROM s) AS ambiguous FROM q""")
 def k_ambiguity(spark, sf_dir):
-    top = table(spark, sf_dir, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(10)
-    return top.groupBy("source").agg(F.count(F.lit(1)).alias("n")).agg((F.max("n") >= 2).alias("repeated"))
+    """Queries of five kinds over hits of which some share a source or an identifier."""
+    i = F.col("item_id")
+    items = table(spark, sf_dir, "benchmark")
+    raw = F.when(i % 5 == 0, "检索方法").when(i % 5 == 1, "plain words").when(i % 5 == 2, "检索 conf_1").when(i % 5 == 3, "检索" * 90).otherwise("in 检索 方法")
+    d = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source").crossJoin(F.broadcast(items.agg((F.max("item_id") + 1).alias("n"))))
+    group = F.when(d % 3 == 0, F.col("source")).when(d % 3 == 1, F.concat(F.lit("p"), d.cast("string")))
+    body = F.concat(F.lit("see conf_"), (d % 11).cast("string"), F.lit(" or api-key node"), (d % 23).cast("string"), F.lit("x x1"))
+    hits = docs.select((d % F.col("n")).alias("query_id"), F.row_number().over(Window.partitionBy(d % F.col("n")).orderBy("doc_id")).alias("rank"), group.alias("source_group"), body.alias("text"))
+    return AM.ambiguous(items.select(i.alias("query_id"), raw.alias("raw")), hits)
 
 
 @query("k_ivfpq", None)
