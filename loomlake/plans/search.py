@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..operators import postings as PO
 from ..operators import searching as S
 from .registry import query
 from .tables import BLOCKS, REVISIONS, blocks, revisions, table
@@ -60,9 +61,9 @@ SELECT doc_id, round(score, 9) AS score FROM (SELECT * FROM f ORDER BY round(sco
 
 @query("k_hybrid", _HYBRID)
 def k_hybrid(spark, sf_dir):
-    """Nearest vectors and BM25, fused; vectors stand for documents of the same number."""
+    """Nearest vectors and BM25 out of the stored index, fused; vectors stand for documents of the same number."""
     v = S.nearest(table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id", "embedding", VECTOR, S.CANDIDATES)
-    t = S.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", QUERY, S.CANDIDATES)
+    t = PO.search(spark, PO.of_table(spark, f"{sf_dir}/documents.parquet", "doc_id", "text"), "doc_id", "bigint", QUERY, S.CANDIDATES)
     return S.hybrid(v, t, "doc_id").select("doc_id", F.round("score", 9).alias("score"))
 
 
