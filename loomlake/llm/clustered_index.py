@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, by_slices, new_path, sliced, text_buffer
+from .common import bounded_batches, by_slices, new_path, sliced, text_buffer, tidy
 from .runs import gathered
 
 #: Documents of a cluster, and those that one bisection starts from at most (or so many bytes of terms).
@@ -271,6 +271,7 @@ def _clusters(most_docs: int, shard_docs: int):  # noqa: ANN202
                     if docs >= shard_docs or size >= SHARD_BYTES:
                         yield (out := _shard(held, number, most_docs))
                         number, held, docs, size = number + out.num_rows, [], 0, 0
+                        tidy()
         if held:
             yield _shard(held, number, most_docs)
 

@@ -73,6 +73,23 @@ def sliced(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         i = j
 
 
+_tidied = [0.0]
+
+
+def tidy() -> None:
+    """Gives memory that Arrow and the C library keep after large arrays back to the system. Workers live on from stage
+    to stage, and what one stage's tables needed would otherwise add to the next one's. Once a second at most."""
+    if time.monotonic() - _tidied[0] < 1:
+        return
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
+    _tidied[0] = time.monotonic()
+
+
 def by_slices(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str) -> Callable:
     """A function for ``mapInArrow`` that gives ``f`` slices of bounded size."""
 
@@ -81,6 +98,7 @@ def by_slices(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str)
             for part in sliced(batch, column):
                 if (out := f(part)) is not None and out.num_rows:
                     yield out
+                tidy()
 
     return run
 

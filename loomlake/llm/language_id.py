@@ -8,6 +8,7 @@ the most. The score is the share of the greatest possible distance that is not u
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, sliced, with_fields
+from .common import bounded_batches, sliced, tidy, with_fields
 
 #: n-grams of a language's profile and of a document's.
 PROFILE, OWN, LONGEST = 400, 300, 3
@@ -27,9 +28,10 @@ LEARN_DOCS = 5_000
 #: A text whose score is lower is like none of the languages learned (by the review, random letters
 #: reach 0.23 and the documents of sf0.01 0.475 or more).
 LEAST_SCORE = 0.35
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 _BITS = np.uint64(21)
+_LENGTH = (np.uint64(1) << _BITS) - np.uint64(1)
 
 
 #: No letter has a greater code point.
@@ -44,8 +46,32 @@ def _letters() -> np.ndarray:
 _LETTERS: list[np.ndarray] = []
 
 
+#: Where a long text may be parted: none of these is a letter, and no n-gram has another character inside a word.
+_BETWEEN = re.compile(r"[\s.,;:!?\u3001\u3002]")
+
+
 def ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, key, count) of the distinct n-grams of lower-cased letters, by text.
+    """``slice_ngrams``; a text longer than SLICE characters is counted in pieces of whole words, and the counts are
+    added, so that it needs the memory of one piece."""
+    if len(texts) != 1 or not texts[0].is_valid or len(whole := texts[0].as_py()) <= SLICE:
+        return slice_ngrams(texts)
+    key, count, start = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+    while start < len(whole):
+        cut = _BETWEEN.search(whole, start + SLICE)
+        end = cut.start() if cut else len(whole)
+        _, more, n = slice_ngrams(pa.array([whole[start:end]], pa.large_string()))
+        key, count = np.concatenate([key, more]), np.concatenate([count, n])
+        short = key >> np.uint64(63) == 1  # of n-grams shorter than the longest the key tells the length
+        order = np.lexsort((key, np.where(short, key & _LENGTH, np.uint64(LONGEST))))
+        key, count = key[order], count[order]
+        first = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+        key, count = key[first], np.add.reduceat(count, first) if len(first) else count
+        start = end
+    return np.zeros(len(key), np.int64), key, count
+
+
+def slice_ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, key, count) of the distinct n-grams of lower-cased letters, by text, the shorter ones first.
 
     A word is a run of letters with a blank before and after it. A key is three code points, the blank being 0; of a
     shorter n-gram the last one is its length, and the highest bit is set.
@@ -76,7 +102,7 @@ def ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         half = len(texts) // 2
         if not half:
             raise ValueError("more than 2 ** 20 different letters")
-        left, right = ngrams(texts[:half]), ngrams(texts[half:])
+        left, right = slice_ngrams(texts[:half]), slice_ngrams(texts[half:])
         return np.concatenate([left[0], right[0] + half]), np.concatenate([left[1], right[1]]), np.concatenate([left[2], right[2]])
     x = number[c] if len(c) else np.zeros(0, np.uint64)
     bits, parts = np.uint64(bits), []
@@ -203,6 +229,7 @@ def identify(docs: DataFrame, learned: pd.DataFrame, text: str = "text") -> Data
             for part in sliced(batch, text, SLICE):
                 langs, scores = profiles.value.predict(part.column(at))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores)], names)
+                tidy()
 
     return base.mapInArrow(f, with_fields(base.schema, lang_pred="string", score="double"))
 

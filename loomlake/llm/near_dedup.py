@@ -22,16 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, written
+from .common import release, tidy, written
 from .words import Words, mix
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8 ** R) ** BANDS = 0.9998.
 BANDS, R = 12, 3
 #: Bytes of text that are one block, and of text whose shingle hashes go to one share.
-BLOCK_BYTES, SHARE_BYTES = 6 << 20, 12 << 20
+BLOCK_BYTES, SHARE_BYTES = 4 << 20, 12 << 20
 #: Documents of a component that one block holds, and their shingles, about (a longer text is a block of its own).
-MEMBERS, MEMBER_SHINGLES = 4096, 1 << 21
+MEMBERS, MEMBER_SHINGLES = 3072, 1 << 20
 #: Steps in which document frequencies are kept, for each doubling.
 STEPS = 8
 
@@ -162,6 +162,7 @@ class NearDedup:
         shares = self.shares
 
         def emit(t: pa.Table) -> pa.Table:
+            tidy()
             h, _, first = _sets(Words(_text_column(t)))
             # the same shingle in several documents of the block: its hash goes once, with the number of documents
             h = np.sort(h)
@@ -177,6 +178,7 @@ class NearDedup:
             return pa.table({"share": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([t.column("block")[0].as_py()] * len(rows), pa.int32()), "low": _binary([r[1] for r in rows]), "many": _binary([r[2] for r in rows]), "number": _binary([r[3] for r in rows])})
 
         def count(t: pa.Table) -> pa.Table:
+            tidy()
             low, blocks, n = [], t.column("block").to_pylist(), []
             for raw, many, number in zip(t.column("low"), t.column("many"), t.column("number"), strict=True):
                 b = np.frombuffer(raw.as_buffer(), np.uint8).reshape(-1, 6)
@@ -211,6 +213,7 @@ class NearDedup:
         shares, documents = self.shares, self.documents
 
         def sign(texts: pa.Table, own: pa.Table) -> pa.Table:
+            tidy()
             texts = _ordered(texts)
             words = Words(_text_column(texts))
             h, w, first = _weighted(words, own, shares, documents)
@@ -238,6 +241,7 @@ class NearDedup:
         shares, documents = self.shares, self.documents
 
         def give(texts: pa.Table, own: pa.Table) -> pa.Table:
+            tidy()
             kind = own.column("kind").to_numpy()
             rows = own.filter(pa.array(kind == 1))
             if not rows.num_rows:
@@ -287,6 +291,7 @@ class NearDedup:
         names, text, doc_id = schema.names, self.text, self.doc_id
 
         def pick(rows: pa.Table, own: pa.Table) -> pa.Table:
+            tidy()
             if not own.num_rows or not rows.num_rows:
                 return rows.select(names).slice(0, 0)
             import pyarrow.compute as pc
@@ -315,6 +320,7 @@ class NearDedup:
             for group in _groups(batches, 3):
                 doc, root, links = _verified(group, least)
                 yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(root), pa.array(links)], ["node", "root", "links"])
+                tidy()
 
         return dealt.mapInArrow(verify, "node long, root long, links long")
 

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, by_slices
+from .common import bounded_batches, by_slices, tidy
 from .tok import default_path, encoder
 
 WINDOW = 4096
@@ -106,6 +106,7 @@ def pack(pieces: DataFrame, shards: int, window: int = WINDOW, keys: tuple[str,
     """
 
     def one(rows: pa.Table) -> pa.Table:
+        tidy()
         rows = rows.take(pc.sort_indices(rows, sort_keys=[(k, "ascending") for k in keys]))
         w, offset = best_fit_decreasing(rows.column("length").to_numpy(), window)
         shard = rows.column("_shard")[0].as_py()

@@ -67,6 +67,19 @@ def test_ngrams_match_counting():
         assert {name(k): c for o, k, c in zip(own, key, n, strict=True) if o == i} == dict(plain_profile(t or "")), t
 
 
+def test_long_texts_are_counted_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    import random
+
+    r = random.Random(3)
+    long = "".join(r.choice(["der ", "Straße", "\n", "1x2", "é, ", "日本", "。", " a", "b.", "''"]) for _ in range(4000))
+    whole = language_id.slice_ngrams(pa.array([long]))
+    for size in (1, 50, 3000, 10**6):
+        monkeypatch.setattr(language_id, "SLICE", size)
+        assert all((a == b).all() and len(a) == len(b) for a, b in zip(language_id.ngrams(pa.array([long])), whole, strict=True))
+
+
 def test_language_is_found(spark):
     r = random.Random(3)
     texts = [prose(r, EN if i % 2 else FR, r.choice([3, 10, 200])) for i in range(200)] + [None, "", "12 34 --", "日本語"]
