@@ -10,7 +10,6 @@ out changes nothing. No text is read.
 from __future__ import annotations
 
 import math
-import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,24 +43,24 @@ def write_index(rows: DataFrame, key: str, body: str, path: str, range_docs: int
     # a frequent term's blocks are dealt to several tasks
     blocks.repartition(n, "bucket", F.col("range") % 8).sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{path}/blocks")
     found = rows.sparkSession.read.schema(f"bucket int, term string, docs array<struct<impact: double, key: {rows.schema[key].dataType.simpleString()}>>").parquet(f"{path}/blocks")
-    terms = found.groupBy("bucket", "term").agg(F.sum(F.size("docs")).alias("df")).select("*", F.lit(stats["n"]).cast("long").alias("n"))
-    terms.repartition("bucket").sortWithinPartitions("term").write.partitionBy("bucket").parquet(f"{path}/terms")
+    terms = found.groupBy("bucket", "term").agg(F.sum(F.size("docs")).alias("df")).select("term", "bucket", "df", F.lit(stats["n"]).cast("long").alias("n"))
+    terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")  # a file's statistics tell its terms
 
 
 def search(spark: SparkSession, path: str, key: str, kind: str, query: str, k: int, first: int = FIRST) -> DataFrame:
     """``key, score``: the k best rows of the index by BM25, equal scores (to nine digits) by key. ``kind``: the key's
     type. Any term matches; a query without words, or with unknown ones only, finds nothing."""
     terms = query_terms(query)
-    buckets = sorted({zlib.crc32(t.encode()) % BUCKETS for t in terms})
-    own = lambda df: df.filter(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
-    known = own(spark.read.schema("bucket int, term string, df long, n long").parquet(f"{path}/terms")).collect() if terms else []  # a row a term
+    known = spark.read.schema("term string, bucket int, df long, n long").parquet(f"{path}/terms").filter(F.col("term").isin(terms)).collect() if terms else []  # a row a term
     none = spark.createDataFrame([], f"`{key}` {kind}, score double")
     if not known:
         return none
     idf = F.lit(0.0)
     for r in known:
         idf = F.when(F.col("term") == r["term"], math.log(1 + (r["n"] - r["df"] + 0.5) / (r["df"] + 0.5))).otherwise(idf)
-    blocks = own(spark.read.schema(f"bucket int, term string, range long, most double, docs array<struct<impact: double, key: {kind}>>").parquet(f"{path}/blocks"))
+    folders = [f"{path}/blocks/bucket={b}" for b in sorted({r["bucket"] for r in known})]
+    schema = f"term string, range long, most double, docs array<struct<impact: double, key: {kind}>>"
+    blocks = spark.read.schema(schema).parquet(*folders).filter(F.col("term").isin([r["term"] for r in known]))
     bounds = blocks.groupBy("range").agg(F.sum(idf * F.col("most")).alias("bound"))
 
     def best(chosen: DataFrame) -> DataFrame:
