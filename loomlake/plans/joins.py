@@ -108,10 +108,10 @@ def j_presence(spark, sf_dir):
     return J.presence(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
-@query("j_enqueue_missing", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) AND c_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+@query("j_enqueue_missing", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_totalprice < 200000) AND c_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
 def j_enqueue_missing(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
-    remote = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    remote = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P' and o_totalprice < 200000").select(F.col("o_custkey").alias("c_custkey"))
     return c.join(remote, "c_custkey", "left_anti").join(c.filter("c_acctbal < 0"), "c_custkey", "left_anti").select("c_custkey")
 
 
@@ -205,9 +205,9 @@ def u_intersect(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_custkey").intersect(table(spark, sf_dir, "customer").filter("c_acctbal > 0").select("c_custkey"))
 
 
-@query("u_except", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("u_except", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_totalprice < 200000")
 def u_except(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey").exceptAll(table(spark, sf_dir, "orders").select("o_custkey").distinct())
+    return table(spark, sf_dir, "customer").select("c_custkey").exceptAll(table(spark, sf_dir, "orders").filter("o_orderstatus = 'P' and o_totalprice < 200000").select("o_custkey").distinct())
 
 
 @query("u_pool_union", "SELECT id, min(pool) AS pool FROM (SELECT o_custkey AS id, 0 AS pool FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT c_custkey, 1 FROM customer) GROUP BY id")

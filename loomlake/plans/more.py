@@ -12,6 +12,7 @@ from ..operators import ingest as I
 from ..operators import joining as J
 from ..operators import searching as S
 from ..operators import vectors as VO
+from .ingest import _REDACTED
 from .registry import query
 from .tables import BLOCKS, CHUNKS, REVISIONS, blocks, revisions, table
 
@@ -56,12 +57,17 @@ def t_canonical_doc(spark, sf_dir):
     return revisions(spark, sf_dir).select("event_id", F.concat(F.lit("ref:"), T.base64url(F.col("source_identity"))).alias("session_ref"))
 
 
-@query("t_resplit", f"WITH RECURSIVE {CHUNKS} SELECT session_id, seq, id, md5(text) AS m FROM chunks WHERE length(text) > 0")
+_PLANTED = "left(text, 600) || ' password = ' || md5(session_id || seq) || ' ' || substr(text, 601)"
+
+
+@query("t_resplit", f"""WITH RECURSIVE {BLOCKS.replace("blocks AS", "raw AS", 1)}, planted AS (SELECT * REPLACE ({_PLANTED} AS text) FROM raw), blocks AS (SELECT * REPLACE ({_REDACTED} AS text) FROM planted){CHUNKS[len(BLOCKS):]} SELECT session_id, seq, id, md5(text) AS m FROM chunks WHERE length(text) > 0""")
 def t_resplit(spark, sf_dir):
-    """Whole blocks, put together from their pieces and redacted, are split anew under their own identity."""
+    """Whole blocks with a secret in their midst are redacted and then split anew under their own identity, so that the
+    cuts lie elsewhere behind it."""
     from ..operators import splitting
 
-    b = blocks(spark, sf_dir)
+    secret = F.md5(F.concat("session_id", F.col("seq").cast("string")).cast("binary"))
+    b = blocks(spark, sf_dir).withColumn("text", F.concat(F.left("text", F.lit(600)), F.lit(" password = "), secret, F.lit(" "), F.substr("text", F.lit(601))))
     return splitting.chunks(I.sanitized(b)).select("session_id", "seq", "id", F.md5(F.col("text").cast("binary")).alias("m"))
 
 
@@ -70,9 +76,13 @@ def t_embed(spark, sf_dir):
     return blocks(spark, sf_dir).select("session_id", "seq", VO.embed(F.col("text")).alias("vector"))
 
 
-@query("t_meta_canonical", None)
+@query("t_meta_canonical", """SELECT event_id, CASE event_id % 3 WHEN 0 THEN '{"k":' || regexp_extract(props, '(\\d+)', 1) || '}' WHEN 1 THEN '{"a":[2.5,{"é":true}],"k":{"A":null,"b":' || regexp_extract(props, '(\\d+)', 1) || '}}' ELSE '"no json ' || event_id || '"' END AS props FROM events""")
 def t_meta_canonical(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", I.canonical_json(F.col("props")).alias("props"))
+    """Properties as they are, with nested, unsorted keys and a raw text, and what is no JSON."""
+    k, n = F.regexp_extract("props", r"(\d+)", 1), F.col("event_id")
+    nested = F.concat(F.lit('{"raw_text": "x", "k": {"b": '), k, F.lit(', "A": null}, "a": [2.5, {"raw_text": 1, "\\u00e9": true}]}'))
+    props = F.when(n % 3 == 0, F.col("props")).when(n % 3 == 1, nested).otherwise(F.concat(F.lit("no json "), n.cast("string")))
+    return table(spark, sf_dir, "events").select("event_id", I.canonical_json(props).alias("props"))
 
 
 @query("k_cjk_rerank", "SELECT doc_id, CAST(CASE WHEN contains(text, 'the') THEN 3 ELSE 0 END + CASE WHEN contains(text, 'ing') THEN 3 ELSE 0 END + CASE WHEN contains(text, 'é') THEN 1 ELSE 0 END AS INTEGER) AS score FROM documents ORDER BY 2 DESC, doc_id LIMIT 40")

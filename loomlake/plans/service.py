@@ -35,12 +35,12 @@ def k_search_fallback(spark, sf_dir):
     return S.search_cascade(table(spark, sf_dir, "documents"), "doc_id", {"text": 5.0, "source": 2.0}, "n_chars", ", t", 5000)
 
 
-@query("k_search_cjk", """WITH d AS (SELECT doc_id, n_chars, replace(text, 'gpl', '検索') || ' ' || source AS x FROM documents),
+@query("k_search_cjk", """WITH d AS (SELECT doc_id, n_chars, replace(text, 'ion', '検索') || ' ' || source AS x FROM documents),
 t AS (SELECT doc_id, n_chars, x, row_number() OVER (ORDER BY CASE WHEN contains(lower(x), 'zzqxw') THEN 9 ELSE 0 END DESC, n_chars DESC, doc_id) AS place FROM d WHERE contains(lower(x), 'zzqxw')),
 c AS (SELECT doc_id, 4 AS route, CAST(row_number() OVER (ORDER BY n_chars DESC, doc_id) AS INTEGER) AS place FROM d WHERE contains(x, '検') OR contains(x, '索') ORDER BY place LIMIT 30) SELECT * FROM c WHERE (SELECT count(*) FROM t) = 0""")
 def k_search_cjk(spark, sf_dir):
     """Neither the words nor the identifier of the query are there: any of its CJK signs is."""
-    d = table(spark, sf_dir, "documents").withColumn("text", F.replace("text", F.lit("gpl"), F.lit("検索")))
+    d = table(spark, sf_dir, "documents").withColumn("text", F.replace("text", F.lit("ion"), F.lit("検索")))
     return S.search_cascade(d, "doc_id", {"text": 5.0, "source": 2.0}, "n_chars", "zzqxw検索", 30)
 
 

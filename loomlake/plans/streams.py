@@ -20,9 +20,11 @@ def st_upsert(spark, sf_dir):
     return U.statuses(revisions(spark, sf_dir), "source_identity", "event_id").select("event_id", "status")
 
 
-@query("st_late_stale", f"{_STATUS} SELECT event_id FROM s WHERE status = 'stale'")
+@query("st_late_stale", _STATUS.replace("ORDER BY event_id", "ORDER BY (event_id * 7919) % 1000003") + " SELECT event_id FROM s WHERE status = 'stale'")
 def st_late_stale(spark, sf_dir):
-    return U.late(revisions(spark, sf_dir), "source_identity", "event_id").select("event_id")
+    """Deliveries in an order of arrival of their own, so that older ones come behind newer ones."""
+    r = revisions(spark, sf_dir).withColumn("arrival", (F.col("event_id") * 7919) % 1000003)
+    return U.late(r, "source_identity", "arrival").select("event_id")
 
 
 @query("st_merged", f"WITH {REVISIONS} SELECT source_identity, max(updated_at || source_version) AS top FROM revisions GROUP BY source_identity")
@@ -37,10 +39,10 @@ def st_lww_clocks(spark, sf_dir):
     return U.last_writers(e, "user_id", ["event_type", "last_id"], "clock")
 
 
-@query("st_soft_delete", "SELECT c_custkey, true AS source_missing, CAST(2 AS INTEGER) AS version FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("st_soft_delete", "SELECT c_custkey, true AS source_missing, CAST(2 AS INTEGER) AS version FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_totalprice < 200000)")
 def st_soft_delete(spark, sf_dir):
     stored = table(spark, sf_dir, "customer").select("c_custkey", F.lit(1).alias("version"))
-    out = U.tombstones(stored, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    out = U.tombstones(stored, table(spark, sf_dir, "orders").filter("o_orderstatus = 'P' and o_totalprice < 200000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
     return out.select("c_custkey", "source_missing", "version")
 
 
