@@ -148,8 +148,9 @@ def _by_symbol(symbols: np.ndarray, suffixes: np.ndarray) -> list[np.ndarray]:
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _names(t: np.ndarray, at: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    """Numbers of the substrings from each leftmost S-type suffix (``at``, ascending) to the next, in their order."""
+def _names(t: np.ndarray, at: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Numbers of the substrings from each leftmost S-type suffix (``at``, ascending) to the next, in their order
+    (``order``: their places in ``at``)."""
     n = len(t)
     size = np.diff(np.append(at, n))
     place = np.arange(at[0], n) - np.repeat(at, size)
@@ -159,26 +160,38 @@ def _names(t: np.ndarray, at: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     code = np.add.reduceat((t[at[0] :].astype(np.uint64) + np.uint64(0x51ED27)) * _MULTIPLIER * power[place], at - at[0])
     last = np.append(t[at[1:]], 0).astype(np.uint64)
     code = (code ^ (code >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + last * np.uint64(0x94D049BB133111EB) + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    rank_of = np.searchsorted(at, ordered)
-    sorted_code = code[rank_of]
+    sorted_code = code[order]
     name = np.zeros(len(at), np.int64)
-    name[rank_of] = np.cumsum(np.diff(sorted_code, prepend=sorted_code[:1]) != 0)
+    name[order] = np.cumsum(np.diff(sorted_code, prepend=sorted_code[:1]) != 0)
     return name
 
 
-def _sort_reduced(name: np.ndarray, depth: int) -> np.ndarray:
-    """The order of the reduced string's suffixes, by doubling in memory; a name stands for two symbols at least."""
-    rank, h = name, 1
+def _sort_reduced(name: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
+    """The order of the reduced string's suffixes, by doubling in memory; a name stands for two symbols at least.
+
+    ``order`` sorts the names. A suffix's rank is the place of the first of those that it can't be told from yet; in
+    each round only these are sorted, within their places."""
     n = len(name)
-    order = np.argsort(rank, kind="stable")
-    while 2 * h < depth and rank.max() < n - 1:
-        key = rank << 32
-        key[: n - h] |= rank[h:] + 1
-        order = np.argsort(key, kind="stable")
-        s = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.diff(s, prepend=s[:1]) != 0)
-        rank, h = new, 2 * h
+
+    def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        return first, np.diff(np.append(first, len(keys)))
+
+    first, size = groups(name[order])
+    rank = np.empty(n, np.int64)
+    rank[order] = np.repeat(first, size)
+    left, h, order = np.flatnonzero(np.repeat(size, size) > 1), 1, order.copy()
+    while 2 * h < depth and len(left):
+        own = order[left]
+        key = rank[own] << 32
+        inside = own + h < n
+        key[inside] |= rank[own[inside] + h] + 1
+        by = np.argsort(key, kind="stable")
+        own = own[by]
+        order[left] = own
+        first, size = groups(key[by])
+        rank[own] = np.repeat(left[first], size)
+        left, h = left[np.repeat(size, size) > 1], 2 * h
     return order
 
 
@@ -187,12 +200,11 @@ def suffix_order(t: np.ndarray, depth: int, in_memory: int = IN_MEMORY) -> np.nd
     s = s_types(t)
     leftmost = np.flatnonzero(s[1:] & ~s[:-1]) + 1
     if len(leftmost) > 1:
-        is_leftmost = np.zeros(len(t), bool)
-        is_leftmost[leftmost] = True
-        by = np.concatenate(induce(t, leftmost, in_memory))
-        ordered = by[is_leftmost[by]]
-        name = _names(t, leftmost, ordered)
-        leftmost = leftmost[_sort_reduced(name, depth)] if name.max() < len(name) - 1 else ordered
+        number = np.full(len(t), -1)
+        number[leftmost] = np.arange(len(leftmost))
+        by = number[np.concatenate(induce(t, leftmost, in_memory))]
+        order = by[by >= 0]
+        leftmost = leftmost[_sort_reduced(_names(t, leftmost, order), order, depth)]
     return np.concatenate(induce(t, leftmost, in_memory))
 
 
