@@ -3,9 +3,9 @@
 Sampled splitters (``repartitionByRange``) deal the normalised texts out by their beginnings; each partition is sorted
 externally by the bytes of the whole normalised text, so that equal texts are neighbours, and neighbours are compared
 in full. Splitters are short, as a sample of them goes to the driver: a beginning, and a number that parts the texts
-that share it, however many. A copy group of any size, with ids or without, is first split by a salt (the place of a
-row in the input) of as many values as there are partitions; each part sends one leader to a second sort, so no task holds a whole hot group, and a text travels at
-most twice.
+that share it, however many. A copy group of any size is first split by a salt (a hash of id and text) of as many
+values as there are partitions; each part sends one leader to a second sort, so no task holds a whole hot group (unless
+its rows have no ids and one spelling), and a text travels at most twice.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", par
     """
     n = partitions or shuffle_partitions(docs.sparkSession)
     norm = normalised(F.col(text))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), norm.alias("_norm"), (-F.coalesce(F.char_length(F.col(text)), F.lit(0))).alias("_short")).select(
-        "*", F.substring("_norm", 1, PREFIX).alias("_head"), F.xxhash64("_norm").alias("_mix"), F.pmod(F.monotonically_increasing_id(), F.lit(n)).alias("_salt")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), norm.alias("_norm"), (-F.coalesce(F.char_length(F.col(text)), F.lit(0))).alias("_short"), F.pmod(F.xxhash64(F.col(doc_id).cast("long"), F.col(text)), F.lit(n)).alias("_salt")).select(
+        "*", F.substring("_norm", 1, PREFIX).alias("_head"), F.xxhash64("_norm").alias("_mix")
     )
     order = [F.col("_short"), F.col("doc_id").asc_nulls_last()]
     # the sort goes by the whole text first; what the splitters hold follows from it
@@ -49,6 +49,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", par
         .repartitionByRange(n, "_head", "_mix")
         .select(F.col("_salt").alias("_lead_salt"), F.col("text_sha256").alias("_lead_sha"), F.first("doc_id").over(whole.orderBy(*order)).alias("keep_id"), F.sum("_n").over(whole).alias("group_size"), F.row_number().over(whole.orderBy(*order)).alias("_first"))
     )
-    found = ranked.select("doc_id", "_salt", "text_sha256", "_at").join(leaders, (F.col("_salt") == F.col("_lead_salt")) & (F.col("text_sha256") == F.col("_lead_sha")))
+    # null-safe comparisons add no filters of their own, so that both branches share one exchange
+    found = ranked.select("doc_id", "_salt", "text_sha256", "_at").join(leaders, F.col("_salt").eqNullSafe(F.col("_lead_salt")) & F.col("text_sha256").eqNullSafe(F.col("_lead_sha")))
     kept = (F.col("_first") == 1) & (F.col("_at") == 1)
     return found.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), kept.alias("kept"), "text_sha256")
