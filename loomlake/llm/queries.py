@@ -88,6 +88,18 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(norm) AS text_sha2
 """
 
 
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+_OP13_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ts FROM documents), c AS (SELECT count(*) FILTER (WHERE len(ts) > 0) AS n, coalesce(sum(len(ts)), 0) :: BIGINT AS l FROM d),
+t AS (SELECT r, doc_id, len(ts) AS size, unnest(ts) AS term FROM d), tf AS (SELECT r, doc_id, size, term, count(*) AS tf FROM t GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+w AS (SELECT term, floor(1000 * ln((2 * n + 2) / (2 * df + 1))) :: BIGINT AS w FROM df, c),
+q AS (SELECT q, item_id, term, count(*) AS times FROM (SELECT row_number() OVER () AS q, item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+s AS (SELECT q, item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * size * n) // l)))) :: BIGINT AS score FROM q JOIN w USING (term) JOIN tf USING (term), c GROUP BY ALL),
+p AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank :: INTEGER AS rank, doc_id, score FROM p WHERE rank <= 20
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -107,4 +119,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": _OP10_SQL}
+    return {"op10_exact_dedup": _OP10_SQL, "op13_ranked_search": _OP13_SQL}
