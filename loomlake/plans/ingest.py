@@ -8,6 +8,7 @@ from ..functions import ids
 from ..functions import text as T
 from ..operators import ingest as I
 from ..operators import language as L
+from ..operators import scanning as SC
 from ..operators import splitting
 from .registry import query
 from .tables import BLOCKS, CHUNKS, RENDERED, REVISIONS, TRIM, blocks, chunks, piece_end, revisions, table
@@ -194,3 +195,15 @@ SELECT c.id, CASE WHEN second IS NULL OR score - second >= 2197 THEN lang END AS
 def t_lang(spark, sf_dir):
     """The language of each chunk that has one, by a model learned from the labelled documents."""
     return L.block_languages(chunks(spark, sf_dir), L.learn(table(spark, sf_dir, "documents")), T.is_scaffolding(F.col("text")))
+
+
+@query("t_scan", f"""WITH f AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\\bAKIA[0-9A-Z]{{16}}\\b'))) AS raw, 'AWS' AS detector FROM documents
+  UNION ALL SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '(?i)\\b(?:password|token|secret|api_key)\\s*=\\s*"?([0-9a-f]{{24,64}})\\b', 1))), 'Assignment' FROM documents
+  UNION ALL SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----'))), 'PrivateKey' FROM documents),
+g AS (SELECT doc_id, string_agg(detector, ' ' ORDER BY length(raw) DESC, raw) AS removed FROM f GROUP BY doc_id)
+SELECT d.doc_id, coalesce(removed, '') AS removed, false AS held, md5({_REDACTED}) AS m FROM documents d LEFT JOIN g USING (doc_id)""")
+def t_scan(spark, sf_dir):
+    """Secrets found by a scanner behind the seam, and taken out."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = SC.excised(d.withColumn("findings", SC.scan(F.col("text"), SC.pattern_scanner)), "text")
+    return out.select("doc_id", F.array_join("removed", " ").alias("removed"), "held", F.md5(F.col("text").cast("binary")).alias("m"))
