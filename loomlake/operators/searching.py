@@ -129,11 +129,13 @@ def ranked(rows: DataFrame, order: list, first: int = 1) -> DataFrame:
 
 
 def rrf_native(lists: list[DataFrame], key: str, limit: int) -> DataFrame:
-    """Sum of 1 / (rank + 60), ranks from 0, equal scores by key. ``lists``: ``key, rank``."""
+    """Sum of 1 / (rank + 60), ranks from 0, in single precision: scores that are equal there go by key. ``lists``: two
+    of ``key, rank``. The sum of two single numbers is exact in double precision, so its order doesn't matter."""
     rows = lists[0].select(key, "rank")
     for x in lists[1:]:
         rows = rows.unionByName(x.select(key, "rank"))
-    return rows.groupBy(key).agg(F.sum(1.0 / (F.col("rank") + RANK_CONSTANT)).alias("score")).orderBy(F.desc(F.round("score", 12)), key).limit(limit)
+    part = (1.0 / (F.col("rank") + RANK_CONSTANT)).cast("float").cast("double")
+    return rows.groupBy(key).agg(F.sum(part).cast("float").alias("score")).orderBy(F.desc("score"), key).limit(limit)
 
 
 def rrf_stable(lists: DataFrame, limit: int) -> DataFrame:
@@ -287,13 +289,14 @@ def reranked(rows: DataFrame, key: str, fused: str, limit: int, score: Column |
     return out.drop("_given", "_use").orderBy(F.desc("relevance"), key).limit(limit)
 
 
-def search_cascade(rows: DataFrame, key: str, fields: dict[str, float], newest: str, query: str, limit: int = 20, where: Column | None = None, broad: bool = True) -> DataFrame:
+def search_cascade(rows: DataFrame, key: str, fields: dict[str, float], newest: str, query: str, limit: int = 20, where: Column | None = None, broad: bool = True, facets: tuple[str, ...] = ()) -> DataFrame:
     """``key, route, place``: the results of the first routes that find any, at most ``limit`` (1 to 100).
 
     Routes: all words by weighted BM25 (0); for a query with CJK signs also its ASCII identifiers, any of them, as
     words (1), and in front of both, if no result has them all, as parts of the text (2); of these, those with more of
     the query's CJK grams come first. If nothing is found, a query that isn't plain words is looked for as it is (3),
-    then any of its CJK signs (4). The last three read all texts, so ``broad`` can turn them off. Each route is cut
+    then any of its CJK signs (4). Identifiers that only repeat what ``where`` asks for (``facets``: its values) are left
+    out, unless there are no others. The last three read all texts, so ``broad`` can turn them off. Each route is cut
     before it meets the others; whether one found anything is asked by one row.
     """
     import re
@@ -309,7 +312,9 @@ def search_cascade(rows: DataFrame, key: str, fields: dict[str, float], newest:
     cjk = [c for c in dict.fromkeys(query) if re.match("[㐀-䶿一-鿿豈-﫿]", c)]
     found = first.withColumn("route", F.lit(0))
     if cjk:
+        given = {f.lower() for f in facets}
         terms = list({t.lower(): t for t in re.findall(text.ASCII_TERM, query)}.values())
+        terms = [t for t in terms if t.lower() not in given] or terms
         if terms:
             words = sorted({w for t in terms for w in query_terms(t)})
             wide = min(100, max(32, 4 * limit))

@@ -55,8 +55,8 @@ def k_bm25_weighted(spark, sf_dir):
 
 _HYBRID = f"""WITH {_bm25(limit=30)}, v AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY distance, vec_id) - 1 AS rank FROM ({_VEC} LIMIT 30)),
 x AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) - 1 AS rank FROM t),
-f AS (SELECT doc_id, sum(1.0 / (rank + 60)) AS score FROM (SELECT * FROM v UNION ALL SELECT * FROM x) GROUP BY doc_id)
-SELECT doc_id, round(score, 9) AS score FROM (SELECT * FROM f ORDER BY round(score, 12) DESC, doc_id LIMIT 30)"""
+f AS (SELECT doc_id, CAST(sum(CAST(CAST(1.0 / (rank + 60) AS FLOAT) AS DOUBLE)) AS FLOAT) AS score FROM (SELECT * FROM v UNION ALL SELECT * FROM x) GROUP BY doc_id)
+SELECT doc_id, round(CAST(score AS DOUBLE), 9) AS score FROM (SELECT * FROM f ORDER BY score DESC, doc_id LIMIT 30)"""
 
 
 @query("k_hybrid", _HYBRID)
@@ -64,7 +64,7 @@ def k_hybrid(spark, sf_dir):
     """Nearest vectors and BM25 out of the stored index, fused; vectors stand for documents of the same number."""
     v = S.nearest(table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id", "embedding", VECTOR, S.CANDIDATES)
     t = PO.search(spark, PO.of_table(spark, f"{sf_dir}/documents.parquet", "doc_id", "text"), "doc_id", "bigint", QUERY, S.CANDIDATES)
-    return S.hybrid(v, t, "doc_id").select("doc_id", F.round("score", 9).alias("score"))
+    return S.hybrid(v, t, "doc_id").select("doc_id", F.round(F.col("score").cast("double"), 9).alias("score"))
 
 
 _LISTS = "l AS (SELECT 0 AS list_idx, CAST(row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS INTEGER) AS rank, 'n' || (c_custkey % 40) AS identity FROM (SELECT * FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 50) UNION ALL SELECT 1, CAST(row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS INTEGER), CASE WHEN s_suppkey % 9 = 0 THEN '' ELSE 'n' || (s_suppkey % 40) END FROM (SELECT * FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 50))"
@@ -84,11 +84,11 @@ def k_rrf_stable(spark, sf_dir):
     return _fused(spark, sf_dir, 25).select("identity", F.round("score", 9).alias("score"), "place")
 
 
-@query("k_rrf_native", "WITH a AS (SELECT c_custkey AS k, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) - 1 AS rank FROM (SELECT * FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 60)), b AS (SELECT c_custkey AS k, row_number() OVER (ORDER BY c_name DESC, c_custkey) - 1 AS rank FROM (SELECT * FROM customer ORDER BY c_name DESC, c_custkey LIMIT 60)), f AS (SELECT k, sum(1.0 / (rank + 60)) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY k) SELECT k, round(score, 9) AS score FROM (SELECT * FROM f ORDER BY round(score, 12) DESC, k LIMIT 30)")
+@query("k_rrf_native", "WITH a AS (SELECT c_custkey AS k, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) - 1 AS rank FROM (SELECT * FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 60)), b AS (SELECT c_custkey AS k, row_number() OVER (ORDER BY c_name DESC, c_custkey) - 1 AS rank FROM (SELECT * FROM customer ORDER BY c_name DESC, c_custkey LIMIT 60)), f AS (SELECT k, CAST(sum(CAST(CAST(1.0 / (rank + 60) AS FLOAT) AS DOUBLE)) AS FLOAT) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY k) SELECT k, round(CAST(score AS DOUBLE), 9) AS score FROM (SELECT * FROM f ORDER BY score DESC, k LIMIT 30)")
 def k_rrf_native(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_acctbal", "c_name")
     lists = [S.ranked(c.orderBy(*o).limit(60), o, 0) for o in ([F.desc("c_acctbal"), "k"], [F.desc("c_name"), "k"])]
-    return S.rrf_native(lists, "k", 30).select("k", F.round("score", 9).alias("score"))
+    return S.rrf_native(lists, "k", 30).select("k", F.round(F.col("score").cast("double"), 9).alias("score"))
 
 
 @query("k_diverse", f"WITH {_FUSED}, g AS (SELECT identity, place, CASE WHEN identity LIKE 'anonymous%' THEN NULL ELSE right(identity, 1) END AS grp FROM p WHERE place <= 60), n AS (SELECT *, CASE WHEN grp IS NOT NULL AND row_number() OVER (PARTITION BY grp ORDER BY place) > 2 THEN 1 ELSE 0 END AS late FROM g) SELECT identity, row_number() OVER (ORDER BY late, place) AS place FROM n ORDER BY late, place LIMIT 20")

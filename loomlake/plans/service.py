@@ -44,6 +44,21 @@ def k_search_cjk(spark, sf_dir):
     return S.search_cascade(d, "doc_id", {"text": 5.0, "source": 2.0}, "n_chars", "zzqxw検索", 30)
 
 
+@query("k_search_facets", """WITH d AS (SELECT doc_id, n_chars, text, source, replace(text, 'ion', '検索') || ' ' || source AS x FROM documents WHERE source = 'src2'),
+f AS (SELECT doc_id, 'text' AS field, 5.0 AS weight, regexp_extract_all(lower(replace(text, 'ion', '検索')), '[\\p{L}\\p{N}]+') AS ws FROM d UNION ALL SELECT doc_id, 'source', 2.0, regexp_extract_all(lower(source), '[\\p{L}\\p{N}]+') FROM d),
+stats AS (SELECT field, count(*) AS n, avg(len(ws)) AS avgdl FROM f GROUP BY field),
+h AS (SELECT doc_id, field, weight, dl, count(*) AS tf FROM (SELECT doc_id, field, weight, len(ws) AS dl, unnest(ws) AS term FROM f) WHERE term = 'with' GROUP BY 1, 2, 3, 4),
+c AS (SELECT count(DISTINCT doc_id) AS df FROM h),
+s AS (SELECT doc_id, sum(weight * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score FROM h JOIN stats USING (field), c GROUP BY doc_id),
+p AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS place FROM s ORDER BY 2 LIMIT 60),
+g AS (SELECT p.doc_id, row_number() OVER (ORDER BY CASE WHEN contains(x, '検索') THEN 2 ELSE 0 END DESC, p.place) AS place FROM p JOIN d USING (doc_id))
+SELECT doc_id, 1 AS route, CAST(place AS INTEGER) AS place FROM g ORDER BY place LIMIT 15""")
+def k_search_facets(spark, sf_dir):
+    """The source is asked for by the filter, so its name is no word of the question; 'with' is."""
+    d = table(spark, sf_dir, "documents").withColumn("text", F.replace("text", F.lit("ion"), F.lit("検索")))
+    return S.search_cascade(d, "doc_id", {"text": 5.0, "source": 2.0}, "n_chars", "src2 with 検索", 15, F.col("source") == "src2", facets=("src2",))
+
+
 @query("k_overfetch", "SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 36")
 def k_overfetch(spark, sf_dir):
     return table(spark, sf_dir, "customer").orderBy(F.desc("c_acctbal"), "c_custkey").limit(S.candidate_limit(12)).select("c_custkey")
