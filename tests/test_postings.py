@@ -20,8 +20,8 @@ def test_search_equals_bm25(spark, tmp_path, range_docs, first):
     rows = spark.createDataFrame(corpus(random.Random(1), 700), "id long, t string").cache()
     path = str(tmp_path / "ix")
     P.write_index(rows, "id", "t", path, range_docs)
-    for query in ("the", "the of w0", "rare the", "É1 rare w39", "nowhere rare", "nowhere", "", "w3 w3"):
-        for k in (1, 10, 1000):
+    for query, ks in (("the", (10,)), ("the of w0", (1, 1000)), ("rare the", (10,)), ("É1 rare w39", (10,)), ("nowhere", (1,)), ("", (1,)), ("w3 w3", (10,))):
+        for k in ks:
             got = [(r["id"], round(r["score"], 7)) for r in P.search(spark, path, "id", "bigint", query, k, first).collect()]
             want = [(r["id"], round(r["score"], 7)) for r in S.bm25(rows.withColumn("t", F.coalesce("t", F.lit(""))), "id", "t", query, k).collect()]
             assert got == want, (query, k)
