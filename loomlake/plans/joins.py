@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import graph
 from ..operators import joining as J
+from ..operators import splitting
 from .registry import query
 from .tables import BLOCKS, CHUNKS, REVISIONS, blocks, chunks, revisions, table
 
@@ -15,9 +16,10 @@ from .tables import BLOCKS, CHUNKS, REVISIONS, blocks, chunks, revisions, table
 SELECT h.session_id, h.seq, string_agg(c.seq || ':' || c.split_idx || ':' || length(c.text), ',' ORDER BY c.seq, c.block_idx, c.split_idx) AS neighbors
 FROM hits h JOIN chunks c ON c.session_id = h.session_id AND abs(c.seq - h.seq) <= 1 AND c.turn_uuid <> h.turn_uuid GROUP BY h.session_id, h.seq""")
 def j_band_neighbors(spark, sf_dir):
-    c = chunks(spark, sf_dir)
-    hits = c.filter("seq = 3").select("session_id", "seq", "turn_uuid").distinct()
-    near = c.withColumn("text", F.concat_ws(":", F.col("seq").cast("string"), F.col("split_idx").cast("string"), F.char_length("text").cast("string")))
+    """Only blocks that can be hits or their neighbours are split; the filters reach the scan."""
+    b = blocks(spark, sf_dir)
+    hits = splitting.chunks(b.filter("seq = 3")).select("session_id", "seq", "turn_uuid").distinct()
+    near = splitting.chunks(b.filter("seq between 2 and 4")).withColumn("text", F.concat_ws(":", F.col("seq").cast("string"), F.col("split_idx").cast("string"), F.char_length("text").cast("string")))
     out = J.neighbors(hits, near, 1)
     return out.select(F.col("h_session").alias("session_id"), F.col("h_seq").alias("seq"), F.array_join(F.transform("neighbors", lambda n: n["text"]), ",").alias("neighbors"))
 
