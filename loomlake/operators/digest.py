@@ -37,6 +37,18 @@ def display(body: Column, block_type: Column, units: int, budget: int) -> Column
     return F.when(F.char_length(body) > limit, F.concat(F.left(body, head), F.lit(SHORTENED), F.right(body, (kept - head).cast("int")))).otherwise(body)
 
 
+#: Units and characters that a digest may have (fixed values).
+MOST_UNITS, CHARS = 40, (1_000, 40_000)
+
+
+def clamped(units: Column, chars: Column) -> Column:
+    """``struct<units, chars, units_changed, chars_changed>``: what is asked for within bounds (no more units than the
+    characters can show), and the new numbers where they differ from what was asked."""
+    c = F.least(F.greatest(chars, F.lit(CHARS[0])), F.lit(CHARS[1]))
+    u = F.least(F.greatest(units, F.lit(1)), F.lit(MOST_UNITS), F.greatest(F.floor(c / LEAST_SHOWN), F.lit(1)))
+    return F.struct(u.cast("long").alias("units"), c.cast("long").alias("chars"), F.when(u != units, u).cast("long").alias("units_changed"), F.when(c != chars, c).cast("long").alias("chars_changed"))
+
+
 def _unit(v: np.ndarray) -> np.ndarray | None:
     size = float(np.linalg.norm(v))
     return v / size if size > EPSILON else None

@@ -82,8 +82,13 @@ def generation_of(version: Column) -> Column:
     return F.regexp_extract(version, r"^~eg-v1:(\d{20}):.+$", 1).try_cast("long")
 
 
-def source_version(generation: Column, parts: list[Column]) -> Column:
-    return F.concat(F.lit("~eg-v1:"), F.lpad(generation.cast("string"), 20, "0"), F.lit(":"), F.sha2(F.concat_ws("\x1f", *parts), 256))
+def source_version(generation: Column, source: Column, content: Column, shadow: Column, shadow_version: Column, retrieval: Column, missing: Column, index_generation: Column, profile: Column) -> Column:
+    """What a document's index entry was made of: the SHA-256 of a JSON list of eight texts (nulls are empty or 0), with
+    its embedding generation in front, if it has one."""
+    text_ = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    parts = [text_(source), text_(content), text_(shadow), text_(shadow_version), F.sha2(text_(retrieval), 256), F.when(missing, "1").otherwise("0"), F.coalesce(index_generation, F.lit(0)).cast("string"), text_(profile)]
+    digest = F.sha2(F.to_json(F.array(*parts)), 256)
+    return F.when(F.coalesce(generation, F.lit(0)) > 0, F.concat(F.lit("~eg-v1:"), F.lpad(generation.cast("string"), 20, "0"), F.lit(":"), digest)).otherwise(digest)
 
 
 @F.pandas_udf(T.StringType())

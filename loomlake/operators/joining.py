@@ -54,6 +54,17 @@ def filled(rows: DataFrame, values: DataFrame, key: str, column: str) -> DataFra
     return rows.join(new, key, "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
 
 
+def filled_exactly(rows: DataFrame, values: DataFrame, key: str, column: str) -> DataFrame:
+    """``filled``, but the query fails if a value has no row or comes twice: what was computed for a row must have got
+    there. The counts are one row, which every row meets, so none is given before they are known."""
+    each = values.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    found = each.join(rows.select(key), key, "left_semi").agg(F.count(F.lit(1)).alias("_found"))
+    told = values.agg(F.count(F.lit(1)).alias("_told")).crossJoin(found)
+    wrong = F.raise_error(F.concat(F.col("_told").cast("string"), F.lit(" values, but "), F.col("_found").cast("string"), F.lit(" rows for them")))
+    out = filled(rows, values, key, column).crossJoin(F.broadcast(told))
+    return out.withColumn(column, F.when(F.col("_told") == F.col("_found"), F.col(column)).otherwise(wrong.cast(rows.schema[column].dataType))).drop("_told", "_found")
+
+
 def replaced(stored: DataFrame, batch: DataFrame, identity: str) -> DataFrame:
     """All rows of the batch's identities give way to the batch's rows."""
     return stored.join(batch.select(identity).distinct(), identity, "left_anti").unionByName(batch)

@@ -351,6 +351,35 @@ def search_cascade(rows: DataFrame, key: str, fields: dict[str, float], newest:
     return out.select(key, "route", "place")
 
 
+#: Turns that a reading without an end gives (fixed value).
+SPAN = 20
+
+
+def turn_range(chunks: DataFrame, name: str, first: int | None = None, last: int | None = None, span: int = SPAN) -> DataFrame:
+    """Whole turns of the session ``name`` from seq ``first`` (its least) to ``last`` (``span`` from the first), and
+    ``total``, the number of its turns. Where no chunk has that session, it is the document of that
+    ``source_identity``. Unknown names give no rows."""
+    from .splitting import turns_of
+
+    own = chunks.withColumn("_by", F.when(F.col("session_id") == name, 0).when(F.col("source_identity") == name, 1)).filter("_by is not null")
+    found = own.groupBy("_by").agg(F.countDistinct("seq", "turn_uuid").alias("total"), F.min("seq").alias("least")).orderBy("_by").limit(1)  # of two rows
+    begin = F.col("least") if first is None else F.lit(first)
+    end = begin + span - 1 if last is None else F.lit(last)
+    kept = own.join(F.broadcast(found), "_by").filter(F.col("seq").between(begin, end))
+    return turns_of(kept).crossJoin(F.broadcast(found.select("total")))
+
+
+#: The state of a shadow that waits for its provider, and of an index entry that waits.
+PENDING_SHADOW, HELD_INDEX = "pending_provider", "waiting_durability"
+
+
+def pending_shadows(rows: DataFrame, key: str, limit: int) -> DataFrame:
+    """The ``limit`` (1 at least) rows that have waited longest for their shadow, but for those whose index entry is
+    held."""
+    waits = (F.col("shadow_status") == PENDING_SHADOW) & (F.coalesce("index_status", F.lit("")) != HELD_INDEX)
+    return rows.filter(waits).orderBy("updated_at", key).limit(max(1, limit))
+
+
 def keyset_page(rows: DataFrame, key: str, after: object, limit: int) -> DataFrame:
     return rows.filter(F.col(key) > F.lit(after)).orderBy(key).limit(limit)
 

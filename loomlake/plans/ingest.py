@@ -100,9 +100,13 @@ def t_embed_gen(spark, sf_dir):
     return revisions(spark, sf_dir).select("event_id", I.generation_of(version).alias("generation"))
 
 
-@query("t_source_version", f"WITH {REVISIONS} SELECT event_id, '~eg-v1:' || lpad(CAST(generation AS VARCHAR), 20, '0') || ':' || sha256(source_identity || chr(31) || content_hash || chr(31) || updated_at) AS version FROM revisions")
+@query("t_source_version", f"""WITH {REVISIONS}, d AS (SELECT event_id, generation, sha256('["' || source_version || '","' || content_hash || '","' || CASE WHEN event_id % 3 = 0 THEN '' ELSE 'é\\"h' || event_id END || '","p1","' || sha256('r' || event_id) || '","' || CASE WHEN event_id % 5 = 0 THEN '1' ELSE '0' END || '","' || CASE WHEN event_id % 2 = 0 THEN event_id % 6 ELSE 0 END || '","local"]') AS digest FROM revisions)
+SELECT event_id, CASE WHEN generation > 0 THEN '~eg-v1:' || lpad(CAST(generation AS VARCHAR), 20, '0') || ':' || digest ELSE digest END AS version FROM d""")
 def t_source_version(spark, sf_dir):
-    return revisions(spark, sf_dir).select("event_id", I.source_version(F.col("generation"), [F.col("source_identity"), F.col("content_hash"), F.col("updated_at")]).alias("version"))
+    n = F.col("event_id")
+    s = n.cast("string")
+    version = I.source_version(F.col("generation"), F.col("source_version"), F.col("content_hash"), F.when(n % 3 != 0, F.concat(F.lit('é"h'), s)), F.lit("p1"), F.concat(F.lit("r"), s), F.when(n % 5 == 0, True), F.when(n % 2 == 0, n % 6), F.lit("local"))
+    return revisions(spark, sf_dir).select("event_id", version.alias("version"))
 
 
 @query("t_identity", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'own' || doc_id WHEN doc_id % 4 = 1 THEN source || '#chunk:' || doc_id WHEN doc_id % 4 = 2 THEN source ELSE 'generated:' || sha256(lang || chr(31) || substr(text, 1, 256)) END AS identity FROM documents")

@@ -73,7 +73,7 @@ def j_repo_lookup(spark, sf_dir):
 @query("j_fill_vectors", "SELECT doc_id, coalesce(quality, CASE WHEN n_chars > 1000 THEN -1 END) AS quality FROM documents LEFT JOIN labels USING (doc_id)")
 def j_fill_vectors(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("n_chars") > 1000, -1).cast("int").alias("quality"))
-    return J.filled(d, table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("quality")), "doc_id", "quality")
+    return J.filled_exactly(d, table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("quality")), "doc_id", "quality")
 
 
 _UPSERT = f"""WITH {REVISIONS}, stored AS (SELECT source_identity, source_version FROM revisions WHERE event_id % 2 = 0), batch AS (SELECT source_identity, source_version FROM revisions WHERE event_id % 97 = 1)

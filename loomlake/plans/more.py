@@ -199,9 +199,12 @@ def a_run_summary(spark, sf_dir):
     return blocks(spark, sf_dir).agg(F.countDistinct("session_id").alias("sessions"), F.count(F.lit(1)).alias("blocks_"), F.count_if(F.col("text") == "").alias("skipped"))
 
 
-@query("d_clamp", "SELECT doc_id, least(greatest(n_chars, 1000), 40000) AS chars FROM documents")
+@query("d_clamp", """WITH d AS (SELECT doc_id, doc_id % 60 - 3 AS u0, n_chars * 4 AS c0 FROM documents), c AS (SELECT *, least(greatest(c0, 1000), 40000) AS c FROM d), u AS (SELECT *, least(greatest(u0, 1), 40, greatest(c // 240, 1)) AS u FROM c)
+SELECT doc_id, u AS units, c AS chars, CASE WHEN u <> u0 THEN u END AS units_changed, CASE WHEN c <> c0 THEN c END AS chars_changed FROM u""")
 def d_clamp(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.least(F.greatest("n_chars", F.lit(1000)), F.lit(40000)).alias("chars"))
+    from ..operators.digest import clamped
+
+    return table(spark, sf_dir, "documents").select("doc_id", clamped(F.col("doc_id") % 60 - 3, F.col("n_chars") * 4).alias("c")).select("doc_id", "c.*")
 
 
 @query("d_fingerprint", f"WITH {BLOCKS} SELECT session_id, sha256(string_agg(sha256(text), '' ORDER BY seq, block_idx)) AS fingerprint FROM blocks GROUP BY session_id")

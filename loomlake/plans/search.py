@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import postings as PO
 from ..operators import searching as S
+from ..operators import splitting
 from .registry import query
 from .tables import BLOCKS, REVISIONS, blocks, revisions, table
 
@@ -131,11 +132,13 @@ def k_page_recent(spark, sf_dir):
     return S.page_of_recent(table(spark, sf_dir, "events").select("ts", "event_id"), ["ts", "event_id"], 50).select("event_id")
 
 
-@query("k_get_range", f"WITH {BLOCKS} SELECT session_id, seq, md5(text) AS m, (SELECT count(DISTINCT seq) FROM blocks WHERE session_id = 's5') AS total FROM blocks WHERE session_id = 's5' AND seq BETWEEN 1 AND 4")
+@query("k_get_range", f"""WITH {BLOCKS}, r AS (SELECT seq, trim(CASE block_type WHEN 'tool_use' THEN '[tool_use ' || coalesce(tool_name, 'None') || '] ' || text WHEN 'tool_result' THEN '[tool_result' || coalesce(' ' || tool_name, '') || '] ' || text ELSE text END, chr(10) || chr(13) || chr(9) || ' ') AS text FROM blocks WHERE session_id = 's5')
+SELECT 's5' AS session_id, seq, md5(text) AS m, (SELECT count(*) FROM r WHERE text <> '') AS total FROM r WHERE text <> '' AND seq BETWEEN 1 AND 20""")
 def k_get_range(spark, sf_dir):
-    b = blocks(spark, sf_dir).filter("session_id = 's5'")
-    total = b.agg(F.countDistinct("seq").alias("total"))
-    return b.filter("seq between 1 and 4").select("session_id", "seq", F.md5(F.col("text").cast("binary")).alias("m")).crossJoin(F.broadcast(total))
+    """A session asked for by the identity of its document, from its second turn on."""
+    own = splitting.chunks(blocks(spark, sf_dir)).withColumn("source_identity", F.concat(F.lit("doc/"), "session_id"))
+    turns = S.turn_range(own, "doc/s5", first=1)
+    return turns.select("session_id", "seq", F.md5(F.array_join(F.transform("blocks", lambda b: b["text"]), "\n").cast("binary")).alias("m"), "total")
 
 
 @query("k_scan", f"WITH {BLOCKS}, h AS (SELECT session_id, seq, block_idx, strpos(lower(text), 'th') - 1 AS place FROM blocks WHERE strpos(lower(text), 'th') > 0), n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq, block_idx) AS k, min(seq) OVER (PARTITION BY session_id) AS f FROM h), b AS (SELECT session_id, seq AS boundary FROM n WHERE k = 4) SELECT session_id, seq, block_idx, CAST(place AS INTEGER) AS place FROM n LEFT JOIN b USING (session_id) WHERE boundary IS NULL OR CASE WHEN f < boundary THEN seq < boundary ELSE k <= 3 END")
@@ -186,9 +189,11 @@ def k_sources(spark, sf_dir):
     return revisions(spark, sf_dir).groupBy("source_identity").agg(F.max("updated_at").alias("updated_at")).orderBy(F.desc("updated_at"), "source_identity").limit(100)
 
 
-@query("k_pending_translate", "SELECT event_id FROM events WHERE value < 5 ORDER BY ts, event_id LIMIT 30")
+@query("k_pending_translate", "SELECT event_id FROM events WHERE event_id % 3 = 1 AND NOT (event_id % 4 = 0) ORDER BY ts, event_id LIMIT 30")
 def k_pending_translate(spark, sf_dir):
-    return table(spark, sf_dir, "events").filter("value < 5").orderBy("ts", "event_id").limit(30).select("event_id")
+    n = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("updated_at"), F.when(n % 3 == 1, "pending_provider").when(n % 3 == 2, "ok").alias("shadow_status"), F.when(n % 4 == 0, "waiting_durability").when(n % 4 == 1, "indexed").alias("index_status"))
+    return S.pending_shadows(rows, "event_id", 30).select("event_id")
 
 
 @query("k_valid_vectors", "SELECT count(*) FILTER (WHERE len(embedding) = 64) AS valid, count(*) AS n FROM embeddings")
