@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_buffer
+from .common import text_buffer, tidy
 from .induced_sort import repeated_starts
 from .words import mix
 
@@ -26,6 +26,9 @@ LENGTH, ANCHOR = 200, 16
 BLOCK_BYTES, SHARE_BYTES, SHARD_BYTES, SORT_BYTES = 4 << 20, 64 << 20, 8 << 20, 4 << 20
 
 
+_BYTE = mix(np.arange(256, dtype=np.uint64) + np.uint64(1))
+
+
 def _sliding(x: np.ndarray, width: int, f: np.ufunc) -> np.ndarray:
     """``f`` over every ``width`` neighbours."""
     out, have = x, 1
@@ -43,7 +46,7 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
     if n <= 0:
         return none
     k = min(ANCHOR, length)
-    h = mix(data.astype(np.uint64) + np.uint64(1))
+    h = _BYTE[data]
     size, power = 1, np.full(1, np.uint64(0xD6E8FEB86659FD93))
     while size * 2 <= k:
         h = h[:-size] * power + h[size:]
@@ -52,8 +55,10 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
     width = length - size + 1  # runs in a string
     least = _sliding(h, width, np.minimum)[:n]
     # strings that lie within one text
-    text = np.repeat(np.arange(len(off) - 1), np.diff(off))[:n]
-    inside = np.arange(n) + length <= off[1:][text]
+    size_of = np.diff(off)
+    text = np.repeat(np.arange(len(off) - 1), size_of)[:n]
+    last_ones = np.minimum(size_of, length - 1)
+    inside = np.repeat(np.tile([True, False], len(size_of)), np.stack([size_of - last_ones, last_ones], 1).ravel())[:n]
     new = inside.copy()
     new[1:] &= ~inside[:-1] | (least[1:] != least[:-1]) | (text[1:] != text[:-1])
     first = np.flatnonzero(new)
@@ -122,6 +127,7 @@ class SubstringDedup:
         shares, length = self.shares, self.length
 
         def emit(t: pa.Table) -> pa.Table:
+            tidy()
             _, data, off = _sorted_block(t)
             _, _, _, key, twice = anchors(data, off, length)
             distinct, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
@@ -133,6 +139,7 @@ class SubstringDedup:
             return pa.table({"share": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int32()), "keys": pa.array([r[1] for r in rows], pa.binary()), "many": pa.array([r[2] for r in rows], pa.binary())})
 
         def count(t: pa.Table) -> pa.Table:
+            tidy()
             keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("keys")]
             many = np.concatenate([np.frombuffer(x.as_buffer(), bool) for x in t.column("many")])
             whole = np.concatenate(keys)
@@ -153,6 +160,7 @@ class SubstringDedup:
         length, shares, shards = self.length, self.shares, self.shards
 
         def emit(texts: pa.Table, own: pa.Table) -> pa.Table:
+            tidy()
             _, _, _, _, _, order, uses = _segments(texts, own, length, shares, shards)
             block = (texts if texts.num_rows else own).column("block")[0].as_py()
             count = np.bincount(uses, minlength=len(order))
@@ -169,6 +177,7 @@ class SubstringDedup:
             return pa.table({n: pa.array([r[k] for r in rows], kind) for k, (n, kind) in enumerate(zip(names, kinds, strict=True))} | {"block": pa.array([block] * len(rows), pa.int32())})
 
         def search(t: pa.Table) -> pa.Table:
+            tidy()
             found: dict[tuple[int, bytes], list] = {}  # distinct segments of the shard: copies, and where they are
             for row in range(t.num_rows):
                 keys = np.frombuffer(t.column("keys")[row].as_buffer(), np.uint64).tolist()
@@ -223,6 +232,7 @@ class SubstringDedup:
         both = again.select("block", F.lit(0).alias("kind"), F.col("share").cast("long").alias("at"), F.col("at").alias("data")).unionByName(ranges.select("block", F.lit(1).alias("kind"), "at", F.col("ranges").alias("data")))
 
         def clean(texts: pa.Table, own: pa.Table) -> pa.Table:
+            tidy()
             kind = own.column("kind").to_numpy()
             first_kind = own.filter(pa.array(kind == 0)).select(["at", "data"]).rename_columns(["share", "at"])
             t, data, off, first, _, order, uses = _segments(texts, first_kind, length, shares, shards)
