@@ -107,3 +107,63 @@ def test_op9(spark, docs):
 @pytest.mark.parametrize("name", ["op2_near_dedup", "op4_pii", "op7_line_dedup"])
 def test_a_row_for_each_document(spark, docs, name):
     assert sorted(r["doc_id"] for r in run(spark, name)) == sorted(docs[0])
+
+
+KINDS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
+
+
+def holds(kind, found):
+    digits = [int(c) for c in found if c.isdigit()]
+    if kind == "ip":
+        return all(int(p) <= 255 for p in found.split("."))
+    if kind == "card":
+        return 16 <= len(digits) <= 19 and sum(d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(reversed(digits))) % 10 == 0
+    return kind == "email" or 8 <= len(digits) <= 15
+
+
+def test_op4_equals_the_plain_patterns(spark, docs):
+    import re
+
+    got = {r["doc_id"]: r for r in run(spark, "op4_pii")}
+    assert sorted(got) == sorted(docs[0])
+    some = 0
+    for i, text in docs[0].items():
+        spans = [(k, m.start(), m.end()) for k, pattern in KINDS for m in re.finditer(pattern, text or "") if holds(k, m[0])]
+        some += len(spans)
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        r = got[i]
+        assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest(), i
+        assert [r[f"n_{k}"] for k, _ in KINDS] == [sum(s[0] == k for s in spans) for k, _ in KINDS]
+        assert set(filter(None, joined.split(","))) <= set(r["spans"].split(","))  # the method adds, it takes none away
+    assert some > 20
+
+
+def test_op8_equals_every_interval_at_every_placing(spark, docs):
+    """The best overlap of each document and item; placings with too few words in place are told by a product."""
+    import pyarrow.parquet as pq
+
+    least, most = 0.8, 13
+    blank = str.maketrans({chr(c): " " for c in range(128) if not chr(c).isalnum()})
+    number = {}
+    words = lambda t: np.array([number.setdefault(w, len(number)) for w in (t or "").lower().translate(blank).split(" ") if w], np.int64)
+    items = {r["item_id"]: words(r["text"]) for r in pq.read_table(f"{SF}/benchmark.parquet").to_pylist()}
+    want = []
+    for i, text in docs[0].items():
+        w = words(text)
+        for j, v in items.items():
+            if not len(v) or not len(w):
+                continue
+            at, k = np.nonzero(w[:, None] == v[None, :])
+            hits = np.bincount(at - k + len(v), minlength=1)
+            found, short = [], min(most, len(v))
+            for d in (np.flatnonzero(hits >= least * short - 1e-9) - len(v)).tolist():
+                own = [0 <= d + x < len(w) and w[d + x] == v[x] for x in range(len(v))]
+                runs = [(b - a, -a) for a in range(len(v)) for b in range(a + short, len(v) + 1) if sum(own[a:b]) >= least * (b - a) - 1e-6]
+                if runs:
+                    n, a = max(runs)
+                    found.append((sum(own[-a : -a + n]), n, -d, -a))
+            if found:
+                m, n, d, a = max(found)
+                want.append((i, j, -d, m, len(v), a, n))
+    got = [tuple(r[c] for c in ("doc_id", "item_id", "place", "n_match", "n_words", "start", "length")) for r in run(spark, "op8_decontaminate")]
+    assert sorted(got) == sorted(want) and len(want) >= 3
