@@ -79,6 +79,21 @@ def table_digests(rows: DataFrame, columns: list[str], keys: list[str]) -> DataF
     return sums.select(F.explode(each).alias("d")).select("d.*")
 
 
+def fingerprints(rows: DataFrame, group: str, columns: list[str], vector: str | None = None) -> DataFrame:
+    """``group, fingerprint``: a hash of all that a group's rows hold, whatever their order, to tell whether something
+    made of them still holds. ``vector``: numbers, which count to six digits; a row without one differs from one of
+    none. A group's rows are summed up, never collected."""
+    named = rows
+    if vector is not None:
+        digits = F.array_join(F.transform(F.col(vector), lambda x: F.round(x.cast("double") * 1_000_000).cast("long").cast("string")), " ")
+        named = rows.withColumn("_digits", digits)
+        columns = [*columns, "_digits"]
+    whole = F.concat(F.lit("R").cast("binary"), *[_framed(named, c) for c in columns])
+    part = F.conv(F.substring(F.sha2(whole, 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    summed = named.select(group, part.alias("_p")).groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.sum("_p").cast("string").alias("_s"))
+    return summed.select(group, F.sha2(F.concat_ws(":", F.col("_n").cast("string"), "_s"), 256).alias("fingerprint"))
+
+
 def differing(left: DataFrame, right: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
     """``name``: the columns (``*`` for any) in which two tables differ, in values or in number of rows."""
     a, b = table_digests(left, columns, keys), table_digests(right, columns, keys)

@@ -297,3 +297,12 @@ def d_transitions(spark, sf_dir):
     from ..operators.digest import transitions
 
     return transitions(_units(spark, sf_dir)).select("session_id", "seq", F.round("distance", 6).alias("distance"))
+
+
+_UNIT_FRAMES = [_frame("unit_id", "I"), _frame("seq", "I"), _frame("'t' || seq", "S"), _frame("role", "S"), _frame("kind", "S"), _frame("md5(CAST(unit_id % 200 AS VARCHAR))", "S"), _frame("array_to_string(list_transform(v, lambda x: CAST(round(x * 1000000) AS BIGINT)), ' ')", "S")]
+
+
+@query("d_fingerprint", f"WITH {_SESSION_UNITS} SELECT session_id, sha256(count(*) || ':' || CAST(sum({_digest_part(_UNIT_FRAMES)}) AS VARCHAR)) AS fingerprint FROM u GROUP BY session_id")
+def d_fingerprint(spark, sf_dir):
+    """What a session's digest was made of, vectors too."""
+    return A.fingerprints(_units(spark, sf_dir), "session_id", ["unit_id", "seq", "turn_uuid", "role", "block_type", "text_hash"], "vector")

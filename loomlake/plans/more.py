@@ -207,12 +207,6 @@ def d_clamp(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", clamped(F.col("doc_id") % 60 - 3, F.col("n_chars") * 4).alias("c")).select("doc_id", "c.*")
 
 
-@query("d_fingerprint", f"WITH {BLOCKS} SELECT session_id, sha256(string_agg(sha256(text), '' ORDER BY seq, block_idx)) AS fingerprint FROM blocks GROUP BY session_id")
-def d_fingerprint(spark, sf_dir):
-    each = blocks(spark, sf_dir).select("session_id", "seq", "block_idx", F.sha2("text", 256).alias("h"))
-    return each.groupBy("session_id").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "block_idx", "h"))), lambda x: x["h"]), ""), 256).alias("fingerprint"))
-
-
 @query("p_public", "SELECT doc_id, lang FROM documents")
 def p_public(spark, sf_dir):
     return J.public_columns(table(spark, sf_dir, "documents").withColumnsRenamed({"text": "raw_text", "source": "_source"}).drop("n_chars"))

@@ -70,3 +70,15 @@ def test_the_gate_matches_a_plain_version(spark):
 def test_groups_of_hits(spark):
     df = spark.createDataFrame([(" a ", "b", "c"), ("", "b", "c"), (None, " ", "c"), (None, None, "")], "s string, p string, f string")
     assert [r[0] for r in df.select(M.source_group(F.col("s"), F.col("p"), F.col("f"))).collect()] == ["session_id:a", "parent_session_id:b", "source_path:c", None]
+
+
+def test_fingerprints_follow_everything_but_the_order(spark):
+    rows = [("a", 1, "x", [0.5, 1.0]), ("a", 2, "y", None), ("b", 3, "x", [])]
+    df = lambda rs: spark.createDataFrame(rs, "g string, k int, t string, v array<float>")
+    prints = lambda rs: {r["g"]: r["fingerprint"] for r in A.fingerprints(df(rs), "g", ["k", "t"], "v").collect()}
+    base = prints(rows)
+    assert prints(rows[::-1]) == base and len(set(base.values())) == 2
+    for changed in (("a", 1, "x", [0.5, 1.00001]), ("a", 1, "z", [0.5, 1.0]), ("a", 4, "x", [0.5, 1.0]), ("a", 1, "x", None), ("a", 1, "x", [1.0, 0.5])):
+        now = prints([changed, *rows[1:]])
+        assert now["a"] != base["a"] and now["b"] == base["b"]
+    assert prints([*rows, rows[0]])["a"] != base["a"] and prints([rows[0], ("a", 2, "y", []), rows[2]])["a"] != base["a"]
