@@ -22,9 +22,10 @@ def st_upsert(spark, sf_dir):
 
 @query("st_late_stale", _STATUS.replace("ORDER BY event_id", "ORDER BY (event_id * 7919) % 1000003") + " SELECT event_id FROM s WHERE status = 'stale'")
 def st_late_stale(spark, sf_dir):
-    """Deliveries in an order of arrival of their own, so that older ones come behind newer ones."""
+    """Deliveries in an order of arrival of their own, so that older ones come behind newer ones; arrivals repeat from
+    event 1000003 on, and of equal ones the lesser event comes first."""
     r = revisions(spark, sf_dir).withColumn("arrival", (F.col("event_id") * 7919) % 1000003)
-    return U.late(r, "source_identity", "arrival").select("event_id")
+    return U.late(r, "source_identity", "arrival", "event_id").select("event_id")
 
 
 @query("st_merged", f"WITH {REVISIONS} SELECT source_identity, max(updated_at || source_version) AS top FROM revisions GROUP BY source_identity")

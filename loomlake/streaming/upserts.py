@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def statuses(rows: DataFrame, identity: str, arrival: str) -> DataFrame:
+def statuses(rows: DataFrame, identity: str, *arrival: str) -> DataFrame:
     """``status`` of each delivered revision by arrival: created, stale (older than what is stored), deduped (the
-    stored content again) or updated."""
-    w = Window.partitionBy(identity).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
+    stored content again) or updated. ``arrival`` must order an identity's deliveries without ties: name a key behind a
+    clock that may repeat."""
+    w = Window.partitionBy(identity).orderBy(*arrival).rowsBetween(Window.unboundedPreceding, -1)
     before = F.max(F.struct("updated_at", "source_version", "content_hash")).over(w)
     out = rows.withColumn("_before", before)
     status = F.when(F.col("_before").isNull(), "created").when(F.col("updated_at") < F.col("_before.updated_at"), "stale").when(F.col("content_hash") == F.col("_before.content_hash"), "deduped").otherwise("updated")
@@ -26,9 +27,9 @@ def merged(rows: DataFrame, identity: str) -> DataFrame:
     return rows.groupBy(identity).agg(F.max(F.struct("updated_at", "source_version", *rest)).alias("_r")).select(identity, "_r.*")
 
 
-def late(rows: DataFrame, identity: str, arrival: str) -> DataFrame:
+def late(rows: DataFrame, identity: str, *arrival: str) -> DataFrame:
     """Deliveries that are older than what was stored when they came."""
-    return statuses(rows, identity, arrival).filter("status = 'stale'").drop("status")
+    return statuses(rows, identity, *arrival).filter("status = 'stale'").drop("status")
 
 
 def last_writers(rows: DataFrame, identity: str, fields: list[str], clock: str) -> DataFrame:
