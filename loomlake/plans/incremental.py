@@ -47,8 +47,8 @@ SELECT event_id, CASE WHEN r0 IS NULL THEN 'created' WHEN revision < r0 THEN 'st
   WHEN coalesce(shadow > coalesce(s0, ''), false) OR coalesce(indexed > coalesce(i0, ''), false) THEN 'derived_updated'
   WHEN coalesce(project > coalesce(p0, ''), false) OR coalesce(repo > coalesce(q0, ''), false) THEN 'metadata_updated' ELSE 'deduped' END AS status FROM w""")
 def st_upsert_statuses(spark, sf_dir):
-    d = deliveries(spark, sf_dir)
-    return S.delivered(d).join(d.select("identity", "arrival", "event_id"), ["identity", "arrival"]).select("event_id", "status")
+    """A status for each event; arrivals repeat from event 1000003 on, and of equal ones the lesser event comes first."""
+    return S.delivered(deliveries(spark, sf_dir), "event_id").select("event_id", "status")
 
 
 @query("st_stored", f"""WITH {_DELIVERIES}, e AS (SELECT identity, revision, max(shadow) AS shadow, max(indexed) AS indexed, max(project) AS project, max(repo) AS repo FROM d GROUP BY 1, 2)

@@ -102,3 +102,17 @@ def test_a_stream_with_a_restart(rocks, tmp_path):
         if r["arrival"] >= last.get(r["identity"], r)["arrival"]:
             last[r["identity"]] = r
     assert states(last.values()) == final
+
+
+def test_events_that_arrive_at_once_get_one_status_each(spark, tmp_path):
+    """Events 1000003 apart have one arrival: each has its own row, and the lesser one comes first."""
+    from pyspark.sql import functions as F
+
+    from loomlake.plans import registry
+
+    for n, ids in enumerate(([4, 1000007, 7], [7, 1000007, 4])):
+        e = spark.createDataFrame([(i,) for i in ids], "event_id long").select("*", F.lit(1).cast("long").alias("user_id"), F.lit("click").alias("event_type"))
+        e.coalesce(1).write.parquet(f"{tmp_path}/{n}/events.parquet")
+        got = {(r["event_id"], r["status"]) for r in registry.queries()["st_upsert_statuses"](spark, f"{tmp_path}/{n}").collect()}
+        rows = registry.queries()["st_upsert_statuses"](spark, f"{tmp_path}/{n}").count()
+        assert rows == 3 and got == {(4, "created"), (1000007, "updated"), (7, "stale")}
