@@ -2,42 +2,122 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Members of a group that are compared against each other in one task.
-BLOCK = 1024
+#: Members of a block, about, and rows of a matrix product.
+BLOCK, SLICE = 2048, 512
+
+
+def _pairs(x: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``x`` and ``y`` whose dot product, summed in the order of the dimensions as a fold would, is ``least`` or
+    more. A matrix product finds them, and only what it puts within its rounding of ``least`` is summed again."""
+    sim = x @ y.T
+    slack = 1e-13 * x.shape[1] * np.sqrt((x * x).sum(1).max(initial=0.0) * (y * y).sum(1).max(initial=0.0))
+    a, b = np.nonzero(sim >= least - slack)
+    close = np.flatnonzero(sim[a, b] <= least + slack)
+    bad = close[~(_folded(x, y, a[close], b[close]) >= least)]
+    return np.delete(a, bad), np.delete(b, bad)
+
+
+def _folded(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    sim = np.zeros(len(a))
+    for d in range(x.shape[1] if len(a) else 0):
+        sim += x[a, d] * y[b, d]
+    return sim
+
+
+def hanging(x: np.ndarray, least: float, first: int = 0) -> np.ndarray:
+    """The least row that each row of ``x`` hangs together with by dot products of ``least`` or more; where ``first`` is
+    given, only links between the first so many rows and the others are looked for (any others may count too).
+
+    What is linked to one row is one class already and isn't compared among itself, so that a group of copies costs no
+    square."""
+    root = np.arange(len(x))
+
+    def join(a: np.ndarray, b: np.ndarray) -> None:
+        while len(a):
+            m, n = root[a], root[b]
+            open_ = m != n
+            a, b, m, n = a[open_], b[open_], m[open_], n[open_]
+            np.minimum.at(root, np.maximum(m, n), np.minimum(m, n))
+            while (root[root] != root).any():
+                root[:] = root[root]
+
+    few = np.unique(np.linspace(0, max(len(x) - 1, 0), 8).astype(int))[: len(x)]
+    own, leader = _pairs(x, x[few], least)
+    held = np.zeros(len(x), bool)
+    if len(own):
+        held[own[leader == np.bincount(leader).argmax()]] = True
+        root[held] = np.flatnonzero(held)[0]
+        join(own, few[leader])
+    some, rest = np.flatnonzero(held), np.flatnonzero(~held)
+    if first:
+        parts = [(some[some < first], rest[rest >= first]), (rest[rest < first], np.arange(first, len(x)))]
+    else:
+        parts = [(rest, None)]
+    for left, right in parts:
+        for i in range(0, len(left), SLICE):
+            now = left[i : i + SLICE]
+            to = np.concatenate([some, rest[i:]]) if right is None else right
+            a, b = _pairs(x[now], x[to], least)
+            join(now[a], to[b])
+    return root
+
+
+def _dealt(rows: DataFrame, group: str, key: str, vector: str) -> DataFrame:
+    """``g, i, j, own, k, v``: each group in blocks of about BLOCK members, each pair of blocks together."""
+    there = rows.filter(F.col(group).isNotNull() & F.col(key).isNotNull() & F.col(vector).isNotNull())
+    size = there.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_k"))
+    own = there.select(group, key, vector).join(size, group).withColumn("_own", F.pmod(F.xxhash64(key), F.col("_k")).cast("int"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda j: F.struct(F.least(j, F.col("_own")).alias("i"), F.greatest(j, F.col("_own")).alias("j")))
+    dealt = own.withColumn("_p", F.explode(pair)).select(F.col(group).alias("g"), F.col("_p.i").alias("i"), F.col("_p.j").alias("j"), F.col("_own").alias("own"), F.col(key).alias("k"), F.col(vector).alias("v"))
+    # small in bytes but not in work, so no partitions are put together
+    return dealt.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "g", "i", "j")
+
+
+def _sides(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Keys and vectors of a pair of blocks by block, then key, and the first one's size (0: one block alone)."""
+    pdf = pdf.sort_values(["own", "k"], kind="stable")
+    return pdf["k"].to_numpy(), np.array(pdf["v"].tolist(), np.float64), int((pdf["own"] == pdf["i"]).sum()) if pdf["i"].iloc[0] != pdf["j"].iloc[0] else 0
 
 
 def similar_pairs(rows: DataFrame, group: str, key: str, vector: str, least: float) -> DataFrame:
     """``group, a, b, similarity`` (a < b) of all pairs of a group whose vectors' dot product is ``least`` or more.
 
-    A group is dealt into blocks of about BLOCK members and each pair of blocks is one task: a hot group is many tasks
-    of bounded size. Within a task one matrix product compares all.
+    A group is dealt into blocks of about BLOCK members and each pair of blocks is compared by matrix products: a hot
+    group is many tasks of bounded size. The work is the square of a group's size, as all its pairs are asked for.
     """
-    size = rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_k"))
-    own = rows.select(group, key, vector).join(size, group).withColumn("_own", F.pmod(F.xxhash64(key), F.col("_k")).cast("int"))
-    pair = F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda j: F.struct(F.least(j, F.col("_own")).alias("i"), F.greatest(j, F.col("_own")).alias("j")))
-    dealt = own.withColumn("_p", F.explode(pair)).select(F.col(group).alias("g"), F.col("_p.i").alias("i"), F.col("_p.j").alias("j"), F.col("_own").alias("own"), F.col(key).alias("k"), F.col(vector).alias("v"))
 
-    def compare(pdf):  # noqa: ANN001, ANN202
-        import numpy as np
-        import pandas as pd
-
-        pdf = pdf.sort_values("k")
-        v = np.array(pdf["v"].tolist(), np.float64)
-        k, o = pdf["k"].to_numpy(), pdf["own"].to_numpy()
-        sim = np.zeros((len(v), len(v)))
-        for d in range(v.shape[1]):  # summed in the order of the dimensions, as a fold would
-            sim += v[:, d, None] * v[None, :, d]
-        keep = np.triu(sim >= least, 1)
-        if pdf["i"].iloc[0] != pdf["j"].iloc[0]:
-            keep &= o[:, None] != o[None, :]
-        a, b = np.nonzero(keep)
-        return pd.DataFrame({"g": pdf["g"].iloc[0], "a": k[a], "b": k[b], "similarity": sim[a, b]})
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        k, x, first = _sides(pdf)
+        found = []
+        for i in range(0, first or len(x), SLICE):
+            to = first or i
+            a, b = _pairs(x[i : min(i + SLICE, first or len(x))], x[to:], least)
+            a, b = a + i, b + to
+            if not first:
+                a, b = a[a < b], b[a < b]
+            found.append(pd.DataFrame({"g": pdf["g"].iloc[0], "a": np.minimum(k[a], k[b]), "b": np.maximum(k[a], k[b]), "similarity": _folded(x, x, a, b)}))
+        return pd.concat(found) if found else pd.DataFrame({"g": pdf["g"][:0], "a": k[:0], "b": k[:0], "similarity": np.zeros(0)})
+
+    kind = dict(rows.dtypes)
+    return _dealt(rows, group, key, vector).groupBy("g", "i", "j").applyInPandas(compare, f"g {kind[group]}, a {kind[key]}, b {kind[key]}, similarity double").withColumnRenamed("g", group)
+
+
+def similar_links(rows: DataFrame, group: str, key: str, vector: str, least: float) -> DataFrame:
+    """``a, b``: enough links for the components of ``similar_pairs``, at most one a member and pair of blocks."""
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        k, x, first = _sides(pdf)
+        root = hanging(x, least, first)
+        own = np.flatnonzero(root != np.arange(len(root)))
+        return pd.DataFrame({"a": k[root[own]], "b": k[own]})
 
     kind = dict(rows.dtypes)
-    return dealt.groupBy("g", "i", "j").applyInPandas(compare, f"g {kind[group]}, a {kind[key]}, b {kind[key]}, similarity double").withColumnRenamed("g", group)
+    return _dealt(rows, group, key, vector).groupBy("g", "i", "j").applyInPandas(compare, f"a {kind[key]}, b {kind[key]}")
 
 
 def components(edges: DataFrame) -> DataFrame:
