@@ -169,8 +169,7 @@ _NEAR = "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b
 
 def _pairs(spark, sf_dir):
     """Within a session (here: a label) the units are compared pair by pair, in blocks."""
-    e = table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding")
-    return graph.similar_pairs(e, "label", "vec_id", "embedding", 0.35)
+    return graph.similar_pairs(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 0.35)
 
 
 @query("j_allpairs_dup", _NEAR)
@@ -181,7 +180,8 @@ def j_allpairs_dup(spark, sf_dir):
 @query("a_dup_groups", f"""WITH RECURSIVE e AS ({_NEAR}), both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e), walk AS (SELECT a AS node, a AS seen FROM both_ UNION SELECT w.node, b.b FROM walk w JOIN both_ b ON b.a = w.seen),
 g AS (SELECT node, min(seen) AS root FROM walk GROUP BY node) SELECT node, root, count(*) OVER (PARTITION BY root) AS size FROM g""")
 def a_dup_groups(spark, sf_dir):
-    found = graph.components(_pairs(spark, sf_dir).select("a", "b"))
+    """Which vectors hang together: links between blocks, not all pairs, are what the components are made of."""
+    found = graph.components(graph.similar_links(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 0.35))
     size = found.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     return found.join(size, "root").select("node", "root", "size")
 
