@@ -81,3 +81,13 @@ def test_odd_rows(spark):
 def test_planes_are_fixed():
     assert D.planes(3)[:4].astype(int).tolist() == [[(1 if int(D._mixed(np.array([(p * 0x9E3779B97F4A7C15 + d + 0x6A09E667F3BCC909) % 2**64], np.uint64))[0]) & 1 else -1) for d in range(3)] for p in range(4)]
     assert D.planes(64).shape == (80, 64) and abs(D.planes(64).mean()) < 0.05
+
+
+def test_links_are_no_pairs_and_no_row_functions(spark):
+    """Small buckets give links too, and no cosine is folded number by number for each pair."""
+    x = unit(np.random.default_rng(4).normal(size=(40, 16)))
+    x[5:40] = unit(x[5] + 0.001 * x[5:40])
+    found = D.links(frame(spark, [0] * 40, x), "g", "k", ["k"], "v", window=1)
+    assert "zip_with" not in found._jdf.queryExecution().optimizedPlan().toString()
+    pairs = [tuple(p) for p in found.collect()]
+    assert len(pairs) < 2 * 35 and len(set(roots(range(40), pairs).values())) == 6
