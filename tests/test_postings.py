@@ -58,3 +58,18 @@ def test_the_flagship_reads_no_text(spark):
 
     plan = registry.queries()["k_hybrid"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "documents" not in plan and "text" not in plan and "most:double" in plan
+
+
+def test_an_index_is_written_with_one_exchange(spark, tmp_path, monkeypatch):
+    """Words are counted in their rows; what is exchanged is a row a document and term, once."""
+    from pyspark.sql import DataFrameWriter
+
+    plans, put = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: (plans.append((path, self._df._jdf.queryExecution().executedPlan().toString())), put(self, path, *a, **k))[1])
+    rows = spark.createDataFrame([(1, "b a B c b"), (2, None), (3, ""), (4, "b")], "id long, t string")
+    got = {(r["term"], r["id"], r["tf"], r["dl"]) for r in S.postings(rows, "id", "t").collect()}
+    assert got == {("a", 1, 1, 5), ("b", 1, 3, 5), ("c", 1, 1, 5), ("b", 4, 1, 1)}
+    P.write_index(rows, "id", "t", str(tmp_path / "ix"))
+    S.write_postings(rows, "id", "t", str(tmp_path / "ps"))
+    written = {path: plan.count("Exchange hashpartitioning") for path, plan in plans if path.endswith(("blocks", "postings"))}
+    assert sorted(written.values()) == [1, 1]
